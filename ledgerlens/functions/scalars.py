@@ -54,8 +54,22 @@ def month_label(c: Column | str) -> Column:
 
 
 def round_half_even(c: Column, digits: int) -> Column:
-    """pandas-style rounding (ties to even)."""
-    return F.bround(c, digits)
+    """pandas / numpy rounding of a double: ``rint(x · 10^d) / 10^d`` (ties to
+    even on the scaled binary value, so 9.995 → 9.99 and 0.125 → 0.12).
+
+    Spark's ``bround(x, d)`` rounds the shortest decimal string of ``x``
+    instead (9.995 → 10.0). At zero digits the two agree, because a scaled
+    double is an exact tie exactly when its shortest string ends in ``.5``.
+    """
+    scale = float(10 ** digits)
+    return F.bround(c.cast("double") * F.lit(scale), 0) / F.lit(scale)
+
+
+def round_half_up(c: Column, digits: int) -> Column:
+    """SQL ``ROUND(double, d)`` as C's ``round(x · 10^d) / 10^d`` (ties away
+    from zero on the scaled binary value; 1.005 → 1.0)."""
+    scale = float(10 ** digits)
+    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale)
 
 
 def lower_contains(text: Column, needle: str) -> Column:

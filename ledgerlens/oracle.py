@@ -230,3 +230,200 @@ ORACLE: dict[str, str] = {
     "monthly_exceptions": R10,
     "aging_bucket_count": R11,
 }
+
+
+# ---------------------------------------------------------------- monthly series
+
+_CUST_MONTH = """(SELECT o_custkey AS custkey, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS month,
+               SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS amount
+        FROM orders GROUP BY 1, 2)"""
+
+SERIES.update({
+    "series_nation": f"""
+series AS (
+  SELECT n.n_name AS account, cm.month, CAST(SUM(cm.amount) AS DOUBLE) AS revenue
+  FROM {_CUST_MONTH} cm
+  JOIN customer c ON cm.custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY n.n_name, cm.month
+)""",
+    "series_customer": f"""
+series AS (
+  SELECT c.c_name AS account, cm.month, CAST(cm.amount AS DOUBLE) AS revenue
+  FROM {_CUST_MONTH} cm JOIN customer c ON cm.custkey = c.c_custkey
+)""",
+    "metrics_nation": """
+metrics AS (
+  SELECT n.n_name AS account, CAST(date_trunc('month', CAST(o.o_orderdate AS DATE)) AS DATE) AS month,
+         CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+         CAST(COUNT(*) AS DOUBLE) AS orders,
+         CAST(COALESCE(SUM(d.discount_given), 0) AS DOUBLE) AS discount_given
+  FROM orders o
+  LEFT JOIN (SELECT l_orderkey, SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)))
+                    AS discount_given FROM lineitem GROUP BY l_orderkey) d ON o.o_orderkey = d.l_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY 1, 2
+)""",
+})
+
+
+def enriched_ctes(source: str = "series", where: str = "") -> list[str]:
+    """CTE chain of the detector over ``source(account, month, revenue)``."""
+    w = "PARTITION BY account ORDER BY month NULLS LAST"
+    return [f"""
+d_base AS (
+  SELECT account, month, revenue,
+         CASE WHEN COUNT(revenue) OVER w6 >= 5 THEN AVG(revenue) OVER w6 END AS rolling_mean,
+         CASE WHEN COUNT(revenue) OVER w6 >= 5 THEN STDDEV_SAMP(revenue) OVER w6 END AS s,
+         LAST_VALUE(revenue IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled
+  FROM {source} {where}
+  WINDOW w6 AS ({w} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
+)""", f"""
+d_std AS (
+  SELECT *, CASE WHEN s IS NOT NULL THEN greatest(s, rolling_mean * 0.03) END AS rolling_std,
+         filled / NULLIF(LAG(filled, 6) OVER ({w}), 0) - 1 AS erosion_pct
+  FROM d_base
+)""", """
+d_z AS (
+  SELECT *, (revenue - rolling_mean) / NULLIF(rolling_std, 0) AS z_score,
+         (revenue - rolling_mean) / NULLIF(rolling_mean, 0) * 100 AS pct_vs_baseline
+  FROM d_std
+)""", """
+d_flag AS (
+  SELECT *, COALESCE(abs(z_score) >= 2.5, FALSE) AS point_anomaly,
+         COALESCE(erosion_pct <= -0.30, FALSE) AS erosion_flag
+  FROM d_z
+)""", """
+d_type AS (
+  SELECT *, CASE WHEN point_anomaly AND z_score > 0 THEN 'SPIKE'
+                 WHEN point_anomaly AND z_score < 0 THEN 'DROP'
+                 WHEN erosion_flag THEN 'EROSION' ELSE 'NORMAL' END AS anomaly_type
+  FROM d_flag
+)""", """
+enriched AS (
+  SELECT *, CASE WHEN anomaly_type = 'EROSION' THEN abs(erosion_pct) * 100
+                 ELSE COALESCE(abs(z_score), 0) END AS severity_score
+  FROM d_type
+)"""]
+
+
+REPORT_CTE = """
+report AS (
+  SELECT account, strftime(month, '%Y-%m') AS month, round_even(revenue, 2) AS revenue,
+         round_even(rolling_mean, 2) AS rolling_mean, round_even(pct_vs_baseline, 1) AS pct_vs_baseline,
+         round_even(z_score, 2) AS z_score, anomaly_type, round_even(severity_score, 2) AS severity_score,
+         CASE WHEN anomaly_type = 'EROSION' THEN
+                CASE WHEN round_even(severity_score, 2) >= 40 THEN 'HIGH'
+                     WHEN round_even(severity_score, 2) >= 20 THEN 'MEDIUM' ELSE 'LOW' END
+              ELSE CASE WHEN round_even(severity_score, 2) >= 10 THEN 'HIGH'
+                        WHEN round_even(severity_score, 2) >= 4 THEN 'MEDIUM' ELSE 'LOW' END END AS priority
+  FROM enriched WHERE anomaly_type <> 'NORMAL'
+)"""
+
+
+def _anomaly(series: str, body: str, report: bool = True) -> str:
+    extra = enriched_ctes() + ([REPORT_CTE] if report else [])
+    return with_ctes([series], body, extra)
+
+
+R6 = _anomaly("series_nation", """
+SELECT account, month, revenue, ROUND(rolling_mean, 6) AS rolling_mean, ROUND(rolling_std, 6) AS rolling_std,
+       ROUND(z_score, 6) AS z_score, ROUND(pct_vs_baseline, 6) AS pct_vs_baseline, point_anomaly,
+       ROUND(erosion_pct, 6) AS erosion_pct, erosion_flag, anomaly_type, ROUND(severity_score, 6) AS severity_score
+FROM enriched""", report=False)
+
+R7 = _anomaly("series_nation", "SELECT * FROM report")
+R7_CUSTOMER = _anomaly("series_customer", "SELECT * FROM report")
+
+R8_TYPE = _anomaly("series_nation", """
+SELECT anomaly_type, COUNT(account) AS count, round_even(AVG(severity_score), 2) AS avg_severity,
+       COUNT(DISTINCT account) AS accounts_affected
+FROM report GROUP BY anomaly_type""")
+
+R8_PRIORITY = _anomaly("series_nation", """
+SELECT p.priority, COALESCE(c.n, 0) AS count
+FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW')) p(priority)
+LEFT JOIN (SELECT priority, COUNT(*) AS n FROM report GROUP BY priority) c ON p.priority = c.priority""")
+
+R8_HEADLINE = _anomaly("series_nation", """
+SELECT (SELECT COUNT(DISTINCT account) FROM series) AS accounts_analyzed,
+       (SELECT COUNT(DISTINCT month) FROM series) AS months_analyzed,
+       (SELECT COUNT(*) FROM report) AS anomalies_flagged,
+       (SELECT COUNT(DISTINCT account) FROM report WHERE priority = 'HIGH') AS high_priority_accounts""")
+
+R8_TOP15 = _anomaly("series_nation", """
+SELECT r.* FROM report r JOIN (
+  SELECT account, strftime(month, '%Y-%m') AS month FROM enriched WHERE anomaly_type <> 'NORMAL'
+  ORDER BY severity_score DESC, account, month LIMIT 15) t ON r.account = t.account AND r.month = t.month""")
+
+R9 = _anomaly("series_nation", """
+SELECT account, month, revenue, ROUND(rolling_mean, 6) AS rolling_mean, anomaly_type,
+       anomaly_type <> 'NORMAL' AS flagged
+FROM enriched
+WHERE account IN (SELECT account FROM (
+        SELECT account, MAX(severity_score) AS worst FROM enriched WHERE anomaly_type <> 'NORMAL'
+        GROUP BY account ORDER BY worst DESC, account LIMIT 4))""", report=False)
+
+J11 = with_ctes(["series_nation"], """
+SELECT c.* FROM cur c
+WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.account = c.account AND p.month = c.month
+                  AND p.anomaly_type = c.anomaly_type)""",
+    [x.replace("d_", "c_").replace("enriched AS", "cur_enriched AS") for x in enriched_ctes()]
+    + [x.replace("d_", "p_").replace("enriched AS", "prev_enriched AS")
+        for x in enriched_ctes(where="WHERE month < DATE '2001-06-01'")]
+    + [REPORT_CTE.replace("report AS", "cur AS").replace("FROM enriched", "FROM cur_enriched"),
+       REPORT_CTE.replace("report AS", "prev AS").replace("FROM enriched", "FROM prev_enriched")])
+
+
+def _strict(source: str, metric: str, keys: str) -> str:
+    part = f"PARTITION BY {keys} ORDER BY month" if keys else "ORDER BY month"
+    return f"""
+SELECT *, CASE WHEN COUNT({metric}) OVER w >= 6 THEN AVG({metric}) OVER w END AS baseline,
+          CASE WHEN COUNT({metric}) OVER w >= 6 THEN STDDEV_SAMP({metric}) OVER w END AS spread
+FROM {source}
+WINDOW w AS ({part} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"""
+
+
+def _flag_pred(x: str, base: str, spread: str, z: str = "2.5") -> str:
+    return (f"COALESCE(CASE WHEN {spread} > 0 THEN abs({x} - {base}) / {spread} >= {z} "
+            f"WHEN {spread} = 0 THEN {x} <> {base} ELSE FALSE END, FALSE)")
+
+
+W10 = with_ctes(["series_nation"], f"""
+SELECT account, month, revenue, ROUND(baseline, 6) AS baseline, ROUND(spread, 6) AS spread
+FROM ({_strict('series', 'revenue', 'account')}) b""")
+
+U2 = with_ctes(["metrics_nation"], f"""
+SELECT account, month, revenue, orders, discount_given
+FROM ({_strict('metrics', 'revenue', 'account')}) b
+WHERE {_flag_pred('revenue', 'baseline', 'spread')}""")
+
+U3 = with_ctes(["metrics_nation"], f"""
+SELECT account, month, metric, value
+FROM ({_strict('''(SELECT account, month, 'revenue' AS metric, revenue AS value FROM metrics
+                   UNION ALL SELECT account, month, 'orders', orders FROM metrics
+                   UNION ALL SELECT account, month, 'discount_given', discount_given FROM metrics)''',
+               'value', 'account, metric')}) b
+WHERE {_flag_pred('value', 'baseline', 'spread')}""")
+
+W11 = with_ctes(["series_customer"], f"""
+SELECT account, month, revenue, ROUND(baseline, 6) AS baseline,
+       ROUND((revenue - baseline) / NULLIF(fl, 0), 6) AS z
+FROM (SELECT *, CASE WHEN spread IS NOT NULL THEN greatest(spread, baseline * 0.03) END AS fl
+      FROM ({_strict('series', 'revenue', 'account')}) b) f
+WHERE {_flag_pred('revenue', 'baseline', 'fl')}""")
+
+ORACLE.update({
+    "anomaly_series": R6,
+    "anomaly_report": R7,
+    "anomaly_report_customer": R7_CUSTOMER,
+    "anomaly_summary_by_type": R8_TYPE,
+    "anomaly_priority_counts": R8_PRIORITY,
+    "anomaly_headline": R8_HEADLINE,
+    "top15_report": R8_TOP15,
+    "top_account_chart_feed": R9,
+    "anti_new_findings": J11,
+    "baseline_strict": W10,
+    "metric_flag": U2,
+    "multi_metric_pulse": U3,
+    "baseline_floor_strict": W11,
+})

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
-    as_of_col, billing_status, collection_priority, days_past_due, renewal_flag, safe_div, year_start,
+    as_of_col, billing_status, collection_priority, days_past_due, renewal_flag, round_half_up, safe_div,
+    year_start,
 )
 from ..operators.relational import (
     count_when, left_join_preaggregated, null_safe_join, per_key_totals, status_live, status_open, sum_when,
@@ -123,7 +124,7 @@ def payment_shortfall(invoices: DataFrame, payments: DataFrame, credit_memos: Da
             paid.alias("total_paid"),
             credits.alias("credits_applied"),
             net.alias("net_balance_due"),
-            F.round(safe_div(paid.cast("double"), F.col("amount_due").cast("double")) * 100, 2).alias("pct_paid"),
+            round_half_up(safe_div(paid.cast("double"), F.col("amount_due").cast("double")) * 100, 2).alias("pct_paid"),
             F.coalesce(F.col("payment_count"), F.lit(0)).alias("payment_count"),
             "last_payment_date",
             days_past_due(as_of, F.col("due_date")).alias("days_past_due"),
@@ -214,7 +215,7 @@ def contract_variance(contracts: DataFrame, invoices: DataFrame, accounts: DataF
             "account_name", "tier", "region", "contracted_arr", "billing_frequency", "contract_start",
             "contract_end", "actual_arr_billed", "periods_billed",
             (actual - arr).alias("arr_variance"),
-            F.round(safe_div((actual - arr).cast("double"), arr.cast("double")) * 100, 2).alias("variance_pct"),
+            round_half_up(safe_div((actual - arr).cast("double"), arr.cast("double")) * 100, 2).alias("variance_pct"),
             billing_status(actual, arr).alias("billing_status"),
             renewal_flag(F.col("contract_end"), F.col("auto_renew"), as_of).alias("renewal_flag"),
             F.abs(actual - F.coalesce(arr, F.lit(0))).alias("_order"),
@@ -294,7 +295,7 @@ def leakage_summary(invoices: DataFrame, payments: DataFrame, contracts: DataFra
             "leakage_type", "record_count",
             F.round("amount_at_risk", 2).alias("amount_at_risk"),
             "description",
-            F.round(safe_div(F.col("amount_at_risk").cast("double"), total.cast("double")) * 100, 1)
+            round_half_up(safe_div(F.col("amount_at_risk").cast("double"), total.cast("double")) * 100, 1)
             .alias("pct_of_total_risk"),
         )
         .orderBy(F.desc_nulls_last("amount_at_risk"), "leakage_type")

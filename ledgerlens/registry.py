@@ -95,3 +95,112 @@ QUERIES: dict[str, Query] = {
     "monthly_exceptions": _q(monthly_exceptions),
     "aging_bucket_count": _q(aging_bucket_count),
 }
+
+
+# ---------------------------------------------------------------- anomaly detector
+
+from .functions.scalars import round_half_up  # noqa: E402
+from .plans import anomaly as N  # noqa: E402
+
+_SIX = ("rolling_mean", "rolling_std", "z_score", "pct_vs_baseline", "erosion_pct", "severity_score",
+        "baseline", "spread", "z")
+
+
+def _round6(df: DataFrame) -> DataFrame:
+    """Round computed doubles to 6 digits so last-bit differences between
+    engines' window sums do not change the value hash."""
+    return df.select(*[round_half_up(F.col(c), 6).alias(c) if c in _SIX else F.col(c) for c in df.columns])
+
+
+def _nation_enriched(spark, sf_dir):
+    return N.anomaly_series(A.monthly_revenue_by_nation(spark, sf_dir))
+
+
+def anomaly_series(spark, sf_dir):
+    """Enriched per-nation monthly revenue series."""
+    return _round6(_nation_enriched(spark, sf_dir))
+
+
+def anomaly_report(spark, sf_dir):
+    """Ranked anomaly report with priority tiers (per nation)."""
+    return N.anomaly_report(_nation_enriched(spark, sf_dir))
+
+
+def anomaly_report_customer(spark, sf_dir):
+    """R7 over per-customer series (many short series with gaps)."""
+    return N.anomaly_report(N.anomaly_series(A.monthly_revenue_by_customer(spark, sf_dir)))
+
+
+def anomaly_summary_by_type(spark, sf_dir):
+    """Count, mean rounded severity and distinct accounts per type."""
+    return N.summary_by_type(anomaly_report(spark, sf_dir))
+
+
+def anomaly_priority_counts(spark, sf_dir):
+    """Rows per priority on the HIGH / MEDIUM / LOW spine."""
+    return N.priority_counts(anomaly_report(spark, sf_dir))
+
+
+def anomaly_headline(spark, sf_dir):
+    """Accounts and months analysed, anomalies flagged, HIGH accounts."""
+    series = A.monthly_revenue_by_nation(spark, sf_dir)
+    return N.headline(series, N.anomaly_report(N.anomaly_series(series)))
+
+
+def top15_report(spark, sf_dir):
+    """The first 15 rows of the ranked report."""
+    return N.top_report_rows(anomaly_report(spark, sf_dir), 15)
+
+
+def top_account_chart_feed(spark, sf_dir):
+    """Series and flags of the 4 accounts with the worst anomaly."""
+    return _round6(N.chart_feed(_nation_enriched(spark, sf_dir), 4))
+
+
+def anti_new_findings(spark, sf_dir):
+    """Findings of the current run that the previous monthly run (data
+    before 2001-06-01) did not report."""
+    series = A.monthly_revenue_by_nation(spark, sf_dir)
+    current = N.anomaly_report(N.anomaly_series(series))
+    previous = N.anomaly_report(N.anomaly_series(series.filter(F.col("month") < F.lit("2001-06-01").cast("date"))))
+    return N.new_findings(current, previous)
+
+
+def baseline_strict(spark, sf_dir):
+    """Full-window trailing mean and std per nation."""
+    s = A.monthly_revenue_by_nation(spark, sf_dir)
+    return _round6(N.strict_baseline(s, "revenue", ["account"], "month", 6))
+
+
+def metric_flag(spark, sf_dir):
+    """Generic flag on per-nation revenue (offending rows only)."""
+    return N.metric_flag(A.monthly_metrics_by_nation(spark, sf_dir), "revenue", ["account"], "month")
+
+
+def multi_metric_pulse(spark, sf_dir):
+    """The flag over revenue, orders and discount in one pass."""
+    return N.multi_metric_pulse(A.monthly_metrics_by_nation(spark, sf_dir),
+                                ["revenue", "orders", "discount_given"], ["account"], "month")
+
+
+def baseline_floor_strict(spark, sf_dir):
+    """Full-window baseline with the 3 % floor over per-customer series."""
+    s = A.monthly_revenue_by_customer(spark, sf_dir)
+    return _round6(N.floored_baseline_flag(s, "revenue", ["account"], "month"))
+
+
+QUERIES.update({
+    "anomaly_series": _q(anomaly_series),
+    "anomaly_report": _q(anomaly_report),
+    "anomaly_report_customer": _q(anomaly_report_customer),
+    "anomaly_summary_by_type": _q(anomaly_summary_by_type),
+    "anomaly_priority_counts": _q(anomaly_priority_counts),
+    "anomaly_headline": _q(anomaly_headline),
+    "top15_report": _q(top15_report),
+    "top_account_chart_feed": _q(top_account_chart_feed),
+    "anti_new_findings": _q(anti_new_findings),
+    "baseline_strict": _q(baseline_strict),
+    "metric_flag": _q(metric_flag),
+    "multi_metric_pulse": _q(multi_metric_pulse),
+    "baseline_floor_strict": _q(baseline_floor_strict),
+})
