@@ -427,3 +427,66 @@ ORACLE.update({
     "multi_metric_pulse": U3,
     "baseline_floor_strict": W11,
 })
+
+
+# ---------------------------------------------------------------- pattern tagging
+
+def _patterns_cte() -> str:
+    from .sources.patterns import DEFAULT_PATTERNS
+
+    def q(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({i + 1}, {q(n)}, {q(c)}, {q(k)})" for i, (n, c, k) in enumerate(DEFAULT_PATTERNS))
+    return f"\npatterns(ordinal, name, company, category) AS (VALUES {rows})"
+
+
+def _tag_sql(table: str, id_col: str, text_col: str) -> str:
+    return f"""WITH {_patterns_cte()},
+m AS (SELECT t.{id_col} AS id, MIN(p.ordinal) AS ord
+      FROM {table} t JOIN patterns p ON contains(lower(t.{text_col}), lower(p.name)) GROUP BY t.{id_col})
+SELECT t.{id_col} AS id, m.ord IS NOT NULL AS blocked, COALESCE(p.name, '') AS pattern,
+       CASE WHEN m.ord IS NOT NULL THEN COALESCE(p.category, 'unknown') END AS category
+FROM {table} t LEFT JOIN m ON t.{id_col} = m.id LEFT JOIN patterns p ON p.ordinal = m.ord"""
+
+
+R12_PAGES = _tag_sql("pages", "page_id", "html")
+R12_DOCS = _tag_sql("documents", "doc_id", "text")
+
+
+def _category_stats_sql(source: str) -> str:
+    return f"""
+SELECT CASE WHEN GROUPING(category) = 1 THEN 'TOTAL' ELSE category END AS category, COUNT(*) AS count
+FROM (SELECT COALESCE(category, 'unknown') AS category FROM {source}) s
+GROUP BY ROLLUP (category)"""
+
+
+A16_HITS = f"""WITH tagged AS ({R12_PAGES})
+{_category_stats_sql("(SELECT * FROM tagged WHERE blocked)")}"""
+
+J8 = f"""WITH {_patterns_cte()},
+inc AS (SELECT regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS name, page_id AS o FROM pages),
+firsts AS (SELECT name, o FROM (
+             SELECT name, o, ROW_NUMBER() OVER (PARTITION BY lower(name) ORDER BY o, name) AS rn
+             FROM inc WHERE name <> '') x WHERE rn = 1),
+fresh AS (SELECT * FROM firsts WHERE lower(name) NOT IN (SELECT lower(name) FROM patterns)),
+extended AS (
+  SELECT ordinal, name, company, category FROM patterns
+  UNION ALL
+  SELECT CAST((SELECT MAX(ordinal) FROM patterns) + ROW_NUMBER() OVER (ORDER BY o, name) AS INTEGER),
+         name, 'unknown', 'ai' FROM fresh)"""
+
+ORACLE.update({
+    "pattern_tagging": R12_PAGES,
+    "pattern_tagging_documents": R12_DOCS,
+    "pattern_hits_by_category": A16_HITS,
+    "anti_append_new": J8 + "\nSELECT CAST(ordinal AS BIGINT) AS ordinal, name, company, category FROM extended",
+    "agg_category_stats": J8 + _category_stats_sql("extended"),
+})
+
+ORACLE["pattern_tagging_extended"] = J8 + """,
+m AS (SELECT t.page_id AS id, MIN(p.ordinal) AS ord
+      FROM pages t JOIN extended p ON contains(lower(t.html), lower(p.name)) GROUP BY t.page_id)
+SELECT t.page_id AS id, m.ord IS NOT NULL AS blocked, COALESCE(p.name, '') AS pattern,
+       CASE WHEN m.ord IS NOT NULL THEN COALESCE(p.category, 'unknown') END AS category
+FROM pages t LEFT JOIN m ON t.page_id = m.id LEFT JOIN extended p ON p.ordinal = m.ord"""

@@ -204,3 +204,59 @@ QUERIES.update({
     "multi_metric_pulse": _q(multi_metric_pulse),
     "baseline_floor_strict": _q(baseline_floor_strict),
 })
+
+
+# ---------------------------------------------------------------- pattern tagging
+
+from .plans import tagging as G  # noqa: E402
+from .sources.patterns import default_patterns  # noqa: E402
+
+HOST_PATTERN = r"^[a-zA-Z]+://([^/?#:]+)"
+
+
+def pattern_tagging(spark, sf_dir):
+    """Every raw web page tagged with the first matching pattern."""
+    return G.tag_patterns(A.page_texts(spark, sf_dir), default_patterns(spark))
+
+
+def pattern_tagging_documents(spark, sf_dir):
+    """R12 over whole document texts."""
+    return G.tag_patterns(A.document_texts(spark, sf_dir), default_patterns(spark))
+
+
+def pattern_hits_by_category(spark, sf_dir):
+    """A16 over tagged pages: matched rows per category plus total."""
+    return G.hits_by_category(pattern_tagging(spark, sf_dir))
+
+
+def _incoming_hosts(spark, sf_dir):
+    pages = A.read_table(spark, sf_dir, "pages", "page_id", "url")
+    return pages.select(F.regexp_extract("url", HOST_PATTERN, 1).alias("name"), "page_id").filter(F.col("name") != "")
+
+
+def anti_append_new(spark, sf_dir):
+    """Page host names appended to the list when absent (case-insensitive)."""
+    return G.append_new_patterns(default_patterns(spark), _incoming_hosts(spark, sf_dir), "page_id")
+
+
+def agg_category_stats(spark, sf_dir):
+    """Entries per category of the extended list, plus total."""
+    return G.category_stats(anti_append_new(spark, sf_dir))
+
+
+QUERIES.update({
+    "pattern_tagging": _q(pattern_tagging),
+    "pattern_tagging_documents": _q(pattern_tagging_documents),
+    "pattern_hits_by_category": _q(pattern_hits_by_category),
+    "anti_append_new": _q(anti_append_new),
+    "agg_category_stats": _q(agg_category_stats),
+})
+
+
+def pattern_tagging_extended(spark, sf_dir):
+    """R12 with the list extended by J8: pages tagged against the default
+    list plus the page host names, first match in list order."""
+    return G.tag_patterns(A.page_texts(spark, sf_dir), anti_append_new(spark, sf_dir))
+
+
+QUERIES["pattern_tagging_extended"] = _q(pattern_tagging_extended)
