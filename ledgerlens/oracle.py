@@ -490,3 +490,150 @@ m AS (SELECT t.page_id AS id, MIN(p.ordinal) AS ord
 SELECT t.page_id AS id, m.ord IS NOT NULL AS blocked, COALESCE(p.name, '') AS pattern,
        CASE WHEN m.ord IS NOT NULL THEN COALESCE(p.category, 'unknown') END AS category
 FROM pages t LEFT JOIN m ON t.page_id = m.id LEFT JOIN extended p ON p.ordinal = m.ord"""
+
+
+# ---------------------------------------------------------------- freight
+
+FREIGHT = """
+fi AS (
+  SELECT l.l_orderkey AS invoice_id, l.l_linenumber AS line_no, l.l_suppkey AS account_id,
+         'C' || CAST(l.l_suppkey % 10 AS VARCHAR) AS carrier, p.p_brand AS lane,
+         CASE WHEN p.p_size > 45 THEN 'AIR' ELSE 'OCEAN' END AS mode,
+         CASE WHEN p.p_size > 45 THEN 'AIR' WHEN p.p_size <= 15 THEN 'LCL'
+              WHEN p.p_size <= 30 THEN 'FCL 20''' ELSE 'FCL 40''' END AS container,
+         CAST(l.l_quantity AS DECIMAL(18,2)) AS qty, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS billed,
+         CASE WHEN l.l_linestatus = 'F' THEN CAST(l.l_extendedprice AS DECIMAL(18,2))
+              ELSE CAST(FLOOR(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2))))
+                        AS DECIMAL(18,2)) END AS paid,
+         CAST(l.l_shipdate AS DATE) AS arrived,
+         CAST(CAST(l.l_shipdate AS DATE) + CAST(l.l_partkey % 15 AS INTEGER) AS DATE) AS delivered
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+),
+basis AS (
+  SELECT carrier, lane, mode, CAST(FLOOR((MIN(u) + MAX(u)) / 2) AS DECIMAL(18,2)) AS rate
+  FROM (SELECT *, FLOOR(CAST(billed AS DOUBLE) / NULLIF(CAST(qty AS DOUBLE), 0)) AS u FROM fi) x
+  GROUP BY carrier, lane, mode
+),
+contract_rates AS (
+  SELECT carrier, lane, mode, rate, 1 AS ordinal FROM basis
+  WHERE (CAST(substr(carrier, 2) AS INTEGER) + length(lane)) % 4 <> 0
+  UNION ALL
+  SELECT carrier, lane, mode, CAST(rate + 1 AS DECIMAL(18,2)), 2 FROM basis
+  WHERE (CAST(substr(carrier, 2) AS INTEGER) + length(lane)) % 4 <> 0 AND carrier = 'C3'
+),
+spot_quotes AS (
+  SELECT carrier, lane, mode, CAST(FLOOR(rate * 1.1) AS DECIMAL(18,2)) AS rate, 1 AS ordinal FROM basis
+  WHERE CAST(substr(carrier, 2) AS INTEGER) % 2 = 0
+),
+rules AS (
+  SELECT s_suppkey AS account_id, CASE WHEN s_suppkey % 2 = 0 THEN 'flat' ELSE 'pct' END AS kind,
+         CAST(CASE WHEN s_suppkey % 2 = 0 THEN
+                CASE s_suppkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN 1 WHEN 2 THEN 10 WHEN 3 THEN 50 ELSE 100 END
+              ELSE CASE s_suppkey % 3 WHEN 0 THEN 0.02 WHEN 1 THEN 0.05 ELSE 0.10 END END AS DECIMAL(18,4))
+           AS tolerance,
+         CAST(3 + s_suppkey % 5 AS INTEGER) AS free_days,
+         CAST(75 + 25 * (s_suppkey % 4) AS DECIMAL(18,2)) AS day_rate
+  FROM supplier
+),
+cr AS (SELECT carrier, lane, mode, rate AS contract_rate FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY carrier, lane, mode ORDER BY ordinal, rate) AS rn
+         FROM contract_rates) x WHERE rn = 1),
+sq AS (SELECT carrier, lane, mode, rate AS spot_rate FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY carrier, lane, mode ORDER BY ordinal, rate) AS rn
+         FROM spot_quotes) x WHERE rn = 1),
+f_lines AS (
+  SELECT fi.*, COALESCE(cr.contract_rate, sq.spot_rate) AS rate,
+         CASE WHEN cr.contract_rate IS NOT NULL THEN 'CONTRACT' WHEN sq.spot_rate IS NOT NULL THEN 'SPOT'
+              ELSE 'NONE' END AS rate_source,
+         CAST(COALESCE(cr.contract_rate, sq.spot_rate) * fi.qty AS DECIMAL(18,2)) AS expected,
+         r.kind, r.tolerance, r.free_days, r.day_rate
+  FROM fi LEFT JOIN cr ON fi.carrier = cr.carrier AND fi.lane = cr.lane AND fi.mode = cr.mode
+          LEFT JOIN sq ON fi.carrier = sq.carrier AND fi.lane = sq.lane AND fi.mode = sq.mode
+          LEFT JOIN rules r ON fi.account_id = r.account_id
+),
+f_lab AS (
+  SELECT *, CASE WHEN rate IS NULL THEN 'RATE NOT ON FILE'
+                 WHEN abs(billed - expected) <= CASE WHEN kind = 'flat' THEN tolerance ELSE expected * tolerance END
+                   THEN 'WITHIN TOLERANCE'
+                 WHEN billed - expected > 0 THEN 'OVERCHARGE' ELSE 'UNDERBILL' END AS audit_label,
+         CAST(COALESCE(greatest((delivered - arrived) - free_days, 0) * day_rate, 0) AS DECIMAL(18,2)) AS demurrage
+  FROM f_lines
+),
+audit AS (
+  SELECT *, approved - paid AS balance,
+         CASE WHEN approved - paid > 0 AND paid > 0 THEN 'SHORT PAY: ' || audit_label
+              WHEN approved - paid > 0 THEN 'BALANCE DUE: ' || audit_label END AS pay_status
+  FROM (SELECT *, CASE WHEN audit_label = 'OVERCHARGE' THEN expected ELSE billed END AS approved FROM f_lab) a
+)"""
+
+R13 = "WITH " + FREIGHT + """
+SELECT invoice_id, CAST(line_no AS BIGINT) AS line_no, account_id, carrier, lane, mode, container, rate_source,
+       CAST(billed AS DOUBLE) AS billed, CAST(expected AS DOUBLE) AS expected, CAST(paid AS DOUBLE) AS paid,
+       CAST(balance AS DOUBLE) AS balance, CAST(demurrage AS DOUBLE) AS demurrage, audit_label, pay_status
+FROM audit WHERE audit_label <> 'WITHIN TOLERANCE' OR pay_status IS NOT NULL"""
+
+R14 = "WITH " + FREIGHT + """
+SELECT CASE GROUPING(carrier, mode, container, account_id) WHEN 15 THEN 'TOTAL' WHEN 7 THEN 'CARRIER'
+            WHEN 9 THEN 'MODE_CONTAINER' ELSE 'ACCOUNT' END AS level,
+       carrier, mode, container, account_id, COUNT(*) AS lines, CAST(SUM(exc) AS BIGINT) AS exceptions,
+       ROUND(SUM(exc) / COUNT(*) * 1e6, 0) / 1e6 AS exception_rate,
+       CAST(SUM(billed) AS DOUBLE) AS billed_total, CAST(SUM(over_amt) AS DOUBLE) AS overcharge_total,
+       CAST(SUM(demurrage) AS DOUBLE) AS demurrage_total
+FROM (SELECT carrier, mode, container, account_id, billed, demurrage,
+             CASE WHEN audit_label <> 'WITHIN TOLERANCE' OR pay_status IS NOT NULL THEN 1 ELSE 0 END AS exc,
+             CASE WHEN audit_label = 'OVERCHARGE' THEN billed - expected ELSE 0 END AS over_amt
+      FROM audit) x
+GROUP BY GROUPING SETS ((), (carrier), (mode, container), (account_id))"""
+
+J10 = "WITH " + FREIGHT + """
+SELECT invoice_id, CAST(line_no AS BIGINT) AS line_no, carrier, lane, mode, CAST(rate AS DOUBLE) AS rate,
+       rate_source, CAST(expected AS DOUBLE) AS expected FROM audit"""
+
+# ---------------------------------------------------------------- recovery
+
+RECOVERY = """
+rl AS (
+  SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS month,
+         CASE l_linenumber % 6 WHEN 0 THEN 'rate_error' WHEN 1 THEN 'duplicate_billing' WHEN 2 THEN 'accessorial'
+              WHEN 3 THEN 'weight_class' WHEN 4 THEN 'fuel_surcharge' ELSE 'address_correction' END AS error_type,
+         CASE l_returnflag WHEN 'A' THEN 'PRE' WHEN 'R' THEN 'POST' ELSE 'LEAKED' END AS channel,
+         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS amount
+  FROM lineitem
+),
+dash AS (
+  SELECT CASE WHEN fy = 1 THEN 'FY' ELSE strftime(month, '%Y-%m') END AS period, errors,
+         CAST(pool AS DOUBLE) AS pool, CAST(avoided AS DOUBLE) AS avoided, CAST(recovered AS DOUBLE) AS recovered,
+         CAST(pool - avoided - recovered AS DOUBLE) AS leakage,
+         CAST(avoided AS DOUBLE) / NULLIF(CAST(pool AS DOUBLE), 0) AS catch_rate,
+         CAST(recovered AS DOUBLE) * 0.28 AS post_cost,
+         CAST(avoided AS DOUBLE) * PRE_RATE AS pre_cost,
+         ((CAST(recovered AS DOUBLE) * 0.28) / NULLIF(CAST(recovered AS DOUBLE), 0))
+           / NULLIF((CAST(avoided AS DOUBLE) * PRE_RATE) / NULLIF(CAST(avoided AS DOUBLE), 0), 0) AS cost_multiple
+  FROM (SELECT month, GROUPING(month) AS fy, COUNT(*) AS errors, SUM(amount) AS pool,
+               SUM(CASE WHEN channel = 'PRE' THEN amount ELSE 0 END) AS avoided,
+               SUM(CASE WHEN channel = 'POST' THEN amount ELSE 0 END) AS recovered
+        FROM rl GROUP BY ROLLUP (month)) g
+)""".replace("PRE_RATE", repr(0.28 / 6.5))
+
+R15 = "WITH " + RECOVERY + "\nSELECT * FROM dash"
+
+A19 = "WITH " + RECOVERY + """
+SELECT month""" + "".join(
+    f",\n       CAST(SUM(CASE WHEN error_type = '{t}' THEN amount END) AS DOUBLE) AS {t}"
+    for t in ("rate_error", "duplicate_billing", "accessorial", "weight_class", "fuel_surcharge",
+              "address_correction")) + "\nFROM rl GROUP BY month"
+
+R16 = "WITH " + RECOVERY + f"""
+SELECT period, catch_rate, pool
+FROM ({_strict("(SELECT period, catch_rate, pool FROM dash WHERE period <> 'FY')", 'catch_rate', '')
+       .replace('ORDER BY month', 'ORDER BY period')}) b
+WHERE {_flag_pred('catch_rate', 'baseline', 'spread')}"""
+
+ORACLE.update({
+    "freight_exception_report": R13,
+    "freight_dashboard": R14,
+    "lookup_rate_composite": J10,
+    "recovery_dashboard": R15,
+    "pivot_error_month": A19,
+    "catch_rate_flag": R16,
+})

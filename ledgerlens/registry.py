@@ -260,3 +260,55 @@ def pattern_tagging_extended(spark, sf_dir):
 
 
 QUERIES["pattern_tagging_extended"] = _q(pattern_tagging_extended)
+
+
+# ---------------------------------------------------------------- freight and recovery
+
+from .plans import freight as FR  # noqa: E402
+from .plans import recovery as RC  # noqa: E402
+
+
+def _audit_lines(spark, sf_dir):
+    return FR.audit_lines(A.freight_invoices(spark, sf_dir), A.contract_rates(spark, sf_dir),
+                          A.spot_quotes(spark, sf_dir), A.tolerance_rules(spark, sf_dir))
+
+
+def freight_exception_report(spark, sf_dir):
+    """Overcharge, underbill, rate-not-on-file and short-pay lines."""
+    return FR.exception_report(_audit_lines(spark, sf_dir))
+
+
+def freight_dashboard(spark, sf_dir):
+    """KPIs by total, carrier, mode × container and account."""
+    return FR.dashboard(_audit_lines(spark, sf_dir))
+
+
+def lookup_rate_composite(spark, sf_dir):
+    """Composite-key rate lookup (contract, else spot, else none)."""
+    return _audit_lines(spark, sf_dir).select("invoice_id", "line_no", "carrier", "lane", "mode", "rate",
+                                              "rate_source", "expected")
+
+
+def recovery_dashboard(spark, sf_dir):
+    """Monthly recovery model with the full-year row."""
+    return RC.recovery_dashboard(A.recovery_lines(spark, sf_dir))
+
+
+def pivot_error_month(spark, sf_dir):
+    """Month × error type matrix of the error pool."""
+    return RC.error_month_matrix(A.recovery_lines(spark, sf_dir), A.ERROR_TYPES)
+
+
+def catch_rate_flag(spark, sf_dir):
+    """Months whose catch rate breaks from the trailing six months."""
+    return RC.catch_rate_flags(RC.recovery_dashboard(A.recovery_lines(spark, sf_dir)))
+
+
+QUERIES.update({
+    "freight_exception_report": _q(freight_exception_report),
+    "freight_dashboard": _q(freight_dashboard),
+    "lookup_rate_composite": _q(lookup_rate_composite),
+    "recovery_dashboard": _q(recovery_dashboard),
+    "pivot_error_month": _q(pivot_error_month),
+    "catch_rate_flag": _q(catch_rate_flag),
+})

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,10 +241,11 @@ def monthly_metrics_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def freight_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One freight line per line item: carrier from the supplier, lane = part
-    brand, mode/container from part size; paid = floor(billed × (1 − discount))."""
+    brand, mode/container from part size; paid in full for finished lines
+    (linestatus F), else floor(billed × (1 − discount))."""
     li = read_table(spark, sf_dir, "lineitem",
                     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                    "l_extendedprice", "l_discount", "l_shipdate")
+                    "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
     size = F.col("p_size")
     billed = _money(F.col("l_extendedprice"))
@@ -258,7 +260,8 @@ def freight_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size > 45, "AIR").when(size <= 15, "LCL").when(size <= 30, "FCL 20'").otherwise("FCL 40'").alias("container"),
         _money(F.col("l_quantity")).alias("qty"),
         billed.alias("billed"),
-        F.floor(billed * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY).alias("paid"),
+        F.when(F.col("l_linestatus") == "F", billed)
+        .otherwise(F.floor(billed * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY)).alias("paid"),
         arrived.alias("arrived"),
         F.date_add(arrived, (F.col("l_partkey") % 15).cast("int")).alias("delivered"),
     )
@@ -289,7 +292,8 @@ def spot_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = _rate_basis(freight_invoices(spark, sf_dir))
     digit = F.substring("carrier", 2, 4).cast("int")
     return basis.filter(digit % 2 == 0).select(
-        "carrier", "lane", "mode", F.floor(F.col("rate") * 1.1).cast(MONEY).alias("rate"), F.lit(1).alias("ordinal"))
+        "carrier", "lane", "mode", F.floor(F.col("rate") * F.lit(Decimal("1.1"))).cast(MONEY).alias("rate"),
+        F.lit(1).alias("ordinal"))
 
 
 def tolerance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
