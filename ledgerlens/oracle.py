@@ -637,3 +637,36 @@ ORACLE.update({
     "pivot_error_month": A19,
     "catch_rate_flag": R16,
 })
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+IO1 = with_ctes(["accounts", "invoices", "payments", "contracts", "credit_memos"], """
+SELECT 'accounts' AS table_name, COUNT(*) AS row_count FROM accounts
+UNION ALL SELECT 'invoices', COUNT(*) FROM invoices
+UNION ALL SELECT 'payments', COUNT(*) FROM payments
+UNION ALL SELECT 'contracts', COUNT(*) FROM contracts
+UNION ALL SELECT 'credit_memos', COUNT(*) FROM credit_memos""")
+
+IO2 = with_ctes(["series_nation"], "SELECT * FROM series")
+
+IO4 = with_ctes(["invoices"], """
+SELECT invoice_id, CAST(billing_amount AS DOUBLE) AS billing_amount, CAST(orders_amount AS DOUBLE) AS orders_amount,
+       CAST(billing_amount - orders_amount AS DOUBLE) AS difference,
+       CASE WHEN n_o = 0 THEN 'ONLY_IN_BILLING' WHEN n_b = 0 THEN 'ONLY_IN_ORDERS'
+            WHEN abs(billing_amount - orders_amount) <= 0.01 THEN 'MATCHED' ELSE 'AMOUNT_MISMATCH' END AS status
+FROM (SELECT invoice_id, SUM(CASE WHEN src = 'billing' THEN amount END) AS billing_amount,
+             SUM(CASE WHEN src = 'orders' THEN amount END) AS orders_amount,
+             COUNT(CASE WHEN src = 'billing' THEN 1 END) AS n_b, COUNT(CASE WHEN src = 'orders' THEN 1 END) AS n_o
+      FROM (SELECT 'billing' AS src, invoice_id, amount_due AS amount FROM invoices
+            UNION ALL
+            SELECT 'orders', l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+                                         * (1 + CAST(l_tax AS DECIMAL(4,2))) FROM lineitem) m
+      GROUP BY invoice_id) g""")
+
+ORACLE.update({
+    "scan_billing": IO1,
+    "scan_monthly_revenue": IO2,
+    "sink_report_csv": R7,
+    "multi_source_merge": IO4,
+})

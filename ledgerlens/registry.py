@@ -312,3 +312,55 @@ QUERIES.update({
     "pivot_error_month": _q(pivot_error_month),
     "catch_rate_flag": _q(catch_rate_flag),
 })
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+import uuid  # noqa: E402
+
+from .session import ensure_checkpoint_dir  # noqa: E402
+from .sources import files as IO  # noqa: E402
+from .sources.schemas import MONEY  # noqa: E402
+
+
+def scan_billing(spark, sf_dir):
+    """IO1: the five adapted billing tables, row count per table."""
+    b = A.billing(spark, sf_dir)
+    frames = {"accounts": b.accounts, "invoices": b.invoices, "payments": b.payments,
+              "contracts": b.contracts, "credit_memos": b.credit_memos}
+    from .operators.relational import union_all
+    return union_all([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
+                      for n, df in frames.items()])
+
+
+def scan_monthly_revenue(spark, sf_dir):
+    """IO2: the per-nation monthly revenue series."""
+    return A.monthly_revenue_by_nation(spark, sf_dir)
+
+
+def sink_report_csv(spark, sf_dir):
+    """IO3: the ranked anomaly report written as CSV to the shared folder
+    and read back with its schema."""
+    report = N.anomaly_report(_nation_enriched(spark, sf_dir))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports/anomaly_report-{uuid.uuid4().hex}"
+    IO.write_report_csv(report, path)
+    return IO.read_report_csv(spark, path, report.schema)
+
+
+def multi_source_merge(spark, sf_dir):
+    """IO4: invoice amounts (billing platform) reconciled with line-item
+    charges (order platform) per invoice."""
+    inv = A.invoices(spark, sf_dir).select("invoice_id", F.col("amount_due").alias("amount"))
+    li = A.read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount", "l_tax")
+    charge = (F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))
+              * (1 + F.col("l_tax").cast("decimal(4,2)")))
+    lines = li.select(F.col("l_orderkey").alias("invoice_id"), charge.alias("amount"))
+    return IO.reconcile(inv, lines, "invoice_id", "amount", "billing", "orders")
+
+
+QUERIES.update({
+    "scan_billing": _q(scan_billing),
+    "scan_monthly_revenue": _q(scan_monthly_revenue),
+    "sink_report_csv": _q(sink_report_csv),
+    "multi_source_merge": _q(multi_source_merge),
+})
