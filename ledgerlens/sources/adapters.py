@@ -10,7 +10,7 @@ any data of that schema. The same derivations exist as SQL text in
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from functools import cached_property
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,23 +156,36 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
-@dataclass(frozen=True)
 class Billing:
-    accounts: DataFrame
-    invoices: DataFrame
-    payments: DataFrame
-    contracts: DataFrame
-    credit_memos: DataFrame
+    """The five billing tables of one source, each built on first use (a
+    report only plans the tables it reads)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return accounts(self._spark, self._dir)
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return invoices(self._spark, self._dir)
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return payments(self._spark, self._dir)
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return contracts(self._spark, self._dir)
+
+    @cached_property
+    def credit_memos(self) -> DataFrame:
+        return credit_memos(self._spark, self._dir)
 
 
 def billing(spark: SparkSession, sf_dir: str) -> Billing:
-    return Billing(
-        accounts=accounts(spark, sf_dir),
-        invoices=invoices(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        contracts=contracts(spark, sf_dir),
-        credit_memos=credit_memos(spark, sf_dir),
-    )
+    return Billing(spark, sf_dir)
 
 
 # --------------------------------------------------------------------------

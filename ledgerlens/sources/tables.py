@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -17,6 +18,33 @@ TABLES = (
 )
 
 
+def _schema(ddl: str) -> T.StructType:
+    return T._parse_datatype_string(ddl)  # type: ignore[attr-defined]
+
+
+# Declared schemas of the driver tables, so no read infers one from a footer.
+DECLARED = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "benchmark": "item_id bigint, text string",
+}
+
+_BASE: dict[tuple[int, str], DataFrame] = {}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
@@ -24,8 +52,18 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one table; with ``columns`` the scan is pruned to them."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Read one table with its declared schema; with ``columns`` the scan is
+    pruned to them. The base relation is memoised per session and path (a
+    lazy plan, no data is cached)."""
+    path = table_path(sf_dir, name)
+    key = (id(spark), path)
+    df = _BASE.get(key)
+    if df is None:
+        reader = spark.read
+        if name in DECLARED:
+            reader = reader.schema(DECLARED[name])
+        df = reader.parquet(path)
+        _BASE[key] = df
     return df.select(*columns) if columns else df
 
 
