@@ -98,6 +98,25 @@ def credit_totals(credit_memos: DataFrame) -> DataFrame:
     return per_key_totals(credit_memos, "invoice_id", total_credits=F.sum("memo_amount"))
 
 
+def invoice_totals(invoices: DataFrame) -> DataFrame:
+    """Live invoices with the columns the shortfall report needs."""
+    return invoices.filter(status_live()).select(
+        "invoice_id", "account_id", "amount_due", "invoice_date", "due_date", "product_line")
+
+
+def balance_gaps(invoices: DataFrame, payments: DataFrame, credit_memos: DataFrame) -> DataFrame:
+    """Live invoices ⟕ per-invoice payments ⟕ per-invoice credits, kept when
+    ``amount − paid − credits > 0.01`` (P6)."""
+    paid = F.coalesce(F.col("total_paid"), F.lit(0))
+    credits = F.coalesce(F.col("total_credits"), F.lit(0))
+    return (
+        invoice_totals(invoices)
+        .join(payment_totals(payments), "invoice_id", "left")
+        .join(credit_totals(credit_memos), "invoice_id", "left")
+        .filter(F.col("amount_due") - paid - credits > 0.01)
+    )
+
+
 def payment_shortfall(invoices: DataFrame, payments: DataFrame, credit_memos: DataFrame,
                       accounts: DataFrame, as_of: dt.date) -> DataFrame:
     """Live invoices whose amount exceeds payments plus credits by > 0.01.
@@ -107,16 +126,10 @@ def payment_shortfall(invoices: DataFrame, payments: DataFrame, credit_memos: Da
     the gap filter runs before the accounts join, which then shuffles only
     invoices with a gap.
     """
-    inv = invoices.filter(status_live()).select(
-        "invoice_id", "account_id", "amount_due", "invoice_date", "due_date", "product_line")
     paid = F.coalesce(F.col("total_paid"), F.lit(0))
     credits = F.coalesce(F.col("total_credits"), F.lit(0))
     net = F.col("amount_due") - paid - credits
-    gaps = (
-        inv.join(payment_totals(payments), "invoice_id", "left")
-        .join(credit_totals(credit_memos), "invoice_id", "left")
-        .filter(net > 0.01)
-    )
+    gaps = balance_gaps(invoices, payments, credit_memos)
     return (
         gaps.join(accounts.select("account_id", "account_name", "tier"), "account_id")
         .select(
@@ -237,46 +250,73 @@ def _vector(df: DataFrame, label: str, description: str, count: F.Column, amount
         F.lit(description).alias("description"))
 
 
-def leakage_vectors(invoices: DataFrame, payments: DataFrame, contracts: DataFrame, as_of: dt.date) -> DataFrame:
-    """The four one-row leakage vectors (before share of total)."""
-    amt = F.col("amount_due")
-    aging = _vector(
-        invoices.filter(status_open() & (as_of_col(as_of) > F.col("due_date"))),
-        "Aging Receivables", "Invoice unpaid past due date",
-        F.countDistinct("invoice_id"), F.sum(amt))
-
+def partial_payments(invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """Live invoices with some payment but less than the amount."""
     paid = F.coalesce(F.col("total_paid"), F.lit(0))
-    short = _vector(
+    return (
         left_join_preaggregated(invoices.select("invoice_id", "amount_due", "status"), payments, "invoice_id",
                                 total_paid=F.sum("amount_paid"))
-        .filter(status_live() & (paid > 0) & (paid < amt)),
-        "Short Payments", "Invoice partially paid — balance outstanding",
-        F.countDistinct("invoice_id"), F.sum(amt - paid))
+        .filter(status_live() & (paid > 0) & (paid < F.col("amount_due")))
+    )
+
 
-    dup_groups = (
+def duplicate_groups(invoices: DataFrame) -> DataFrame:
+    """Fingerprints with more than one live invoice and their overcharge
+    (sum − min), grouped by account id (orphans count) (A4, A9)."""
+    amt = F.col("amount_due")
+    return (
         invoices.filter(status_live()).groupBy(*FINGERPRINT)
         .agg(F.count(F.lit(1)).alias("n"), (F.sum(amt) - F.min(amt)).alias("overcharge_amount"))
         .filter(F.col("n") > 1)
     )
-    dups = _vector(dup_groups, "Duplicate Charges", "Same account billed twice for same period",
-                   F.count(F.lit(1)), F.sum("overcharge_amount"))
 
-    # Outer join with the date/status predicates in ON: they restrict the
-    # invoice side only, so filter that side first and aggregate it per account
-    # before the join (contracts × invoices would fan out per account).
+
+def contract_billing(contracts: DataFrame, invoices: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per active contract: live billing of its account since 1 January,
+    0 when none (J5, A12).
+
+    The outer join's ON holds the date and status predicates; they restrict
+    the invoice side only, so that side is filtered first and aggregated per
+    account before the join (contracts × invoices would fan out per account).
+    """
     billed_per_account = (
         invoices.filter((F.col("invoice_date") >= year_start(as_of)) & status_live())
-        .groupBy("account_id").agg(F.sum(amt).alias("account_billed"))
+        .groupBy("account_id").agg(F.sum("amount_due").alias("account_billed"))
     )
-    per_contract = (
+    return (
         contracts.filter(F.col("contract_end") >= as_of_col(as_of))
         .join(billed_per_account, "account_id", "left")
         .groupBy("contract_id", "contracted_arr")
         .agg(F.coalesce(F.sum("account_billed"), F.lit(0)).alias("actual_billed"))
     )
+
+
+def variance_ratio_exceeds(per_contract: DataFrame, threshold: float = 0.02) -> DataFrame:
+    """Contracts whose |billed − ARR| / ARR exceeds ``threshold``."""
+    gap = F.abs(F.col("actual_billed") - F.col("contracted_arr"))
+    return per_contract.filter(safe_div(gap.cast("double"), F.col("contracted_arr").cast("double")) > threshold)
+
+
+def leakage_vectors(invoices: DataFrame, payments: DataFrame, contracts: DataFrame, as_of: dt.date) -> DataFrame:
+    """The four one-row leakage vectors (before share of total)."""
+    amt = F.col("amount_due")
+    aging = _vector(
+        invoices.filter(status_open() & (as_of_col(as_of) > F.col("due_date"))),
+        "Aging Receivables", "Invoice unpaid past due date",
+        F.countDistinct("invoice_id"), F.sum(amt))
+
+    paid = F.coalesce(F.col("total_paid"), F.lit(0))
+    short = _vector(
+        partial_payments(invoices, payments),
+        "Short Payments", "Invoice partially paid — balance outstanding",
+        F.countDistinct("invoice_id"), F.sum(amt - paid))
+
+    dups = _vector(duplicate_groups(invoices), "Duplicate Charges", "Same account billed twice for same period",
+                   F.count(F.lit(1)), F.sum("overcharge_amount"))
+
     gap = F.abs(F.col("actual_billed") - F.col("contracted_arr"))
     variance = _vector(
-        per_contract.filter(safe_div(gap.cast("double"), F.col("contracted_arr").cast("double")) > 0.02),
+        variance_ratio_exceeds(contract_billing(contracts, invoices, as_of), 0.02),
         "Contract vs Billed Variance", "Billing rate differs from signed contract",
         F.count(F.lit(1)), F.sum(gap))
     return union_all([aging, short, dups, variance])

@@ -364,3 +364,16 @@ QUERIES.update({
     "sink_report_csv": _q(sink_report_csv),
     "multi_source_merge": _q(multi_source_merge),
 })
+
+
+# ---------------------------------------------------------------- building blocks
+
+from . import oracle as _O  # noqa: E402
+from . import primitives as P  # noqa: E402
+
+for _name, _fn in P.SPARK.items():
+    QUERIES[_name] = _q(_fn)
+for _alias, _target in P.ALIASES.items():
+    QUERIES[_alias] = QUERIES[_target]
+
+ORACLE_SQL: dict[str, str] = {**_O.ORACLE, **P.SQL, **{a: _O.ORACLE[t] for a, t in P.ALIASES.items()}}
