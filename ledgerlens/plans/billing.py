@@ -17,6 +17,7 @@ from ..functions.scalars import (
     as_of_col, billing_status, collection_priority, days_past_due, renewal_flag, round_half_up, safe_div,
     year_start,
 )
+from ..sources.schemas import MONEY
 from ..operators.relational import (
     count_when, left_join_preaggregated, null_safe_join, per_key_totals, status_live, status_open, sum_when,
     union_all,
@@ -165,27 +166,46 @@ def duplicate_invoice_lines(invoices: DataFrame) -> DataFrame:
     return null_safe_join(live, dups, FINGERPRINT)
 
 
-def duplicate_charges(invoices: DataFrame, accounts: DataFrame) -> DataFrame:
+# Width of the invoice-id ranges in which a group's id list is built before
+# the ranges are concatenated (see duplicate_charges).
+ID_CHUNK = 1 << 16
+
+
+def duplicate_charges(invoices: DataFrame, accounts: DataFrame, id_chunk: int = ID_CHUNK) -> DataFrame:
     """One row per duplicated fingerprint (grouped by account name and tier):
     total billed, expected charge (smallest invoice), overcharge and the
     invoice ids in id order.
 
     The id list is part of the report, so a group's list is as long as the
-    group; everything before it is skew-safe (grouped count, null-safe
-    equi-join that AQE splits when one fingerprint is hot).
+    group. To keep a hot group from being listed and sorted in one task, the
+    list is built in two levels: first per (group, id range) — sums, minima
+    and an ordered partial list, spread over many tasks — then the few
+    range pieces of each group are ordered by range and joined. Everything
+    before is skew-safe (grouped count, null-safe equi-join that AQE splits).
     """
+    group = ["account_name", "tier", "product_line", "billing_period_start", "billing_period_end",
+             "period_invoice_count"]
     lines = duplicate_invoice_lines(invoices)
-    return (
+    pieces = (
         lines.join(accounts.select("account_id", "account_name", "tier"), "account_id")
-        .groupBy("account_name", "tier", "product_line", "billing_period_start", "billing_period_end",
-                 "period_invoice_count")
+        .withColumn("_range", F.floor(F.col("invoice_id") / id_chunk))
+        .groupBy(*group, "_range")
         .agg(
-            F.sum("amount_due").alias("total_billed"),
-            F.min("amount_due").alias("expected_charge"),
-            (F.sum("amount_due") - F.min("amount_due")).alias("overcharge_amount"),
-            F.expr("listagg(CAST(invoice_id AS STRING), ', ') WITHIN GROUP (ORDER BY invoice_id)")
-            .alias("invoice_ids"),
+            F.sum("amount_due").alias("_sum"),
+            F.min("amount_due").alias("_min"),
+            F.expr("listagg(CAST(invoice_id AS STRING), ', ') WITHIN GROUP (ORDER BY invoice_id)").alias("_ids"),
         )
+    )
+    ordered_ids = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("_range", "_ids"))), lambda x: x["_ids"]), ", ")
+    return (
+        pieces.groupBy(*group)
+        .agg(
+            F.sum("_sum").alias("total_billed"),
+            F.min("_min").alias("expected_charge"),
+            ordered_ids.alias("invoice_ids"),
+        )
+        .withColumn("overcharge_amount", F.col("total_billed") - F.col("expected_charge"))
         .withColumnRenamed("period_invoice_count", "duplicate_count")
         .select("account_name", "tier", "product_line", "billing_period_start", "billing_period_end",
                 "duplicate_count", "total_billed", "expected_charge", "overcharge_amount", "invoice_ids")
@@ -346,13 +366,30 @@ def leakage_summary(invoices: DataFrame, payments: DataFrame, contracts: DataFra
 # Snippet reports
 # --------------------------------------------------------------------------
 
+def invoice_payment_rows(invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """``invoices ⟕ payments USING (invoice_id)``: one row per payment, and
+    one row with a NULL payment for an invoice without any.
+
+    Written as an inner join plus an anti join against the distinct paid
+    invoice ids: AQE can split a skewed partition on either side of an inner
+    join (a left outer join only on its left side), and the anti join sees
+    one row per invoice id after partial aggregation, so an invoice with a
+    huge number of payments does not land in one task.
+    """
+    inv = invoices.select("invoice_id", "account_id", "amount_due")
+    pay = payments.select("invoice_id", "amount_paid")
+    paid_ids = pay.select("invoice_id").distinct()
+    matched = inv.join(pay, "invoice_id")
+    unpaid = inv.join(paid_ids, "invoice_id", "left_anti").withColumn("amount_paid", F.lit(None).cast(MONEY))
+    return matched.unionByName(unpaid)
+
+
 def monthly_exceptions(invoices: DataFrame, payments: DataFrame, accounts: DataFrame) -> DataFrame:
     """Invoice ⟕ payment rows (one per payment, not aggregated) with
     ``net_balance = amount_due − paid`` above 0.01, largest first."""
     net = F.col("amount_due") - F.coalesce(F.col("amount_paid"), F.lit(0))
     return (
-        invoices.select("invoice_id", "account_id", "amount_due")
-        .join(payments.select("invoice_id", "amount_paid"), "invoice_id", "left")
+        invoice_payment_rows(invoices, payments)
         .withColumn("net_balance", net)
         .filter(F.col("net_balance") > 0.01)
         .join(accounts.select("account_id", "account_name"), "account_id")
