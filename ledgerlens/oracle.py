@@ -385,7 +385,8 @@ WINDOW w AS ({part} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"""
 
 def _flag_pred(x: str, base: str, spread: str, z: str = "2.5") -> str:
     return (f"COALESCE(CASE WHEN {spread} > 0 THEN abs({x} - {base}) / {spread} >= {z} "
-            f"WHEN {spread} = 0 THEN {x} <> {base} ELSE FALSE END, FALSE)")
+            f"WHEN {spread} = 0 THEN abs({x} - {base}) > 1e-9 * greatest(abs({x}), abs({base})) "
+            f"ELSE FALSE END, FALSE)")
 
 
 W10 = with_ctes(["series_nation"], f"""

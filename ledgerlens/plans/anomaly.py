@@ -184,12 +184,19 @@ def strict_baseline(df: DataFrame, metric: str, keys: Sequence[str], order: str,
     return df.withColumn("baseline", st["mean"]).withColumn("spread", st["std"])
 
 
+# Relative gap below which a value equals its flat baseline: a window mean
+# of identical values can differ from them in the last bits of the sum.
+FLAT_EPSILON = 1e-9
+
+
 def _abs_z_at_least(x, base, spread, z: float):
     # |x − base| / spread >= z with IEEE semantics: spread 0 and x ≠ base is an
-    # infinite z (flagged); spread 0 and x = base is NaN (not flagged).
+    # infinite z (flagged); spread 0 and x = base is NaN (not flagged). "Equal"
+    # allows the rounding of the window mean (FLAT_EPSILON, relative).
+    differs = F.abs(x - base) > F.lit(FLAT_EPSILON) * F.greatest(F.abs(x), F.abs(base))
     return (
         F.when(spread > 0, F.abs(x - base) / spread >= z)
-        .when(spread == 0, x != base)
+        .when(spread == 0, differs)
         .otherwise(F.lit(False))
     )
 
