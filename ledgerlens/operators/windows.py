@@ -60,3 +60,76 @@ def share_of_total(value: str, digits: int = 1) -> Column:
     share = F.col(value).cast("double") / F.nullif(total.cast("double"), F.lit(0.0)) * 100
     scale = float(10 ** digits)
     return F.round(share * F.lit(scale), 0) / F.lit(scale)
+
+
+# --------------------------------------------------------------------------
+# Split mode for long series (a hot key)
+# --------------------------------------------------------------------------
+
+def split_series(df: DataFrame, keys: Sequence[str], order: str, halo: int, block_rows: int,
+                 partitions: int | None = None) -> DataFrame:
+    """Cut each key's series into blocks of ``block_rows`` consecutive rows,
+    each preceded by a copy of the previous block's last ``halo`` rows.
+
+    Adds ``_idx`` (1-based position within the key, in ``order``), ``_block``
+    and ``_halo`` (True on the copies). A rows frame reaching at most
+    ``halo`` rows back, evaluated over ``partitionBy(*keys, "_block")
+    .orderBy("_idx")`` and kept on ``~_halo`` rows, equals the same frame over
+    the whole key; a window partition then holds at most
+    ``block_rows + halo`` rows however long the key's series is.
+
+    Positions come from range partitioning on (keys, order), which splits a
+    hot key across partitions, plus per-(partition, key) offsets; no window
+    spans a whole key. ``order`` must be unique within a key.
+    """
+    if block_rows < halo:
+        raise ValueError("block_rows must be at least the halo")
+    from ..session import materialize
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(
+        df.repartitionByRange(n, *keys, order).sortWithinPartitions(*keys, order)
+        .withColumn("_pid", F.spark_partition_id())
+    )
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(order)))
+    sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per (partition, key): a key spans at most all partitions.
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    placed = (
+        local.join(offsets, ["_pid", *keys])
+        .withColumn("_idx", (F.col("_off") + F.col("_local")).cast("long"))
+        .drop("_pid", "_local", "_off")
+        .withColumn("_block", F.floor((F.col("_idx") - 1) / block_rows).cast("long"))
+    )
+    own = placed.withColumn("_halo", F.lit(False))
+    copies = (
+        placed.filter((F.col("_idx") - 1) % block_rows >= block_rows - halo)
+        .withColumn("_block", F.col("_block") + 1)
+        .withColumn("_halo", F.lit(True))
+    )
+    return own.unionByName(copies)
+
+
+def forward_filled_split(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Forward fill (last non-NULL value up to the row) on a split series:
+    within the block (its halo included) by a running ``last``, and from
+    earlier blocks through a per-block carry (one row per block)."""
+    bkeys = [*keys, "_block"]
+    inside = F.last(value, ignorenulls=True).over(
+        Window.partitionBy(*bkeys).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0))
+    last_in_block = (
+        df.filter(~F.col("_halo") & F.col(value).isNotNull())
+        .groupBy(*bkeys).agg(F.max_by(value, "_idx").alias("_last"))
+    )
+    carry = last_in_block.select(
+        *keys, (F.col("_block") + 1).alias("_block"), "_last")
+    # carry into block b = last non-NULL of all blocks < b (a window over one row per block)
+    blocks = df.select(*bkeys).distinct().join(carry, bkeys, "left")
+    carried = blocks.select(
+        *bkeys,
+        F.last("_last", ignorenulls=True).over(
+            Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias("_carry"),
+    )
+    return (df.withColumn("_in", inside).join(carried, bkeys, "left")
+            .withColumn("_filled", F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry"))

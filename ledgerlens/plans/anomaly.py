@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (
     anomaly_type, month_label, priority_tier, round_half_even, severity_score,
 )
-from ..operators.windows import forward_filled, lagged_pct_change, ordered_window, trailing_stats
+from ..operators.windows import (
+    forward_filled, forward_filled_split, lagged_pct_change, ordered_window, split_series, trailing_stats,
+)
 
 
 @dataclass(frozen=True)
@@ -43,17 +45,27 @@ REPORT_COLUMNS = ("account", "month", "revenue", "rolling_mean", "pct_vs_baselin
 
 
 def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
-                   key: str = "account", order: str = "month", value: str = "revenue") -> DataFrame:
+                   key: str = "account", order: str = "month", value: str = "revenue",
+                   split_rows: int | None = None) -> DataFrame:
     """Enriched series: one output row per input row with the baseline,
-    z-score, flags, type and severity (R6)."""
-    keys = [key]
-    stats = trailing_stats(value, keys, order, cfg.window, cfg.min_periods)
-    base = series.select(
-        key, order, value,
-        stats["mean"].alias("rolling_mean"),
-        stats["std"].alias("_std"),
-        *( [forward_filled(value, keys, order).alias("_filled")] if cfg.fill == "pad" else [] ),
-    )
+    z-score, flags, type and severity (R6).
+
+    ``split_rows`` (optional) evaluates the windows on blocks of that many
+    rows per key with a halo of the rows they look back on (see
+    ``split_series``), so a key with a very long series is spread over many
+    tasks; the result is the same.
+    """
+    if split_rows:
+        work = split_series(series.select(key, order, value), [key], order,
+                            halo=max(cfg.window, cfg.erosion_window), block_rows=split_rows)
+        keys, pos = [key, "_block"], "_idx"
+    else:
+        work, keys, pos = series.select(key, order, value), [key], order
+    stats = trailing_stats(value, keys, pos, cfg.window, cfg.min_periods)
+    if cfg.fill == "pad":
+        work = forward_filled_split(work, value, [key]) if split_rows else work.withColumn(
+            "_filled", forward_filled(value, keys, pos))
+    base = work.withColumn("rolling_mean", stats["mean"]).withColumn("_std", stats["std"])
     change_of = "_filled" if cfg.fill == "pad" else value
     mean = F.col("rolling_mean")
     floor = mean * cfg.std_floor
@@ -64,14 +76,17 @@ def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
         .withColumn("z_score", (rev - mean) / F.nullif(F.col("rolling_std"), F.lit(0.0)))
         .withColumn("pct_vs_baseline", (rev - mean) / F.nullif(mean, F.lit(0.0)) * 100)
         .withColumn("point_anomaly", F.coalesce(F.abs(F.col("z_score")) >= cfg.z_threshold, F.lit(False)))
-        .withColumn("erosion_pct", lagged_pct_change(change_of, keys, order, cfg.erosion_window))
+        .withColumn("erosion_pct", lagged_pct_change(change_of, keys, pos, cfg.erosion_window))
         .withColumn("erosion_flag", F.coalesce(F.col("erosion_pct") <= cfg.erosion_threshold, F.lit(False)))
     )
     typed = enriched.withColumn(
         "anomaly_type", anomaly_type(F.col("point_anomaly"), F.col("z_score"), F.col("erosion_flag")))
-    return typed.withColumn(
-        "severity_score", severity_score(F.col("anomaly_type"), F.col("erosion_pct"), F.col("z_score"))
-    ).drop("_std", "_filled")
+    out = typed.withColumn(
+        "severity_score", severity_score(F.col("anomaly_type"), F.col("erosion_pct"), F.col("z_score")))
+    if split_rows:
+        out = out.filter(~F.col("_halo"))
+    return out.select(key, order, value, "rolling_mean", "rolling_std", "z_score", "pct_vs_baseline",
+                      "point_anomaly", "erosion_pct", "erosion_flag", "anomaly_type", "severity_score")
 
 
 def anomaly_report(enriched: DataFrame, key: str = "account", order: str = "month",
@@ -177,9 +192,16 @@ def chart_feed(enriched: DataFrame, n: int = 4, key: str = "account",
 
 # ---------------------------------------------------------------- generic flag
 
-def strict_baseline(df: DataFrame, metric: str, keys: Sequence[str], order: str, window: int = 6) -> DataFrame:
+def strict_baseline(df: DataFrame, metric: str, keys: Sequence[str], order: str, window: int = 6,
+                    split_rows: int | None = None) -> DataFrame:
     """Adds ``baseline`` and ``spread``: mean and sample std of the previous
-    ``window`` rows, only when all ``window`` rows are present (W10)."""
+    ``window`` rows, only when all ``window`` rows are present (W10).
+    ``split_rows`` spreads very long series over blocks (``split_series``)."""
+    if split_rows:
+        work = split_series(df, list(keys), order, halo=window, block_rows=split_rows)
+        st = trailing_stats(metric, [*keys, "_block"], "_idx", window, window)
+        out = work.withColumn("baseline", st["mean"]).withColumn("spread", st["std"]).filter(~F.col("_halo"))
+        return out.drop("_idx", "_block", "_halo")
     st = trailing_stats(metric, keys, order, window, window)
     return df.withColumn("baseline", st["mean"]).withColumn("spread", st["std"])
 
@@ -202,11 +224,11 @@ def _abs_z_at_least(x, base, spread, z: float):
 
 
 def metric_flag(df: DataFrame, metric: str, keys: Sequence[str] = (), order: str = "month",
-                window: int = 6, z: float = 2.5) -> DataFrame:
+                window: int = 6, z: float = 2.5, split_rows: int | None = None) -> DataFrame:
     """Rows whose ``metric`` lies ``z`` or more sample stds from the mean of
     the previous ``window`` rows of the same key (full window required, no
     floor). Returns the offending input rows (U2)."""
-    b = strict_baseline(df, metric, keys, order, window)
+    b = strict_baseline(df, metric, keys, order, window, split_rows)
     hit = F.coalesce(_abs_z_at_least(F.col(metric), F.col("baseline"), F.col("spread"), z), F.lit(False))
     return b.filter(hit).select(*df.columns)
 
@@ -223,12 +245,12 @@ def floored_baseline_flag(df: DataFrame, metric: str, keys: Sequence[str] = (),
 
 
 def multi_metric_pulse(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (), order: str = "month",
-                       window: int = 6, z: float = 2.5) -> DataFrame:
+                       window: int = 6, z: float = 2.5, split_rows: int | None = None) -> DataFrame:
     """``metric_flag`` for several metrics in one pass: unpivot to
     (metric, value) and partition by key and metric, so one exchange serves
     every metric (U3). Output: keys, order, metric, value."""
     long = df.unpivot([*keys, order], list(metrics), "metric", "value")
-    flagged = metric_flag(long, "value", [*keys, "metric"], order, window, z)
+    flagged = metric_flag(long, "value", [*keys, "metric"], order, window, z, split_rows)
     return flagged.select(*keys, order, "metric", "value")
 
 

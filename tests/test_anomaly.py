@@ -211,3 +211,37 @@ def test_new_findings_is_an_anti_join(spark):
     new = N.new_findings(cur, prev).collect()
     assert all(r["month"] >= "2021-06" for r in new)
     assert len(new) == cur.filter(cur.month >= "2021-06").count()
+
+
+def test_split_mode_equals_plain_windows_on_a_hot_key(spark):
+    rng = np.random.default_rng(3)
+    data = {"hot": list(1000 + rng.normal(0, 50, 700)), "cold": list(500 + rng.normal(0, 20, 30)),
+            "tiny": [1, 2, 3]}
+    data["hot"][100] = None
+    data["hot"][101] = None     # a NULL run crossing nothing in particular
+    data["hot"][199] = None     # NULL at a block edge (block_rows = 50)
+    data["hot"][200] = None
+    data["hot"][300] = 5000.0   # a spike
+    rows = []
+    base = dt.date(1900, 1, 1)
+    for acct, vals in data.items():
+        for i, v in enumerate(vals):
+            rows.append((acct, base + dt.timedelta(days=i), None if v is None else float(v)))
+    df = spark.createDataFrame(rows, MONTHLY_SERIES)
+    cols = ["account", "month", "rolling_mean", "rolling_std", "z_score", "erosion_pct", "anomaly_type"]
+
+    def as_map(frame):
+        return {(r["account"], r["month"]): tuple(r[c] for c in cols[2:]) for r in frame.select(*cols).collect()}
+
+    plain = as_map(N.anomaly_series(df))
+    split = as_map(N.anomaly_series(df, split_rows=50))
+    assert plain.keys() == split.keys()
+    for k, a in plain.items():
+        b = split[k]
+        assert a[-1] == b[-1], k
+        for x, y in zip(a[:-1], b[:-1]):
+            assert (x is None and y is None) or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9), (k, a, b)
+    f_plain = {(r["account"], r["month"]) for r in N.metric_flag(df, "revenue", ["account"], "month").collect()}
+    f_split = {(r["account"], r["month"])
+               for r in N.metric_flag(df, "revenue", ["account"], "month", split_rows=40).collect()}
+    assert f_plain == f_split and f_plain
