@@ -401,3 +401,23 @@ def monitor_new_findings(spark, sf_dir):
 
 QUERIES["monitor_new_findings"] = _q(monitor_new_findings)
 ORACLE_SQL["monitor_new_findings"] = _O.R7
+
+
+def metric_flag_events(spark, sf_dir):
+    """U2 on raw rows: events whose value lies 2.5 stds from the previous six
+    events of the same type (ordered by time, then id). Five event types hold
+    all rows, so every key is hot: the windows run in split mode."""
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
+    ordered = ev.withColumn("_ord", F.struct("ts", "event_id"))
+    flagged = N.metric_flag(ordered, "value", ["event_type"], "_ord", split_rows=1024)
+    return flagged.drop("_ord")
+
+
+QUERIES["metric_flag_events"] = _q(metric_flag_events)
+ORACLE_SQL["metric_flag_events"] = """
+SELECT event_id, event_type, ts, value
+FROM (SELECT *, CASE WHEN COUNT(value) OVER w >= 6 THEN AVG(value) OVER w END AS baseline,
+                CASE WHEN COUNT(value) OVER w >= 6 THEN STDDEV_SAMP(value) OVER w END AS spread
+      FROM events
+      WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) b
+WHERE """ + _O._flag_pred("value", "baseline", "spread")
