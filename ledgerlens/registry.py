@@ -269,8 +269,8 @@ from .plans import recovery as RC  # noqa: E402
 
 
 def _audit_lines(spark, sf_dir):
-    return FR.audit_lines(A.freight_invoices(spark, sf_dir), A.contract_rates(spark, sf_dir),
-                          A.spot_quotes(spark, sf_dir), A.tolerance_rules(spark, sf_dir))
+    f = A.freight(spark, sf_dir)
+    return FR.audit_lines(f.invoices, f.contract_rates, f.spot_quotes, f.rules)
 
 
 def freight_exception_report(spark, sf_dir):

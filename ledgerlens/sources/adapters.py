@@ -13,6 +13,7 @@ import datetime as dt
 from functools import cached_property
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -288,18 +289,18 @@ def freight_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rate_basis(fi: DataFrame) -> DataFrame:
+def rate_basis(fi: DataFrame) -> DataFrame:
+    """Floor of the mid unit price per (carrier, lane, mode) of the freight lines."""
     unit = F.floor(F.col("billed").cast("double") / F.nullif(F.col("qty").cast("double"), F.lit(0.0)))
     return fi.groupBy("carrier", "lane", "mode").agg(
         F.floor((F.min(unit) + F.max(unit)) / 2).cast(MONEY).alias("rate")
     )
 
 
-def contract_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contract_rates_from(basis: DataFrame) -> DataFrame:
     """Contracted rate per (carrier, lane, mode); keys with
     (carrier digit + length(lane)) % 4 = 0 are left out, and carrier C3 has a
     second, later row that the lookup must ignore."""
-    basis = _rate_basis(freight_invoices(spark, sf_dir))
     digit = F.substring("carrier", 2, 4).cast("int")
     kept = basis.filter((digit + F.length("lane")) % 4 != 0)
     first = kept.withColumn("ordinal", F.lit(1))
@@ -308,15 +309,59 @@ def contract_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(later)
 
 
-def spot_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spot_quotes_from(basis: DataFrame) -> DataFrame:
     """Spot quotes for even carriers, 10 % above the basis rate (floored)."""
-    basis = _rate_basis(freight_invoices(spark, sf_dir))
     digit = F.substring("carrier", 2, 4).cast("int")
     return basis.filter(digit % 2 == 0).select(
         "carrier", "lane", "mode", F.floor(F.col("rate") * F.lit(Decimal("1.1"))).cast(MONEY).alias("rate"),
         F.lit(1).alias("ordinal"))
 
 
+def contract_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract_rates_from(rate_basis(freight_invoices(spark, sf_dir)))
+
+
+def spot_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_quotes_from(rate_basis(freight_invoices(spark, sf_dir)))
+
+
+class Freight:
+    """Freight lines, rate tables and tolerance rules of one source, each
+    built once on first use; the rate tables share one basis over the same
+    lines DataFrame, so the plan holds one line-item ⋈ part subtree that
+    Spark can reuse."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return freight_invoices(self._spark, self._dir)
+
+    @cached_property
+    def basis(self) -> DataFrame:
+        # One row per rate key (a few hundred here; bounded by the rate
+        # table's keys in general). Persisted so both rate tables read it once
+        # and the planner sees its real size when it chooses the join.
+        return rate_basis(self.invoices).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def contract_rates(self) -> DataFrame:
+        return contract_rates_from(self.basis)
+
+    @cached_property
+    def spot_quotes(self) -> DataFrame:
+        return spot_quotes_from(self.basis)
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return tolerance_rules(self._spark, self._dir)
+
+
+def freight(spark: SparkSession, sf_dir: str) -> Freight:
+    return Freight(spark, sf_dir)
+
+
 def tolerance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per supplier account: flat dollars ($0.01 … $100) for even
     keys, a percentage for odd keys; free days and a daily demurrage rate."""
