@@ -23,7 +23,7 @@ HEADLINE = [
     "aging_receivables", "payment_shortfall", "duplicate_charges", "contract_variance", "leakage_summary",
     "monthly_exceptions", "anomaly_series", "anomaly_report", "anomaly_report_customer", "metric_flag",
     "multi_metric_pulse", "pattern_tagging_documents", "freight_exception_report", "freight_dashboard",
-    "recovery_dashboard", "multi_source_merge",
+    "recovery_dashboard", "multi_source_merge", "metric_flag_events", "pattern_tagging_extended",
 ]
 
 

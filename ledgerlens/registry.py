@@ -334,8 +334,14 @@ def scan_billing(spark, sf_dir):
 
 
 def scan_monthly_revenue(spark, sf_dir):
-    """IO2: the per-nation monthly revenue series."""
-    return A.monthly_revenue_by_nation(spark, sf_dir)
+    """IO2: the per-nation monthly revenue series as a CSV export (header,
+    ISO months) in the shared folder, read back with the explicit schema and
+    the month parsed to a date."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/monthly_revenue-{uuid.uuid4().hex}"
+    series = A.monthly_revenue_by_nation(spark, sf_dir)
+    series.select("account", F.date_format("month", "yyyy-MM-dd").alias("month"), "revenue") \
+        .write.mode("overwrite").option("header", True).csv(path)
+    return IO.read_monthly_revenue(spark, path)
 
 
 def sink_report_csv(spark, sf_dir):
