@@ -55,7 +55,12 @@ def audit_lines(invoices: DataFrame, contract_rates: DataFrame, spot_quotes: Dat
         F.coalesce(demurrage(F.col("arrived"), F.col("delivered"), F.col("free_days"), F.col("day_rate")),
                    F.lit(0)).cast("decimal(18,2)"),
     )
-    approved = F.when(F.col("audit_label") == "OVERCHARGE", F.col("expected")).otherwise(F.col("billed"))
+    # OVERCHARGE without comparing label strings: a rate, a positive
+    # difference, and not within the allowance (a NULL allowance is not within).
+    diff = F.col("billed") - F.col("expected")
+    allowance = F.when(F.col("kind") == "flat", F.col("tolerance")).otherwise(F.col("expected") * F.col("tolerance"))
+    over = F.col("rate").isNotNull() & (diff > 0) & ~F.coalesce(F.abs(diff) <= allowance, F.lit(False))
+    approved = F.when(over, F.col("expected")).otherwise(F.col("billed"))
     return (
         labelled.withColumn("approved", approved)
         .withColumn("balance", F.col("approved") - F.col("paid"))
@@ -65,7 +70,10 @@ def audit_lines(invoices: DataFrame, contract_rates: DataFrame, spot_quotes: Dat
 
 
 def is_exception() -> F.Column:
-    return (F.col("audit_label") != "WITHIN TOLERANCE") | F.col("pay_status").isNotNull()
+    """Not within tolerance, or an open balance (the lines with a pay status).
+    Written on ``balance`` rather than on the pay-status text, so a filter
+    pushed below the projections does not carry the label expression again."""
+    return (F.col("audit_label") != "WITHIN TOLERANCE") | (F.col("balance") > 0)
 
 
 def exception_report(lines: DataFrame) -> DataFrame:
