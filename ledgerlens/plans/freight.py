@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import demurrage, shortpay_reason, tolerance_class
+from ..session import broadcast_if_bounded
 
 RATE_KEY = ("carrier", "lane", "mode")
+# Lookup tables up to this many rows are broadcast (a few tens of MB).
+LOOKUP_BROADCAST_ROWS = 1_000_000
 
 
 def first_rate(rates: DataFrame, alias: str) -> DataFrame:
@@ -31,13 +34,17 @@ def audit_lines(invoices: DataFrame, contract_rates: DataFrame, spot_quotes: Dat
     """Every freight line with rate, source, expected charge, tolerance label,
     demurrage, approved amount, balance and pay status.
 
-    Rate tables and rules are keyed lookups; AQE broadcasts them when their
-    runtime size is under the threshold and shuffles otherwise.
+    Rate tables (one row per key after ``first_rate``) and rules are keyed
+    lookups. Each is broadcast only when a bounded count proves it has at most
+    ``LOOKUP_BROADCAST_ROWS`` rows; a larger one is left to AQE (runtime size
+    check, shuffle join beyond it).
     """
+    contract = broadcast_if_bounded(first_rate(contract_rates, "contract_rate"), LOOKUP_BROADCAST_ROWS)
+    spot = broadcast_if_bounded(first_rate(spot_quotes, "spot_rate"), LOOKUP_BROADCAST_ROWS)
     joined = (
-        invoices.join(first_rate(contract_rates, "contract_rate"), list(RATE_KEY), "left")
-        .join(first_rate(spot_quotes, "spot_rate"), list(RATE_KEY), "left")
-        .join(rules, "account_id", "left")
+        invoices.join(contract, list(RATE_KEY), "left")
+        .join(spot, list(RATE_KEY), "left")
+        .join(broadcast_if_bounded(rules, LOOKUP_BROADCAST_ROWS), "account_id", "left")
     )
     rate = F.coalesce(F.col("contract_rate"), F.col("spot_rate"))
     expected = (rate * F.col("qty")).cast("decimal(18,2)")

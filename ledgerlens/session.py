@@ -51,10 +51,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is unset, which happens in local tests.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not configured:
+        configured = sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/…) for this cluster")
+        # Local mode only (tests, bench): a private scratch folder.
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
