@@ -87,11 +87,13 @@ def split_series(df: DataFrame, keys: Sequence[str], order: str, halo: int, bloc
     from ..session import materialize
 
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # NULL order values last, as in the unsplit window (ordered_window).
+    by = [*[F.col(k).asc() for k in keys], F.col(order).asc_nulls_last()]
     ranged = materialize(
-        df.repartitionByRange(n, *keys, order).sortWithinPartitions(*keys, order)
-        .withColumn("_pid", F.spark_partition_id())
+        df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id())
     )
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(order)))
+    local = ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(F.col(order).asc_nulls_last())))
     sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     # One row per (partition, key): a key spans at most all partitions.
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -227,6 +227,7 @@ def test_split_mode_equals_plain_windows_on_a_hot_key(spark):
     for acct, vals in data.items():
         for i, v in enumerate(vals):
             rows.append((acct, base + dt.timedelta(days=i), None if v is None else float(v)))
+    rows.append(("cold", None, 480.0))   # a NULL order value sorts last in both modes
     df = spark.createDataFrame(rows, MONTHLY_SERIES)
     cols = ["account", "month", "rolling_mean", "rolling_std", "z_score", "erosion_pct", "anomaly_type"]
 
