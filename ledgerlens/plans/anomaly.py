@@ -263,3 +263,45 @@ def new_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Findings of the current report that the previous report did not have,
     keyed by (account, month, anomaly type)."""
     return current.join(previous.select(*FINDING_KEY), list(FINDING_KEY), "left_anti")
+
+
+# ---------------------------------------------------------------- one run, all outputs
+
+@dataclass(frozen=True)
+class DetectorRun:
+    enriched: DataFrame
+    report: DataFrame
+    top_rows: DataFrame
+    by_type: DataFrame
+    by_priority: DataFrame
+    headline: DataFrame
+    chart_feed: DataFrame
+
+
+def run_detector(series: DataFrame, cfg: DetectorConfig = DetectorConfig(), key: str = "account",
+                 order: str = "month", value: str = "revenue", split_rows: int | None = None,
+                 checkpoint: bool = True) -> DetectorRun:
+    """All outputs of one detector run over ``series``: enriched series,
+    ranked report, its first 15 rows, summaries by type and priority, the
+    headline and the chart feed of the top 4 accounts.
+
+    With ``checkpoint`` the enriched series is written once to the shared
+    checkpoint folder (reliable checkpoint), so the outputs read it instead of
+    re-running the windows, and a lost executor does not reach back to the
+    sources.
+    """
+    from ..session import materialize
+
+    enriched = anomaly_series(series, cfg, key, order, value, split_rows)
+    if checkpoint:
+        enriched = materialize(enriched)
+    report = anomaly_report(enriched, key, order, value)
+    return DetectorRun(
+        enriched=enriched,
+        report=report,
+        top_rows=top_report_rows(report, 15),
+        by_type=summary_by_type(report),
+        by_priority=priority_counts(report),
+        headline=headline(series, report, key, order),
+        chart_feed=chart_feed(enriched, 4, key, order, value),
+    )

@@ -402,3 +402,15 @@ def aging_bucket_count(invoices: DataFrame, as_of: dt.date, days: int = 90) -> D
     """Number of invoices more than ``days`` days late (``d90``)."""
     late = days_past_due(as_of, F.col("due_date"))
     return invoices.agg(count_when(late > days).cast("long").alias("d90"))
+
+
+def billing_reports(invoices: DataFrame, payments: DataFrame, credit_memos: DataFrame, contracts: DataFrame,
+                    accounts: DataFrame, as_of: dt.date) -> dict[str, DataFrame]:
+    """The five reports of the billing query set, by name, for one as-of date."""
+    return {
+        "aging_receivables": aging_receivables(invoices, accounts, as_of),
+        "payment_shortfall": payment_shortfall(invoices, payments, credit_memos, accounts, as_of),
+        "duplicate_charges": duplicate_charges(invoices, accounts),
+        "contract_variance": contract_variance(contracts, invoices, accounts, as_of),
+        "leakage_summary": leakage_summary(invoices, payments, contracts, as_of),
+    }

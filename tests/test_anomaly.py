@@ -246,3 +246,13 @@ def test_split_mode_equals_plain_windows_on_a_hot_key(spark):
     f_split = {(r["account"], r["month"])
                for r in N.metric_flag(df, "revenue", ["account"], "month", split_rows=40).collect()}
     assert f_plain == f_split and f_plain
+
+
+def test_run_detector_outputs_agree_with_single_calls(spark):
+    df = series_df(spark, scenario_series())
+    run = N.run_detector(df)
+    direct = N.anomaly_report(N.anomaly_series(df))
+    assert {tuple(r) for r in run.report.collect()} == {tuple(r) for r in direct.collect()}
+    assert run.top_rows.count() == 15
+    assert run.headline.collect()[0]["anomalies_flagged"] == direct.count()
+    assert run.chart_feed.select("account").distinct().count() == 4

@@ -194,3 +194,13 @@ def test_monthly_exceptions_fanout_and_unpaid(spark, accounts):
 
 def test_aging_bucket_count(spark, invoices):
     assert B.aging_bucket_count(invoices, AS_OF).collect()[0]["d90"] == 6
+
+
+def test_billing_reports_bundle(spark, sf_small):
+    from ledgerlens.sources import adapters as A
+
+    b = A.billing(spark, sf_small)
+    reports = B.billing_reports(b.invoices, b.payments, b.credit_memos, b.contracts, b.accounts, AS_OF)
+    assert list(reports) == ["aging_receivables", "payment_shortfall", "duplicate_charges",
+                             "contract_variance", "leakage_summary"]
+    assert reports["leakage_summary"].count() == 4
