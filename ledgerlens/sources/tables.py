@@ -8,6 +8,8 @@ PushedFilters.
 from __future__ import annotations
 
 import os
+import weakref
+from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -42,7 +44,19 @@ DECLARED = {
     "benchmark": "item_id bigint, text string",
 }
 
-_BASE: dict[tuple[int, str], DataFrame] = {}
+# Lazy plans per live session (weak keys: a stopped session's plans go with it).
+_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def session_plan(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Return the DataFrame built by ``build`` for ``key`` in this session,
+    building it once. A DataFrame is an immutable lazy plan, so sharing it
+    only saves plan construction; every action still reads the sources."""
+    plans = _PLANS.setdefault(spark, {})
+    df = plans.get(key)
+    if df is None:
+        df = plans[key] = build()
+    return df
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -56,14 +70,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     pruned to them. The base relation is memoised per session and path (a
     lazy plan, no data is cached)."""
     path = table_path(sf_dir, name)
-    key = (id(spark), path)
-    df = _BASE.get(key)
-    if df is None:
-        reader = spark.read
-        if name in DECLARED:
-            reader = reader.schema(DECLARED[name])
-        df = reader.parquet(path)
-        _BASE[key] = df
+
+    def build() -> DataFrame:
+        reader = spark.read.schema(DECLARED[name]) if name in DECLARED else spark.read
+        return reader.parquet(path)
+
+    df = session_plan(spark, ("table", path), build)
     return df.select(*columns) if columns else df
 
 
