@@ -122,10 +122,12 @@ def payment_shortfall(invoices: DataFrame, payments: DataFrame, credit_memos: Da
                       accounts: DataFrame, as_of: dt.date) -> DataFrame:
     """Live invoices whose amount exceeds payments plus credits by > 0.01.
 
-    Plan: both per-invoice aggregates and the invoices are hash-partitioned on
-    ``invoice_id``, so the two left joins share one exchange of the invoices;
-    the gap filter runs before the accounts join, which then shuffles only
-    invoices with a gap.
+    Plan: payments and credits are aggregated per invoice first (one row per
+    invoice, partial aggregation). When those aggregates are small AQE
+    broadcasts them and the invoices are not shuffled at all; when they are
+    large both joins are sort-merge joins on ``invoice_id`` over one exchange
+    of the invoices. The gap filter runs before the accounts join, which then
+    moves only invoices with a gap.
     """
     paid = F.coalesce(F.col("total_paid"), F.lit(0))
     credits = F.coalesce(F.col("total_credits"), F.lit(0))
