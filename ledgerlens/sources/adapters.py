@@ -425,3 +425,11 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages", "page_id", "html").select(
         F.col("page_id").alias("id"), F.col("html").alias("text"))
+
+
+def register_billing_views(spark: SparkSession, sf_dir: str) -> None:
+    """Register the five adapted billing tables as temp views
+    (``accounts invoices payments contracts credit_memos``) for Spark SQL."""
+    b = billing(spark, sf_dir)
+    for name in ("accounts", "invoices", "payments", "contracts", "credit_memos"):
+        getattr(b, name).createOrReplaceTempView(name)

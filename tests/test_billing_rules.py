@@ -204,3 +204,13 @@ def test_billing_reports_bundle(spark, sf_small):
     assert list(reports) == ["aging_receivables", "payment_shortfall", "duplicate_charges",
                              "contract_variance", "leakage_summary"]
     assert reports["leakage_summary"].count() == 4
+
+
+def test_billing_views_answer_sql(spark, sf_small):
+    from ledgerlens.sources import adapters as A
+
+    A.register_billing_views(spark, sf_small)
+    sql = spark.sql("""
+        SELECT SUM(CASE WHEN datediff(DATE'2001-06-30', due_date) > 90 THEN 1 ELSE 0 END) AS d90 FROM invoices""")
+    b = A.billing(spark, sf_small)
+    assert sql.collect()[0]["d90"] == B.aging_bucket_count(b.invoices, AS_OF).collect()[0]["d90"]
