@@ -7,14 +7,27 @@ decimals → DOUBLE, small integers → BIGINT.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import oracle as _O
+from . import primitives as P
+from .functions.scalars import round_half_up
+from .plans import anomaly as N
 from .plans import billing as B
+from .plans import freight as FR
+from .plans import recovery as RC
+from .plans import tagging as G
+from .session import ensure_checkpoint_dir
 from .sources import adapters as A
+from .sources import files as IO
+from .sources.patterns import default_patterns
+from .sources.schemas import MONEY
+from .streaming import monitor as MON
 
 AS_OF = A.AS_OF
 
@@ -99,8 +112,6 @@ QUERIES: dict[str, Query] = {
 
 # ---------------------------------------------------------------- anomaly detector
 
-from .functions.scalars import round_half_up  # noqa: E402
-from .plans import anomaly as N  # noqa: E402
 
 _SIX = ("rolling_mean", "rolling_std", "z_score", "pct_vs_baseline", "erosion_pct", "severity_score",
         "baseline", "spread", "z")
@@ -208,8 +219,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- pattern tagging
 
-from .plans import tagging as G  # noqa: E402
-from .sources.patterns import default_patterns  # noqa: E402
 
 HOST_PATTERN = r"^[a-zA-Z]+://([^/?#:]+)"
 
@@ -264,9 +273,6 @@ QUERIES["pattern_tagging_extended"] = _q(pattern_tagging_extended)
 
 # ---------------------------------------------------------------- freight and recovery
 
-from .plans import freight as FR  # noqa: E402
-from .plans import recovery as RC  # noqa: E402
-
 
 def _audit_lines(spark, sf_dir):
     f = A.freight(spark, sf_dir)
@@ -316,12 +322,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- sources and sinks
 
-import uuid  # noqa: E402
-
-from .session import ensure_checkpoint_dir  # noqa: E402
-from .sources import files as IO  # noqa: E402
-from .sources.schemas import MONEY  # noqa: E402
-
 
 def scan_billing(spark, sf_dir):
     """IO1: the five adapted billing tables, row count per table."""
@@ -374,8 +374,6 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- building blocks
 
-from . import oracle as _O  # noqa: E402
-from . import primitives as P  # noqa: E402
 
 for _name, _fn in P.SPARK.items():
     QUERIES[_name] = _q(_fn)
@@ -387,8 +385,6 @@ ORACLE_SQL: dict[str, str] = {**_O.ORACLE, **P.SQL, **{a: _O.ORACLE[t] for a, t
 
 # ---------------------------------------------------------------- streaming monitor
 
-from .streaming import monitor as MON  # noqa: E402
-
 
 def monitor_new_findings(spark, sf_dir):
     """The monitor as two scheduled streaming runs: month files before
