@@ -94,20 +94,28 @@ def exception_report(lines: DataFrame) -> DataFrame:
 def dashboard(lines: DataFrame) -> DataFrame:
     """KPIs by total, carrier, (mode, container) and account in one pass with
     GROUPING SETS (R14): lines, exceptions, exception rate, billed, the sum of
-    overcharges above expected, demurrage."""
+    overcharges above expected, demurrage.
+
+    The lines are first aggregated at the finest grain (carrier, mode,
+    container, account; partial aggregation), and the grouping sets then
+    expand those few rows instead of every line: counts and sums add up, so
+    the result is the same.
+    """
     over = F.when(F.col("audit_label") == "OVERCHARGE", F.col("billed") - F.col("expected")).otherwise(F.lit(0))
-    g = lines.select(
-        "carrier", "mode", "container", "account_id", "billed", "demurrage",
-        is_exception().cast("int").alias("_exc"), over.alias("_over"),
-    ).groupingSets(
-        [[], ["carrier"], ["mode", "container"], ["account_id"]],
-        "carrier", "mode", "container", "account_id",
-    ).agg(
-        F.count(F.lit(1)).alias("lines"),
+    dims = ["carrier", "mode", "container", "account_id"]
+    fine = lines.groupBy(*dims).agg(
+        F.count(F.lit(1)).alias("_lines"),
+        F.sum(is_exception().cast("int")).alias("_exc"),
+        F.sum("billed").alias("_billed"),
+        F.sum(over).alias("_over"),
+        F.sum("demurrage").alias("_dem"),
+    )
+    g = fine.groupingSets([[], ["carrier"], ["mode", "container"], ["account_id"]], *dims).agg(
+        F.sum("_lines").cast("long").alias("lines"),
         F.sum("_exc").cast("long").alias("exceptions"),
-        F.sum("billed").alias("billed_total"),
+        F.sum("_billed").alias("billed_total"),
         F.sum("_over").alias("overcharge_total"),
-        F.sum("demurrage").alias("demurrage_total"),
+        F.sum("_dem").alias("demurrage_total"),
         F.grouping_id().alias("_gid"),
     )
     level = (

@@ -39,11 +39,19 @@ def recovery_dashboard(lines: DataFrame, contingency: float = CONTINGENCY_FEE,
     """
     amt = F.col("amount")
     ch = F.col("channel")
-    rolled = lines.rollup("month").agg(
-        F.sum(amt).alias("pool"),
-        F.sum(F.when(ch == "PRE", amt).otherwise(F.lit(0))).alias("avoided"),
-        F.sum(F.when(ch == "POST", amt).otherwise(F.lit(0))).alias("recovered"),
-        F.count(F.lit(1)).alias("errors"),
+    # Aggregate per month first (partial aggregation over the lines), then
+    # roll the monthly rows up: the ROLLUP expands a few rows, not every line.
+    monthly = lines.groupBy("month").agg(
+        F.sum(amt).alias("_pool"),
+        F.sum(F.when(ch == "PRE", amt).otherwise(F.lit(0))).alias("_avoided"),
+        F.sum(F.when(ch == "POST", amt).otherwise(F.lit(0))).alias("_recovered"),
+        F.count(F.lit(1)).alias("_errors"),
+    )
+    rolled = monthly.rollup("month").agg(
+        F.sum("_pool").alias("pool"),
+        F.sum("_avoided").alias("avoided"),
+        F.sum("_recovered").alias("recovered"),
+        F.sum("_errors").cast("long").alias("errors"),
         F.grouping("month").alias("_fy"),
     )
     post_cost = F.col("recovered").cast("double") * contingency
