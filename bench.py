@@ -6,6 +6,10 @@ sink, so nothing is gathered on the driver. Prints one JSON line.
 
 Also times a one-thread pandas run of the anomaly detector (R6) on the
 same per-customer series, as a single-node reference point.
+
+``BENCH_PROFILE=1`` also writes Spark's event log to a fresh scratch folder
+and adds, per report, the stage count and shuffle bytes written of the last
+timed run (the UI stays off).
 """
 
 from __future__ import annotations
@@ -58,27 +62,74 @@ def _pandas_detector_seconds(spark, sf_dir: str) -> float | None:
     return time.perf_counter() - t0
 
 
+def _profile(log_dir: str) -> dict[str, dict]:
+    """Stages and shuffle bytes per job description from an event log."""
+    import glob
+
+    stage_job: dict[int, str] = {}
+    per: dict[str, dict] = {}
+    paths = sorted(p for p in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True)
+                   if os.path.isfile(p) and "appstatus" not in os.path.basename(p))
+    for path in paths:
+        with open(path) as fh:
+            for line in fh:
+                e = json.loads(line)
+                kind = e["Event"]
+                if kind == "SparkListenerJobStart":
+                    desc = (e.get("Properties") or {}).get("spark.job.description")
+                    if desc:
+                        for sid in e.get("Stage IDs", []):
+                            stage_job[sid] = desc
+                elif kind == "SparkListenerStageCompleted":
+                    desc = stage_job.get(e["Stage Info"]["Stage ID"])
+                    if desc:
+                        per.setdefault(desc, {"stages": 0, "shuffle_bytes": 0})["stages"] += 1
+                elif kind == "SparkListenerTaskEnd":
+                    desc = stage_job.get(e.get("Stage ID"))
+                    metrics = e.get("Task Metrics") or {}
+                    written = (metrics.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                    if desc:
+                        per.setdefault(desc, {"stages": 0, "shuffle_bytes": 0})["shuffle_bytes"] += written
+    return per
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    from ledgerlens.session import local_session
+    profile = os.environ.get("BENCH_PROFILE") == "1"
     from ledgerlens.registry import QUERIES
+    from ledgerlens.session import local_session
+
+    log_dir, extra_conf = None, {}
+    if profile:
+        import tempfile
 
+        log_dir = tempfile.mkdtemp(prefix="ledgerlens-eventlog-")
+        extra_conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                      "spark.eventLog.compress": "false"}
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
-                          app="ledgerlens-bench")
+                          app="ledgerlens-bench", extra_conf=extra_conf)
+    sc = spark.sparkContext
     timings: dict[str, float] = {}
     for name in HEADLINE:
         q = QUERIES[name]
         _run(q(spark, sf_dir))  # warm-up
         runs = []
-        for _ in range(repeat):
+        for i in range(repeat):
+            sc.setJobDescription(f"{name}#{i}")
             t0 = time.perf_counter()
             _run(q(spark, sf_dir))
             runs.append(time.perf_counter() - t0)
+            sc.setJobDescription(None)
         timings[name] = round(statistics.median(runs), 3)
     pandas_r6 = _pandas_detector_seconds(spark, sf_dir)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    spark.stop()
+    extra = {}
+    if log_dir:
+        per = _profile(log_dir)
+        extra["profile_last_run"] = {n: per.get(f"{n}#{repeat - 1}", {}) for n in HEADLINE}
     print(json.dumps({
         "metric": "sum of median wall time of headline reports",
         "value": round(sum(timings.values()), 3),
@@ -88,8 +139,8 @@ def main() -> None:
         "cpus": cpus,
         "repeat": repeat,
         "pandas_one_thread_r6_customer_sec": None if pandas_r6 is None else round(pandas_r6, 3),
+        **extra,
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":

@@ -25,7 +25,8 @@ RECOMMENDED_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens",
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench; the UI stays off."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -36,7 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in RECOMMENDED_CONF.items():
+    for key, value in {**RECOMMENDED_CONF, **(extra_conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
