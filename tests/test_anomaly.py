@@ -256,3 +256,14 @@ def test_run_detector_outputs_agree_with_single_calls(spark):
     assert run.top_rows.count() == 15
     assert run.headline.collect()[0]["anomalies_flagged"] == direct.count()
     assert run.chart_feed.select("account").distinct().count() == 4
+
+
+def test_null_month_sorts_last_like_pandas(spark):
+    rows = [("a", m, 100.0) for m in months(6)] + [("a", None, 400.0)]
+    df = spark.createDataFrame(rows, MONTHLY_SERIES)
+    last = [r for r in N.anomaly_series(df).collect() if r["month"] is None][0]
+    assert last["rolling_mean"] == pytest.approx(100.0)       # baseline of the six real months before it
+    assert last["anomaly_type"] == "SPIKE"
+    pdf = pd.DataFrame(rows, columns=["account", "month", "revenue"])
+    pdf["month"] = pd.to_datetime(pdf["month"])
+    assert pdf.sort_values(["account", "month"])["month"].isna().tolist()[-1]   # pandas: NaT last too
