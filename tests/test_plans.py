@@ -43,3 +43,14 @@ def test_year_filter_reaches_the_scan(spark, sf_small):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     text = df._jdf.queryExecution().explainString(mode)
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", text)
+
+
+@pytest.mark.parametrize("name", ["top15_report", "top4_accounts", "top_account_chart_feed"])
+def test_top_k_is_take_ordered(spark, sf_small, name):
+    plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_first_per_key_uses_group_limit(spark, sf_small):
+    plan = QUERIES["dedupe_keep_first"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
