@@ -54,3 +54,18 @@ def test_top_k_is_take_ordered(spark, sf_small, name):
 def test_first_per_key_uses_group_limit(spark, sf_small):
     plan = QUERIES["dedupe_keep_first"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_freight_lines_are_not_shuffled(spark, sf_small):
+    """The rate and rule lookups are broadcast into the line scan (the only
+    exchange on (carrier, lane, mode) builds the small cached rate basis)."""
+    plan = QUERIES["freight_exception_report"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert len(re.findall(r"BroadcastHashJoin \[carrier#\d+, lane#\d+, mode#\d+\]", plan)) == 2
+    assert re.search(r"BroadcastHashJoin \[account_id#\d+L?\]", plan)
+
+
+@pytest.mark.parametrize("name", ["pattern_tagging_documents", "pattern_tagging"])
+def test_texts_are_not_shuffled(spark, sf_small, name):
+    plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
