@@ -75,3 +75,48 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str,
         .otherwise(F.lit("AMOUNT_MISMATCH"))
     )
     return per_key.select(key, la, ra, diff.alias("difference"), status.alias("status"))
+
+
+_BILLING_SCHEMAS = {
+    "accounts": "ACCOUNTS", "invoices": "INVOICES", "payments": "PAYMENTS",
+    "contracts": "CONTRACTS", "credit_memos": "CREDIT_MEMOS",
+}
+
+
+class BillingTables:
+    """The five billing tables read from ``base_path/<table>`` with their
+    declared schemas (no inference); each is read on first use."""
+
+    def __init__(self, spark: SparkSession, base_path: str, fmt: str = "parquet"):
+        self._spark, self._base, self._fmt = spark, base_path.rstrip("/"), fmt
+
+    def _read(self, name: str) -> DataFrame:
+        from . import schemas
+
+        schema = getattr(schemas, _BILLING_SCHEMAS[name])
+        reader = self._spark.read.schema(schema)
+        if self._fmt == "csv":
+            reader = reader.option("header", True)
+        df = reader.format(self._fmt).load(f"{self._base}/{name}")
+        return df.select(*schema.fieldNames())
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in _BILLING_SCHEMAS:
+            raise AttributeError(name)
+        df = self._read(name)
+        setattr(self, name, df)
+        return df
+
+
+def read_billing_tables(spark: SparkSession, base_path: str, fmt: str = "parquet") -> BillingTables:
+    """Billing tables kept as ``<base_path>/accounts``, ``/invoices``,
+    ``/payments``, ``/contracts``, ``/credit_memos`` (parquet, or CSV with a
+    header); the reports in ``ledgerlens.plans.billing`` take them as they
+    take the adapted tables."""
+    return BillingTables(spark, base_path, fmt)
+
+
+def write_billing_tables(tables, base_path: str) -> None:
+    """Write the five billing tables of ``tables`` as parquet under ``base_path``."""
+    for name in _BILLING_SCHEMAS:
+        getattr(tables, name).write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/{name}")
