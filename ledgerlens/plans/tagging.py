@@ -22,6 +22,9 @@ CASE_CHAIN_LIMIT = 512
 # Larger lists are matched with an Aho-Corasick automaton per task; the list
 # itself must stay a control table of bounded size.
 AUTOMATON_LIMIT = 2_000_000
+# The (ordinal → name, category) lookup is broadcast up to this many entries;
+# beyond it the join on the ordinal shuffles ids only, never the texts.
+INFO_BROADCAST_LIMIT = 100_000
 
 
 def _first_match_ordinal(text: Column, patterns: list[tuple[int, str]]) -> Column:
@@ -106,8 +109,10 @@ def tag_patterns(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text
         matched = _automaton_match(texts, plist, id_col, text_col)
     info = patterns.select(F.col("ordinal").alias("_ord"), F.col("name").alias("_name"),
                            F.col("category").alias("_cat"))
+    if size <= INFO_BROADCAST_LIMIT:   # proven by the bounded count above
+        info = F.broadcast(info)
     return (
-        matched.join(F.broadcast(info), "_ord", "left")
+        matched.join(info, "_ord", "left")
         .select(
             id_col,
             F.col("_ord").isNotNull().alias("blocked"),
