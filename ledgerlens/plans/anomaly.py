@@ -305,3 +305,20 @@ def run_detector(series: DataFrame, cfg: DetectorConfig = DetectorConfig(), key:
         headline=headline(series, report, key, order),
         chart_feed=chart_feed(enriched, 4, key, order, value),
     )
+
+
+def summary_table(series: DataFrame, report: DataFrame, key: str = "account", order: str = "month") -> DataFrame:
+    """All of R8 in one long table (section, label, metric, value): the
+    summary by type, the priority counts and the headline, stacked."""
+    by_type = summary_by_type(report).unpivot(
+        ["anomaly_type"], ["count", "avg_severity", "accounts_affected"], "metric", "value")
+    by_type = by_type.select(F.lit("by_type").alias("section"), F.col("anomaly_type").alias("label"),
+                             "metric", F.col("value").cast("double").alias("value"))
+    by_priority = priority_counts(report).select(
+        F.lit("by_priority").alias("section"), F.col("priority").alias("label"), F.lit("count").alias("metric"),
+        F.col("count").cast("double").alias("value"))
+    head = headline(series, report, key, order)
+    head = head.unpivot([], head.columns, "metric", "value").select(
+        F.lit("headline").alias("section"), F.lit(None).cast("string").alias("label"), "metric",
+        F.col("value").cast("double").alias("value"))
+    return by_type.unionByName(by_priority).unionByName(head)

@@ -423,3 +423,33 @@ FROM (SELECT *, CASE WHEN COUNT(value) OVER w >= 6 THEN AVG(value) OVER w END AS
       FROM events
       WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) b
 WHERE """ + _O._flag_pred("value", "baseline", "spread")
+
+
+def anomaly_summary(spark, sf_dir):
+    """The by-type summary, priority counts and headline as one table."""
+    series = A.monthly_revenue_by_nation(spark, sf_dir)
+    return N.summary_table(series, N.anomaly_report(N.anomaly_series(series)))
+
+
+QUERIES["anomaly_summary"] = _q(anomaly_summary)
+ORACLE_SQL["anomaly_summary"] = _O._anomaly("series_nation", """
+SELECT 'by_type' AS section, anomaly_type AS label, 'count' AS metric, CAST(COUNT(account) AS DOUBLE) AS value
+FROM report GROUP BY anomaly_type
+UNION ALL
+SELECT 'by_type', anomaly_type, 'avg_severity', round_even(AVG(severity_score), 2) FROM report GROUP BY anomaly_type
+UNION ALL
+SELECT 'by_type', anomaly_type, 'accounts_affected', CAST(COUNT(DISTINCT account) AS DOUBLE)
+FROM report GROUP BY anomaly_type
+UNION ALL
+SELECT 'by_priority', p.priority, 'count', CAST(COALESCE(c.n, 0) AS DOUBLE)
+FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW')) p(priority)
+LEFT JOIN (SELECT priority, COUNT(*) AS n FROM report GROUP BY priority) c ON p.priority = c.priority
+UNION ALL
+SELECT 'headline', NULL, 'accounts_analyzed', CAST((SELECT COUNT(DISTINCT account) FROM series) AS DOUBLE)
+UNION ALL
+SELECT 'headline', NULL, 'months_analyzed', CAST((SELECT COUNT(DISTINCT month) FROM series) AS DOUBLE)
+UNION ALL
+SELECT 'headline', NULL, 'anomalies_flagged', CAST((SELECT COUNT(*) FROM report) AS DOUBLE)
+UNION ALL
+SELECT 'headline', NULL, 'high_priority_accounts',
+       CAST((SELECT COUNT(DISTINCT account) FROM report WHERE priority = 'HIGH') AS DOUBLE)""")
