@@ -266,10 +266,11 @@ metrics AS (
 })
 
 
-def enriched_ctes(source: str = "series", where: str = "") -> list[str]:
-    """CTE chain of the detector over ``source(account, month, revenue)``."""
+def enriched_ctes(source: str = "series", where: str = "", prefix: str = "d_", out: str = "enriched") -> list[str]:
+    """CTE chain of the detector over ``source(account, month, revenue)``; the
+    intermediate CTEs are named ``<prefix>…`` and the last one ``out``."""
     w = "PARTITION BY account ORDER BY month NULLS LAST"
-    return [f"""
+    ctes = [f"""
 d_base AS (
   SELECT account, month, revenue,
          CASE WHEN COUNT(revenue) OVER w6 >= 5 THEN AVG(revenue) OVER w6 END AS rolling_mean,
@@ -304,6 +305,7 @@ enriched AS (
                  ELSE COALESCE(abs(z_score), 0) END AS severity_score
   FROM d_type
 )"""]
+    return [c.replace("d_", prefix).replace("enriched AS", f"{out} AS") for c in ctes]
 
 
 REPORT_CTE = """
@@ -367,9 +369,8 @@ J11 = with_ctes(["series_nation"], """
 SELECT c.* FROM cur c
 WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.account = c.account AND p.month = c.month
                   AND p.anomaly_type = c.anomaly_type)""",
-    [x.replace("d_", "c_").replace("enriched AS", "cur_enriched AS") for x in enriched_ctes()]
-    + [x.replace("d_", "p_").replace("enriched AS", "prev_enriched AS")
-        for x in enriched_ctes(where="WHERE month < DATE '2001-06-01'")]
+    enriched_ctes(prefix="c_", out="cur_enriched")
+    + enriched_ctes(where="WHERE month < DATE '2001-06-01'", prefix="p_", out="prev_enriched")
     + [REPORT_CTE.replace("report AS", "cur AS").replace("FROM enriched", "FROM cur_enriched"),
        REPORT_CTE.replace("report AS", "prev AS").replace("FROM enriched", "FROM prev_enriched")])
 
