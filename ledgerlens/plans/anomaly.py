@@ -148,20 +148,25 @@ def priority_counts(report: DataFrame) -> DataFrame:
 
 def headline(series: DataFrame, report: DataFrame, key: str = "account", order: str = "month") -> DataFrame:
     """Accounts and months analysed (input series), anomalies flagged and
-    accounts with a HIGH priority finding, in one row. Both inputs are tagged
-    and unioned so a single aggregate (no join) produces the row."""
-    ins = series.select(F.lit(True).alias("_in"), F.col(key).cast("string").alias("_acct"),
-                        F.col(order).cast("string").alias("_period"), F.lit(None).cast("string").alias("_prio"))
-    outs = report.select(F.lit(False).alias("_in"), F.col("account").cast("string").alias("_acct"),
-                         F.lit(None).cast("string").alias("_period"), F.col("priority").alias("_prio"))
-    both = ins.unionByName(outs)
-    return both.agg(
-        F.countDistinct(F.when(F.col("_in"), F.col("_acct"))).alias("accounts_analyzed"),
-        F.countDistinct(F.when(F.col("_in"), F.col("_period"))).alias("months_analyzed"),
-        F.count(F.when(~F.col("_in"), F.lit(1))).alias("anomalies_flagged"),
-        F.countDistinct(F.when(~F.col("_in") & (F.col("_prio") == "HIGH"), F.col("_acct")))
-        .alias("high_priority_accounts"),
-    )
+    accounts with a HIGH priority finding, in one row.
+
+    The series and the report are aggregated separately (the report side has
+    a single distinct count, so no Expand); the two one-row results are
+    stacked and folded with ``max`` — no join.
+    """
+    none = F.lit(None).cast("long")
+    inputs = series.agg(
+        F.countDistinct(key).alias("accounts_analyzed"), F.countDistinct(order).alias("months_analyzed"),
+    ).select("accounts_analyzed", "months_analyzed",
+             none.alias("anomalies_flagged"), none.alias("high_priority_accounts"))
+    found = report.agg(
+        F.count(F.lit(1)).alias("anomalies_flagged"),
+        F.countDistinct(F.when(F.col("priority") == "HIGH", F.col("account"))).alias("high_priority_accounts"),
+    ).select(none.alias("accounts_analyzed"), none.alias("months_analyzed"),
+             "anomalies_flagged", "high_priority_accounts")
+    both = inputs.unionByName(found)
+    return both.agg(*[F.max(c).alias(c) for c in
+                      ("accounts_analyzed", "months_analyzed", "anomalies_flagged", "high_priority_accounts")])
 
 
 # ---------------------------------------------------------------- chart feed
