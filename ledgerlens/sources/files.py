@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import MONTHLY_SERIES
 
 _RAW_SERIES = T.StructType([
     T.StructField("account", T.StringType()),
