@@ -18,18 +18,19 @@ Columns named like the output are replaced; all others pass through.
 from __future__ import annotations
 
 import heapq
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe_vocab import Vocabulary, cut_block, is_one_pretoken, load_vocabulary
 from .common import append_columns, once_per_worker
 
-#: A task stops keeping the ids of units, beyond those of the current block, at so many.
-MEMO_UNITS = 300_000
+#: A worker keeps the ids of at most so many units, besides those of the current block.
+MEMO_UNITS = 150_000
 
 _GAP, _DEAD = -1, -2
 _SHIFT = 32
@@ -165,8 +166,8 @@ class BlockEncoder:
         for unit, found in cuts:
             fresh[unit] = found if isinstance(unit, int) else tuple(chain.from_iterable(map(merged.__getitem__, found)))
         out = [memo[u] if u in memo else fresh[u] for u in units]
-        if len(memo) < self.memo_units:  # the units met first, so mostly the common ones, stay
-            memo.update(fresh)
+        # The units met first, so mostly the common ones, stay.
+        memo.update(islice(fresh.items(), max(0, self.memo_units - len(memo))))
         return out
 
 
@@ -183,14 +184,39 @@ def encode_texts(df: DataFrame, vocab_path: str, text: str = "text", ids: str =
     return append_columns(df, text, T.StructType().add(ids, T.ArrayType(T.IntegerType())), start)
 
 
+class BlockDecoder:
+    """Decodes blocks of id lists by gathering the tokens' bytes."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.size = max(vocab.token_bytes, default=-1) + 1
+        spelled = [vocab.token_bytes.get(i, b"") for i in range(self.size)] + [b""]  # the last: unknown ids
+        self.length = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.StringArray:
+        """The text that each list of ids spells."""
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids[(ids < 0) | (ids >= self.size)] = self.size
+        taken = self.length[ids]
+        ends = np.cumsum(taken)
+        data = self.flat[np.repeat(self.first[ids] - ends + taken, taken) + np.arange(int(taken.sum()))]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts),
+                                               [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # some list does not spell UTF-8
+            return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+
+
 def decode_ids(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: the string that the token ids in column ``ids`` spell."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocab_path))  # bounded: the vocabulary file
 
     def start():
-        spelled = shared.value.token_bytes
-        get = spelled.get
-        return lambda lists: [pa.array([b"".join([get(i, b"") for i in x or ()]).decode("utf-8", "replace")
-                                        for x in lists.to_pylist()], pa.string())]
+        decoder = BlockDecoder(shared.value)
+        return lambda lists: [decoder.decode(lists)]
 
     return append_columns(df, ids, T.StructType().add(text, T.StringType()), start)

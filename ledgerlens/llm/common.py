@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 
 
 def append_columns(df: DataFrame, source: str, fields: T.StructType, start: Callable[[], Callable],
-                   block_bytes: int = 8 << 20) -> DataFrame:
+                   block_bytes: int = 4 << 20) -> DataFrame:
     """Add ``fields``, computed in Python from column ``source``, to every row.
 
     Rows pass through Arrow without a shuffle. ``start()`` is called once per

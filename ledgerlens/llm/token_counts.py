@@ -13,7 +13,7 @@ output are replaced; all others pass through.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +72,8 @@ class TokenCounter:
         for unit, found in cuts:
             fresh[unit] = sum([merged.get(p, 1) for p in found])
         out = np.fromiter((memo[u] if u in memo else fresh[u] for u in units), np.int64, len(units))
-        if len(memo) < self.memo_units:  # the units met first, so mostly the common ones, stay
-            memo.update(fresh)
+        # The units met first, so mostly the common ones, stay.
+        memo.update(islice(fresh.items(), max(0, self.memo_units - len(memo))))
         return out
 
 
