@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["append_columns", "fresh_name", "keep_winners", "materialize", "once_per_worker", "read_table",
+__all__ = ["append_columns", "fresh_name", "keep_winners", "let", "materialize", "once_per_worker", "read_table",
            "shared_folder", "text_or_empty", "utf8"]
 
 
@@ -30,6 +30,12 @@ def utf8(text: str | Column) -> Column:
     return text_or_empty(text).cast("binary")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once per row however often, and
+    in whatever lambda, ``body`` uses it (a lambda variable isn't inlined)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores put before it until no column has that name.
 

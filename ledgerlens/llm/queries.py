@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, token_counts
+from . import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, token_counts
 from .common import read_table
 
 
@@ -22,6 +22,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, byte_bpe_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ``documents`` without their source's boilerplate lines."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, host="source").select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its best window."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark")).drop("text_md5")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document, and whether it is kept."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    scored = quality.score(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "host_posterior", "path_posterior", "score", "kept")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,9 +67,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_simhash, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_line_dedup, op6_decontaminate, op7_quality, op8_simhash, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
+    "op5_line_dedup": """
+        WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        once AS (SELECT source, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x) <> ''), lambda x: trim(x)))) AS line
+                 FROM pages),
+        counted AS (SELECT source, line, count(*) AS pages FROM once GROUP BY ALL HAVING count(*) >= 5),
+        totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+        found AS (SELECT c.source, list(line) AS gone FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+                  WHERE pages > 0.02 * total GROUP BY c.source)
+        SELECT doc_id,
+               CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(gone, trim(x)), false)), chr(10)) END AS text,
+               CAST(coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines,
+               CAST(coalesce(len(list_filter(lines, lambda x: coalesce(list_contains(gone, trim(x)), false))), 0) AS BIGINT) AS n_dropped
+        FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
