@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from ledgerlens.llm import exact_dedup, queries, simhash  # noqa: E402
+from ledgerlens.llm import decontaminate, exact_dedup, quality, queries, simhash  # noqa: E402
 from ledgerlens.llm.common import read_table, shared_folder  # noqa: E402
 
 
+def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return exact_dedup.drop_exact_duplicates(docs)
@@ -23,14 +28,21 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, shingle=3, max_bits=3)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of each document, as digests."""
     return queries.bpe_digests(docs)
 
 
 STAGES = [
+    ("quality classifier", drop_bad),
     ("exact dedup", drop_exact),
     ("SimHash near-dedup", drop_near),
+    ("benchmark decontamination", drop_benchmark),
     ("BPE encoding and decoding", encode),
 ]
 
