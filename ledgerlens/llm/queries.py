@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, token_counts
-from .common import read_table
+from . import bpe, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_counts, toxicity, warc
+from .common import once_per_worker, read_table, shared_folder
 
 
 def byte_bpe_path() -> str:
@@ -22,6 +22,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, byte_bpe_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    folder = shared_folder(spark, "warc")
+    manifest = warc.write_archives(warc.decide_records(read_table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(manifest, folder, with_payload=False)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learned from the rows not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn_lexicon(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, lexicon).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text of ``documents`` packed into rows of 2,048 and
+    written; where each segment lies, verified against the files."""
+    folder, path = shared_folder(spark, "packed"), byte_bpe_path()
+    shared = spark.sparkContext.broadcast(bpe.load_vocabulary(path))  # bounded: the vocabulary file
+
+    def tokens():
+        return once_per_worker(f"encoder {path}", lambda: bpe.BlockEncoder(shared.value)).encode
+
+    segments = packing.pack(read_table(spark, sf_dir, "documents"), folder, tokens, pad=50256)
+    return packing.verify_packed(segments, folder).drop("path")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of ``documents`` without their source's boilerplate lines."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -67,9 +95,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_line_dedup, op6_decontaminate, op7_quality, op8_simhash, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_toxicity, op4_packing, op5_line_dedup, op6_decontaminate, op7_quality, op8_simhash, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+                      FROM pages),
+        first AS (SELECT payload_digest, min(page_id) AS first FROM rows WHERE payload_bytes >= 100 GROUP BY payload_digest),
+        decided AS (SELECT r.*, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM rows r LEFT JOIN first f USING (payload_digest))
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM decided""",
     "op5_line_dedup": """
         WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
         once AS (SELECT source, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x) <> ''), lambda x: trim(x)))) AS line
