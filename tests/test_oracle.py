@@ -5,9 +5,8 @@ import pytest
 
 import __spark_entry__ as E
 from ledgerlens.compare import compare, duckdb_connection
-
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from ledgerlens.registry import ORACLE_SQL as ORACLE
+from ledgerlens.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +14,10 @@ def con(sf_small):
     return duckdb_connection(sf_small)
 
 
+def test_entry_registers_every_query():
+    assert QUERIES.items() <= E.queries().items() and ORACLE.items() <= E.oracle_sql().items()
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
