@@ -40,6 +40,7 @@ CUTS = {
 #: Documents with at least this probability of being good are kept.
 THRESHOLD = 0.5
 _STRENGTH = (1.0, 1e6)
+_MADE = ("host_posterior", "path_posterior", "evidence", "score", "kept")
 
 
 def _bins(text: Column) -> dict[str, Column]:
@@ -136,8 +137,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Columns of these names are replaced."""
     model, paths = fit(docs, labels, doc_id, text, host, section, label)
     hosts = paths.groupBy("host").agg(F.first("host_posterior").alias("host_posterior"))
-    made = ("host_posterior", "path_posterior", "evidence", "score", "kept")
-    rest = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    rest = docs.drop(*[c for c in docs.columns if c.lower() in _MADE])
     h, hp, ph, ps, pp = (fresh_name(rest, x) for x in ("_h", "_hp", "_ph", "_ps", "_pp"))
     bins = _bins(text_or_empty(text))
     evidence = reduce(lambda a, b: a + b, [
@@ -155,7 +155,6 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents scored as good, with their own columns."""
-    found = fresh_name(docs, "_kept")
-    inner = docs.select(*[F.col(c) for c in docs.columns])
-    scored = score(inner, labels, **how).withColumnRenamed("kept", found)
-    return scored.where(F.col(found)).select(*docs.columns)
+    hidden = {c: fresh_name(docs, "_doc_" + c) for c in docs.columns if c.lower() in _MADE}
+    scored = score(docs.withColumnsRenamed(hidden), labels, **how).where("kept")
+    return scored.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
