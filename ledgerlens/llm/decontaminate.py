@@ -30,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import bounded_count
+from ledgerlens.session import bounded_count, broadcast_if_bounded
 
-from .common import fresh_name, let, text_or_empty
+from .common import fresh_name, let, materialize, text_or_empty
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Benchmarks of at most so many shingles are broadcast to the documents' scan.
 BROADCAST_SHINGLES = 500_000
+#: So are at most so many (document, item) pairs that share a shingle, or documents that leak.
+BROADCAST_HITS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -121,11 +123,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     starts = hits.distinct().select("id", "text_md5", "item_id", "n", F.explode(F.sequence(
         F.greatest(F.col("start") - shift, F.lit(0)),
         F.greatest(F.least(F.col("start") + shift, F.col("size") - 1), F.lit(0)))).alias("start"))
-    starts = starts.groupBy("id", "text_md5", "item_id", "n").agg(F.collect_set("start").alias("starts"))
+    starts = materialize(starts.groupBy("id", "text_md5", "item_id", "n").agg(F.collect_set("start").alias("starts")))
 
     # 2. Their fingerprints.
     here = starts.select(F.col("id").alias("wid"), F.col("text_md5").alias("wmd5"), F.col("item_id").alias("witem"), "n", "starts")
-    windows = (rows.distinct().join(here, F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_md5") == F.col("wmd5")))
+    here = broadcast_if_bounded(here, BROADCAST_HITS)  # the documents' texts stay where they are; beyond, they are shuffled
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.md5(text_or_empty(text).cast("binary")).alias("text_md5"))
+    windows = (texts.join(here, F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_md5") == F.col("wmd5")))
+               .select("id", "text_md5", "witem", "n", "starts", words_of(F.col("text")).alias("words"))
                .withColumn("start", F.explode("starts"))
                .withColumn("width", F.least(F.lit(SHINGLE), F.col("n")))
                .withColumn("window", F.expr("slice(words, start + 1, n)"))
@@ -163,5 +168,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """The rows of ``docs`` that hold no benchmark item."""
     md5, lid, lmd5 = (fresh_name(docs, n) for n in ("_md5", "_leak_id", "_leak_md5"))
     leaks = find_leaks(docs, benchmark, doc_id, text, **how).select(F.col(doc_id).alias(lid), F.col("text_md5").alias(lmd5)).distinct()
+    leaks = broadcast_if_bounded(materialize(leaks), BROADCAST_HITS)
     sided = docs.withColumn(md5, F.md5(text_or_empty(text).cast("binary")))
     return sided.join(leaks, F.col(doc_id).eqNullSafe(F.col(lid)) & (F.col(md5) == F.col(lmd5)), "left_anti").drop(md5)

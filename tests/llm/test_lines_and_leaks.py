@@ -94,6 +94,7 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(tuple, decontaminate.find_leaks(d, b).collect()), key=str)
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", 1)
     assert sorted(map(tuple, decontaminate.find_leaks(d, b).collect()), key=str) == want
 
 
