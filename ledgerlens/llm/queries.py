@@ -3,7 +3,12 @@ production parameters, over its whole table."""
 
 from __future__ import annotations
 
+import base64
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +45,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text of ``documents`` packed into rows of 2,048 and
     written; where each segment lies, verified against the files."""
-    folder, path = shared_folder(spark, "packed"), byte_bpe_path()
-    shared = spark.sparkContext.broadcast(bpe.load_vocabulary(path))  # bounded: the vocabulary file
+    folder = shared_folder(spark, "packed")
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    shared = spark.sparkContext.broadcast(ranks)  # bounded: the vocabulary file
 
     def tokens():
-        return once_per_worker(f"encoder {path}", lambda: bpe.BlockEncoder(shared.value)).encode
+        library = once_per_worker("tiktoken", lambda: tiktoken.Encoding(
+            "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shared.value, special_tokens={}))
+
+        def encode(texts: pa.Array) -> pa.ListArray:
+            ids = [library.encode_to_numpy(t or "", disallowed_special=()) for t in texts.to_pylist()]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+        return encode
 
     segments = packing.pack(read_table(spark, sf_dir, "documents"), folder, tokens, pad=50256)
     return packing.verify_packed(segments, folder).drop("path")
