@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, let, text_or_empty
+from .common import fresh_name, let, materialize, text_or_empty
 
 #: Upper cuts of the bins of each feature.
 CUTS = {
@@ -93,8 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     train = rows.join(known, F.col("id") == F.col("lid"))
 
     # One pass over the labelled rows; what follows works on these counts, (paths x bins) rows at most.
-    cells = train.groupBy("host", "section", *CUTS).agg(
-        F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("good"))
+    cells = materialize(train.groupBy("host", "section", *CUTS).agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("good")))
     paths = cells.groupBy("host", "section").agg(F.sum("total").alias("total"), F.sum("good").alias("good"))
     hosts = paths.groupBy("host").agg(F.sum("total").alias("h_total"), F.sum("good").alias("h_good"))
 
