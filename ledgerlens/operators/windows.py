@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .relational import null_safe_join
+
 
 def ordered_window(keys: Sequence[str], order: str) -> WindowSpec:
     """Per-key window ordered by ``order`` (NULL order values last, as a
@@ -99,7 +101,7 @@ def split_series(df: DataFrame, keys: Sequence[str], order: str, halo: int, bloc
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     placed = (
-        local.join(offsets, ["_pid", *keys])
+        null_safe_join(local, offsets, ["_pid", *keys])
         .withColumn("_idx", (F.col("_off") + F.col("_local")).cast("long"))
         .drop("_pid", "_local", "_off")
         .withColumn("_block", F.floor((F.col("_idx") - 1) / block_rows).cast("long"))
@@ -127,11 +129,11 @@ def forward_filled_split(df: DataFrame, value: str, keys: Sequence[str]) -> Data
     carry = last_in_block.select(
         *keys, (F.col("_block") + 1).alias("_block"), "_last")
     # carry into block b = last non-NULL of all blocks < b (a window over one row per block)
-    blocks = df.select(*bkeys).distinct().join(carry, bkeys, "left")
+    blocks = null_safe_join(df.select(*bkeys).distinct(), carry, bkeys, "left")
     carried = blocks.select(
         *bkeys,
         F.last("_last", ignorenulls=True).over(
             Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias("_carry"),
     )
-    return (df.withColumn("_in", inside).join(carried, bkeys, "left")
+    return (null_safe_join(df.withColumn("_in", inside), carried, bkeys, "left")
             .withColumn("_filled", F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry"))

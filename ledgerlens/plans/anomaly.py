@@ -15,6 +15,7 @@ worker. Labels are CASE expressions inside whole-stage codegen.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -44,6 +45,12 @@ REPORT_COLUMNS = ("account", "month", "revenue", "rolling_mean", "pct_vs_baselin
                   "anomaly_type", "severity_score")
 
 
+def nan_as_null(df: DataFrame, column: str):
+    """``column`` with NaN, which counts as missing, as NULL."""
+    c = F.col(column)
+    return F.when(~F.isnan(c), c) if df.schema[column].dataType.typeName() in ("double", "float") else c
+
+
 def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
                    key: str = "account", order: str = "month", value: str = "revenue",
                    split_rows: int | None = None) -> DataFrame:
@@ -55,12 +62,13 @@ def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
     ``split_series``), so a key with a very long series is spread over many
     tasks; the result is the same.
     """
+    series = series.select(key, order, nan_as_null(series, value).alias(value))
     if split_rows:
-        work = split_series(series.select(key, order, value), [key], order,
+        work = split_series(series, [key], order,
                             halo=max(cfg.window, cfg.erosion_window), block_rows=split_rows)
         keys, pos = [key, "_block"], "_idx"
     else:
-        work, keys, pos = series.select(key, order, value), [key], order
+        work, keys, pos = series, [key], order
     stats = trailing_stats(value, keys, pos, cfg.window, cfg.min_periods)
     if cfg.fill == "pad":
         work = forward_filled_split(work, value, [key]) if split_rows else work.withColumn(
@@ -202,6 +210,7 @@ def strict_baseline(df: DataFrame, metric: str, keys: Sequence[str], order: str,
     """Adds ``baseline`` and ``spread``: mean and sample std of the previous
     ``window`` rows, only when all ``window`` rows are present (W10).
     ``split_rows`` spreads very long series over blocks (``split_series``)."""
+    df = df.withColumn(metric, nan_as_null(df, metric))
     if split_rows:
         work = split_series(df, list(keys), order, halo=window, block_rows=split_rows)
         st = trailing_stats(metric, [*keys, "_block"], "_idx", window, window)
@@ -239,10 +248,11 @@ def metric_flag(df: DataFrame, metric: str, keys: Sequence[str] = (), order: str
 
 
 def floored_baseline_flag(df: DataFrame, metric: str, keys: Sequence[str] = (), order: str = "month",
-                          window: int = 6, z: float = 2.5, floor: float = 0.03) -> DataFrame:
+                          window: int = 6, z: float = 2.5, floor: float = 0.03,
+                          split_rows: int | None = None) -> DataFrame:
     """Full-window baseline with the spread floored at ``floor`` × baseline,
     then ``|z| >= z`` (W11). Returns the offending rows with baseline and z."""
-    b = strict_baseline(df, metric, keys, order, window)
+    b = strict_baseline(df, metric, keys, order, window, split_rows)
     spread = F.when(F.col("spread").isNotNull(), F.greatest(F.col("spread"), F.col("baseline") * floor))
     hit = F.coalesce(_abs_z_at_least(F.col(metric), F.col("baseline"), spread, z), F.lit(False))
     zcol = (F.col(metric) - F.col("baseline")) / F.nullif(spread, F.lit(0.0))
@@ -266,8 +276,15 @@ FINDING_KEY = ("account", "month", "anomaly_type")
 
 def new_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Findings of the current report that the previous report did not have,
-    keyed by (account, month, anomaly type)."""
-    return current.join(previous.select(*FINDING_KEY), list(FINDING_KEY), "left_anti")
+    keyed by (account, month, anomaly type). NULL keys are equal to one another."""
+    return null_safe_anti(current, previous.select(*FINDING_KEY), FINDING_KEY)
+
+
+def null_safe_anti(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left_anti") -> DataFrame:
+    """Rows of ``left`` without (``left_semi``: with) equal keys in ``right``, NULL keys being equal."""
+    other = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(other, same, how)
 
 
 # ---------------------------------------------------------------- one run, all outputs

@@ -8,108 +8,66 @@ with no match is ``(blocked = false, pattern = "")``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.sequence import number_rows
-from ..session import bounded_count
 from ..sources.patterns import DEFAULT_CATEGORY, DEFAULT_COMPANY, MISSING_CATEGORY
 
 # Lists up to this size become one CASE expression (no join, no shuffle,
-# evaluated inside whole-stage codegen with early exit in list order).
+# evaluated inside whole-stage codegen with early exit in list order); larger
+# ones one array that every text is searched for. The answer is the same.
 CASE_CHAIN_LIMIT = 512
-# Larger lists are matched with an Aho-Corasick automaton per task; the list
-# itself must stay a control table of bounded size.
-AUTOMATON_LIMIT = 2_000_000
 # The (ordinal → name, category) lookup is broadcast up to this many entries;
 # beyond it the join on the ordinal shuffles ids only, never the texts.
 INFO_BROADCAST_LIMIT = 100_000
 
 
 def _first_match_ordinal(text: Column, patterns: list[tuple[int, str]]) -> Column:
+    """CASE over the list; names come folded by Spark's own ``lower``."""
     low = F.lower(text)
     expr = None
     for ordinal, name in patterns:
-        cond = F.contains(low, F.lower(F.lit(name)))
+        cond = F.contains(low, F.lit(name))
         expr = F.when(cond, F.lit(ordinal)) if expr is None else expr.when(cond, F.lit(ordinal))
     return expr if expr is not None else F.lit(None).cast("int")
 
 
-def _ordered_list(patterns: DataFrame) -> list[tuple[int, str]]:
-    # The list is proven small (bounded_count) before it is gathered.
-    rows = patterns.select("ordinal", "name").filter(F.col("name").isNotNull()).orderBy("ordinal").collect()
-    return [(r["ordinal"], r["name"]) for r in rows]
+def _least_listed_ordinal(text: Column, patterns: list[tuple[int, str]]) -> Column:
+    """The same over a list of any length, held as one array constant; the
+    text is folded once."""
+    listed = F.from_json(F.lit(json.dumps([{"o": o, "n": n} for o, n in patterns])), "array<struct<o:int,n:string>>")
+    hits = F.transform(F.array(F.lower(text)), lambda low: F.filter(listed, lambda e: F.contains(low, e["n"])))
+    return F.get(F.get(hits, F.lit(0)), F.lit(0))["o"]
 
 
-def _automaton_match(texts: DataFrame, patterns: list[tuple[int, str]], id_col: str, text_col: str) -> DataFrame:
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(patterns)
-
-    def match(batches):
-        import pandas as pd
-
-        try:
-            import ahocorasick
-        except ImportError:  # pragma: no cover - the image ships pyahocorasick
-            ahocorasick = None
-        plist = shared.value
-        best: dict[str, int] = {}
-        for ordinal, name in plist:
-            key = name.lower()
-            if key not in best or ordinal < best[key]:
-                best[key] = ordinal
-        empty = best.get("")
-        auto = None
-        if ahocorasick is not None and any(best):
-            auto = ahocorasick.Automaton()
-            for key, ordinal in best.items():
-                if key:
-                    auto.add_word(key, ordinal)
-            auto.make_automaton()
-        for pdf in batches:
-            out = []
-            for t in pdf[text_col]:
-                if t is None:
-                    out.append(None)
-                    continue
-                low = t.lower()
-                hit = empty
-                if auto is not None:
-                    for _, ordinal in auto.iter(low):
-                        if hit is None or ordinal < hit:
-                            hit = ordinal
-                else:
-                    for key, ordinal in best.items():
-                        if key in low and (hit is None or ordinal < hit):
-                            hit = ordinal
-                out.append(hit)
-            yield pd.DataFrame({id_col: pdf[id_col], "_ord": pd.array(out, dtype="Int32")})
-
-    schema = T.StructType([texts.schema[id_col], T.StructField("_ord", T.IntegerType())])
-    return texts.select(id_col, text_col).mapInPandas(match, schema)
+def _ordered_list(patterns: DataFrame) -> list[tuple[int, str]]:
+    """The list as (ordinal, folded name), for the plan. A list is a control
+    table; its names are folded by the function that folds the texts."""
+    rows = (patterns.select("ordinal", F.lower("name").alias("name")).filter(F.col("name").isNotNull())
+            .orderBy("ordinal").collect())
+    if len({r["ordinal"] for r in rows}) < len(rows):
+        raise ValueError("the pattern list repeats an ordinal")
+    return [(r["ordinal"], r["name"]) for r in rows]
 
 
 def tag_patterns(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_col: str = "text",
                  case_chain_limit: int = CASE_CHAIN_LIMIT) -> DataFrame:
     """(id, blocked, pattern, category) for every input row.
 
-    Small lists compile to one CASE chain; larger ones run an Aho-Corasick
-    automaton inside ``mapInPandas``. Either way the texts are read once,
-    whole, with no shuffle of the text column; the matched ordinal is joined
-    to the (bounded, broadcast) list for name and category.
+    The texts are read once, whole, by JVM expressions with no shuffle of the
+    text column; the matched ordinal is joined to the list for name and
+    category. Repeated ordinals raise ValueError: order would be undefined.
     """
-    size = bounded_count(patterns, AUTOMATON_LIMIT)
-    if size > AUTOMATON_LIMIT:
-        raise ValueError(f"pattern list larger than {AUTOMATON_LIMIT} entries")
     plist = _ordered_list(patterns)
-    if size <= case_chain_limit:
-        matched = texts.select(id_col, _first_match_ordinal(F.col(text_col), plist).alias("_ord"))
-    else:
-        matched = _automaton_match(texts, plist, id_col, text_col)
+    size = len(plist)
+    match = _first_match_ordinal if size <= case_chain_limit else _least_listed_ordinal
+    matched = texts.select(id_col, match(F.col(text_col), plist).alias("_ord"))
     info = patterns.select(F.col("ordinal").alias("_ord"), F.col("name").alias("_name"),
                            F.col("category").alias("_cat"))
-    if size <= INFO_BROADCAST_LIMIT:   # proven by the bounded count above
+    if size <= INFO_BROADCAST_LIMIT:   # the list was counted above
         info = F.broadcast(info)
     return (
         matched.join(info, "_ord", "left")

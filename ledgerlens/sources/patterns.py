@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sequence import number_rows
 from .schemas import PATTERNS
 
 # The reference pattern list, in its order, as
@@ -87,11 +88,13 @@ LIST_DOCUMENT = T.StructType([
 
 def read_pattern_list(spark: SparkSession, path: str) -> DataFrame:
     """Read list documents (JSON, one or many files, multi-line allowed) into
-    (ordinal, name, company, category). ``posexplode`` keeps list order; a
-    missing category stays NULL and counts as ``unknown`` in statistics."""
+    (ordinal, name, company, category), numbered through all documents in the
+    order of their paths; a missing category stays NULL and counts as
+    ``unknown`` in statistics."""
     doc = spark.read.schema(LIST_DOCUMENT).option("multiLine", True).json(path)
-    return doc.select(F.posexplode("user_agents").alias("pos", "e")).select(
-        (F.col("pos") + 1).cast("int").alias("ordinal"),
+    entries = doc.select(F.col("_metadata.file_path").alias("file"), F.posexplode("user_agents").alias("pos", "e"))
+    return number_rows(entries, ["file", "pos"], out="ordinal").select(
+        F.col("ordinal").cast("int").alias("ordinal"),
         F.col("e.name").alias("name"), F.col("e.company").alias("company"), F.col("e.category").alias("category"),
     )
 

@@ -48,15 +48,30 @@ DECLARED = {
 _PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
+def source_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """File count, bytes and modification time below ``path``, on any Hadoop
+    file system; zeros where nothing is there."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return 0, 0, 0
+    content = store.getContentSummary(where)
+    return content.getFileCount(), content.getLength(), store.getFileStatus(where).getModificationTime()
+
+
 def session_plan(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Return the DataFrame built by ``build`` for ``key`` in this session,
-    building it once. A DataFrame is an immutable lazy plan, so sharing it
-    only saves plan construction; every action still reads the sources."""
+    """Return the DataFrame built by ``build`` for ``key`` in this session.
+
+    ``key`` ends with the path that the plan reads. A plan holds the file
+    listing of the moment it was built, so it is shared only while the files
+    below that path stay as they were, and built anew after a change."""
     plans = _PLANS.setdefault(spark, {})
-    df = plans.get(key)
-    if df is None:
-        df = plans[key] = build()
-    return df
+    state = source_state(spark, key[-1])
+    known = plans.get(key)
+    if known is None or known[0] != state:
+        known = plans[key] = (state, build())
+    return known[1]
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -67,8 +82,8 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table with its declared schema; with ``columns`` the scan is
-    pruned to them. The base relation is memoised per session and path (a
-    lazy plan, no data is cached)."""
+    pruned to them. The base relation is shared within a session while the
+    table's files stay the same (a lazy plan, no data is cached)."""
     path = table_path(sf_dir, name)
 
     def build() -> DataFrame:

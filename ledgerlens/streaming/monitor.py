@@ -14,13 +14,14 @@ records which files each batch consumed.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.anomaly import DetectorConfig, FINDING_KEY, anomaly_report, anomaly_series
+from ..plans.anomaly import DetectorConfig, FINDING_KEY, anomaly_report, anomaly_series, null_safe_anti
 from ..session import ensure_checkpoint_dir
 from ..sources.schemas import MONTHLY_SERIES
 
@@ -29,7 +30,9 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     # Works on any Hadoop file system: a missing folder is the empty table.
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a schema or permission error must not re-publish everything
         return spark.createDataFrame([], schema)
 
 
@@ -44,14 +47,14 @@ def _process(spark: SparkSession, out_dir: str, cfg: DetectorConfig):
         history = spark.read.parquet(history_path).drop("batch_id")
         # 2. the detector over the whole history of the accounts that moved
         touched = batch.select("account").distinct()
-        series = history.join(touched, "account", "left_semi")
+        series = null_safe_anti(history, touched, ["account"], "left_semi")
         report = anomaly_report(anomaly_series(series, cfg))
         # 3. only findings not published by an earlier batch
         published = _read_or_empty(
             spark, findings_path,
             "account string, month string, anomaly_type string, batch_id long",
         ).filter(F.col("batch_id") != batch_id).select(*FINDING_KEY)
-        fresh = report.join(published, list(FINDING_KEY), "left_anti")
+        fresh = null_safe_anti(report, published, FINDING_KEY)
         (fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(findings_path))
 
@@ -62,7 +65,9 @@ def run_monitor(spark: SparkSession, source_dir: str, out_dir: str, checkpoint:
                 cfg: DetectorConfig = DetectorConfig(), file_format: str = "parquet") -> None:
     """Process every file that arrived in ``source_dir`` since the last run
     and return when done (one scheduled run)."""
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "monitor", os.path.basename(out_dir))
+    if checkpoint is None:  # monitors that differ in either folder never share one
+        name = hashlib.sha256(f"{source_dir}\n{out_dir}".encode()).hexdigest()
+        checkpoint = os.path.join(ensure_checkpoint_dir(spark), "monitor", name)
     reader = spark.readStream.schema(MONTHLY_SERIES)
     if file_format == "csv":
         reader = reader.option("header", True)
