@@ -7,6 +7,7 @@ none is a Python UDF.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,23 @@ def as_double(c: Column) -> Column:
     return c.cast("double")
 
 
+def share_exceeds(part: Column, whole: Column, cut: str) -> Column:
+    """``part / whole > cut`` for decimals, by multiplying, so a share of just
+    ``cut`` doesn't exceed it. NULL for a zero ``whole``."""
+    bound = F.lit(Decimal(cut)) * whole
+    return F.when(whole > 0, part > bound).when(whole < 0, part < bound)
+
+
+def percent_of(part: Column, whole: Column, digits: int) -> Column:
+    """``part`` of ``whole`` (money, two decimals) in percent, rounded half up
+    (away from zero) from the exact quotient. NULL for a zero ``whole``."""
+    part, whole = part.cast("decimal(30,2)"), whole.cast("decimal(30,2)")
+    n, d = F.abs(part), F.abs(whole)
+    twice = F.lit(Decimal(2 * 100 * 10 ** digits))
+    units = F.call_function("div", twice * n + d, F.lit(Decimal(2)) * F.nullif(d, F.lit(Decimal(0))))
+    return F.when((part < 0) != (whole < 0), -units).otherwise(units) / F.lit(float(10 ** digits))
+
+
 def month_label(c: Column | str) -> Column:
     """``yyyy-MM`` label of a date."""
     return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM")
@@ -99,8 +117,7 @@ def billing_status(actual: Column, contracted: Column) -> Column:
     """Ordered CASE of the contract reconciliation. A NULL ``actual`` (no
     billing) fails every test and falls through to IN LINE, as in the source."""
     return (
-        F.when(F.abs(actual - contracted).cast("double") / F.nullif(contracted.cast("double"), F.lit(0.0)) > 0.05,
-               "REVIEW REQUIRED")
+        F.when(share_exceeds(F.abs(actual - contracted), contracted, "0.05"), "REVIEW REQUIRED")
         .when(actual > contracted, "OVER-BILLED")
         .when(actual < contracted, "UNDER-BILLED")
         .otherwise("IN LINE")

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
-    as_of_col, billing_status, collection_priority, days_past_due, renewal_flag, round_half_up, safe_div,
-    year_start,
+    as_of_col, billing_status, collection_priority, days_past_due, percent_of, renewal_flag, share_exceeds, year_start,
 )
 from ..sources.schemas import MONEY
 from ..operators.relational import (
@@ -140,7 +139,7 @@ def payment_shortfall(invoices: DataFrame, payments: DataFrame, credit_memos: Da
             paid.alias("total_paid"),
             credits.alias("credits_applied"),
             net.alias("net_balance_due"),
-            round_half_up(safe_div(paid.cast("double"), F.col("amount_due").cast("double")) * 100, 2).alias("pct_paid"),
+            percent_of(paid, F.col("amount_due"), 2).alias("pct_paid"),
             F.coalesce(F.col("payment_count"), F.lit(0)).alias("payment_count"),
             "last_payment_date",
             days_past_due(as_of, F.col("due_date")).alias("days_past_due"),
@@ -250,7 +249,7 @@ def contract_variance(contracts: DataFrame, invoices: DataFrame, accounts: DataF
             "account_name", "tier", "region", "contracted_arr", "billing_frequency", "contract_start",
             "contract_end", "actual_arr_billed", "periods_billed",
             (actual - arr).alias("arr_variance"),
-            round_half_up(safe_div((actual - arr).cast("double"), arr.cast("double")) * 100, 2).alias("variance_pct"),
+            percent_of(actual - arr, arr, 2).alias("variance_pct"),
             billing_status(actual, arr).alias("billing_status"),
             renewal_flag(F.col("contract_end"), F.col("auto_renew"), as_of).alias("renewal_flag"),
             F.abs(actual - F.coalesce(arr, F.lit(0))).alias("_order"),
@@ -313,10 +312,10 @@ def contract_billing(contracts: DataFrame, invoices: DataFrame, as_of: dt.date)
     )
 
 
-def variance_ratio_exceeds(per_contract: DataFrame, threshold: float = 0.02) -> DataFrame:
+def variance_ratio_exceeds(per_contract: DataFrame, threshold: str = "0.02") -> DataFrame:
     """Contracts whose |billed − ARR| / ARR exceeds ``threshold``."""
     gap = F.abs(F.col("actual_billed") - F.col("contracted_arr"))
-    return per_contract.filter(safe_div(gap.cast("double"), F.col("contracted_arr").cast("double")) > threshold)
+    return per_contract.filter(share_exceeds(gap, F.col("contracted_arr"), threshold))
 
 
 def leakage_vectors(invoices: DataFrame, payments: DataFrame, contracts: DataFrame, as_of: dt.date) -> DataFrame:
@@ -338,7 +337,7 @@ def leakage_vectors(invoices: DataFrame, payments: DataFrame, contracts: DataFra
 
     gap = F.abs(F.col("actual_billed") - F.col("contracted_arr"))
     variance = _vector(
-        variance_ratio_exceeds(contract_billing(contracts, invoices, as_of), 0.02),
+        variance_ratio_exceeds(contract_billing(contracts, invoices, as_of)),
         "Contract vs Billed Variance", "Billing rate differs from signed contract",
         F.count(F.lit(1)), F.sum(gap))
     return union_all([aging, short, dups, variance])
@@ -351,14 +350,13 @@ def leakage_summary(invoices: DataFrame, payments: DataFrame, contracts: DataFra
     The total is an exact decimal sum; a zero total gives a NULL share.
     """
     vectors = leakage_vectors(invoices, payments, contracts, as_of)
-    total = F.sum("amount_at_risk").over(Window.partitionBy())
+    whole = "_total_at_risk"
     return (
-        vectors.select(
+        vectors.withColumn(whole, F.sum("amount_at_risk").over(Window.partitionBy())).select(
             "leakage_type", "record_count",
             F.round("amount_at_risk", 2).alias("amount_at_risk"),
             "description",
-            round_half_up(safe_div(F.col("amount_at_risk").cast("double"), total.cast("double")) * 100, 1)
-            .alias("pct_of_total_risk"),
+            percent_of(F.col("amount_at_risk"), F.col(whole), 1).alias("pct_of_total_risk"),
         )
         .orderBy(F.desc_nulls_last("amount_at_risk"), "leakage_type")
     )

@@ -214,3 +214,18 @@ def test_billing_views_answer_sql(spark, sf_small):
         SELECT SUM(CASE WHEN datediff(DATE'2001-06-30', due_date) > 90 THEN 1 ELSE 0 END) AS d90 FROM invoices""")
     b = A.billing(spark, sf_small)
     assert sql.collect()[0]["d90"] == B.aging_bucket_count(b.invoices, AS_OF).collect()[0]["d90"]
+
+
+def test_money_ratios_are_exact(spark):
+    """A gap of just 5 % isn't above it, halves round up from the exact quotient, a zero whole gives NULL."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions import scalars as S
+
+    rows = [("23.52", "22.40"), ("23.53", "22.40"), ("0.35", "1000.00"), ("-0.35", "1000.00"), ("-0.01", "1000.00"),
+            ("1.00", "0.00"), (None, "5.00"), ("1.00", "-20.00")]
+    df = spark.createDataFrame([(D(a) if a else None, D(b)) for a, b in rows], "a decimal(18,2), b decimal(18,2)")
+    got = df.select(S.billing_status(F.col("a"), F.col("b")).alias("s"), S.percent_of(F.col("a"), F.col("b"), 2).alias("p")).collect()
+    assert [r["s"] for r in got[:2]] == ["OVER-BILLED", "REVIEW REQUIRED"]
+    assert [str(r["p"]) for r in got[2:]] == ["0.04", "-0.04", "0.0", "None", "None", "-5.0"]
+    assert (got[5]["s"], got[6]["s"], got[7]["s"]) == ("OVER-BILLED", "IN LINE", "OVER-BILLED")
