@@ -675,9 +675,25 @@ FROM (SELECT invoice_id, SUM(CASE WHEN src = 'billing' THEN amount END) AS billi
                                          * (1 + CAST(l_tax AS DECIMAL(4,2))) FROM lineitem) m
       GROUP BY invoice_id) g""")
 
+IO4_ALL = with_ctes(["invoices", "payments"], """
+, b AS (SELECT invoice_id, CAST(SUM(amount_due) AS DECIMAL(30,6)) AS amount FROM invoices GROUP BY invoice_id),
+o AS (SELECT l_orderkey AS invoice_id, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+                                                * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS DECIMAL(30,6)) AS amount FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT invoice_id, CAST(SUM(amount_paid) AS DECIMAL(30,6)) AS amount FROM payments GROUP BY invoice_id),
+sides AS (SELECT invoice_id, b.invoice_id IS NULL AS no_b, o.invoice_id IS NULL AS no_o, p.invoice_id IS NULL AS no_p,
+                 b.amount AS ba, o.amount AS oa, p.amount AS pa
+          FROM b FULL JOIN o USING (invoice_id) FULL JOIN p USING (invoice_id))
+SELECT invoice_id, CAST(ba AS DOUBLE) AS billing_amount, CAST(oa AS DOUBLE) AS orders_amount, CAST(pa AS DOUBLE) AS payments_amount,
+       CAST(greatest(ba, oa, pa) - least(ba, oa, pa) AS DOUBLE) AS spread,
+       concat_ws(',', CASE WHEN no_b THEN 'billing' END, CASE WHEN no_o THEN 'orders' END, CASE WHEN no_p THEN 'payments' END) AS missing_in,
+       CASE WHEN no_b OR no_o OR no_p THEN 'INCOMPLETE'
+            WHEN greatest(ba, oa, pa) - least(ba, oa, pa) <= 0.01 THEN 'MATCHED' ELSE 'AMOUNT_MISMATCH' END AS status
+FROM sides""")
+
 ORACLE.update({
     "scan_billing": IO1,
     "scan_monthly_revenue": IO2,
     "sink_report_csv": R7,
     "multi_source_merge": IO4,
+    "multi_source_reconcile": IO4_ALL,
 })

@@ -356,12 +356,24 @@ def sink_report_csv(spark, sf_dir):
 def multi_source_merge(spark, sf_dir):
     """IO4: invoice amounts (billing platform) reconciled with line-item
     charges (order platform) per invoice."""
+    inv, lines = _billing_and_orders(spark, sf_dir)
+    return IO.reconcile(inv, lines, "invoice_id", "amount", "billing", "orders")
+
+
+def multi_source_reconcile(spark, sf_dir):
+    """IO4 over three platforms: billing, orders and payments per invoice."""
+    inv, lines = _billing_and_orders(spark, sf_dir)
+    paid = A.payments(spark, sf_dir).select("invoice_id", F.col("amount_paid").alias("amount"))
+    return IO.reconcile_all({"billing": inv, "orders": lines, "payments": paid}, "invoice_id", "amount")
+
+
+def _billing_and_orders(spark, sf_dir):
+    """Invoice amounts, and line-item charges per invoice line."""
     inv = A.invoices(spark, sf_dir).select("invoice_id", F.col("amount_due").alias("amount"))
     li = A.read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount", "l_tax")
     charge = (F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))
               * (1 + F.col("l_tax").cast("decimal(4,2)")))
-    lines = li.select(F.col("l_orderkey").alias("invoice_id"), charge.alias("amount"))
-    return IO.reconcile(inv, lines, "invoice_id", "amount", "billing", "orders")
+    return inv, li.select(F.col("l_orderkey").alias("invoice_id"), charge.alias("amount"))
 
 
 QUERIES.update({
@@ -369,6 +381,7 @@ QUERIES.update({
     "scan_monthly_revenue": _q(scan_monthly_revenue),
     "sink_report_csv": _q(sink_report_csv),
     "multi_source_merge": _q(multi_source_merge),
+    "multi_source_reconcile": _q(multi_source_reconcile),
 })
 
 

@@ -76,6 +76,35 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str,
     return per_key.select(key, la, ra, diff.alias("difference"), status.alias("status"))
 
 
+def reconcile_all(sources: Mapping[str, DataFrame], key: str, amount: str, tolerance: str = "0.01") -> DataFrame:
+    """Reconcile per-key amounts of two or more platforms.
+
+    Per key: each platform's amount, ``spread`` (largest less smallest),
+    ``missing_in`` (names of the platforms without the key, in the given order)
+    and ``status``: INCOMPLETE where a platform lacks the key, else MATCHED
+    within the tolerance, else AMOUNT_MISMATCH. A key whose amounts on a
+    platform are all NULL is there without an amount: a mismatch. NULL keys form
+    one key. One exchange, as in ``reconcile``, however many platforms.
+    """
+    if len(sources) < 2:
+        raise ValueError("reconciliation needs two platforms or more")
+    merged = merge_sources({n: df.select(key, amount) for n, df in sources.items()}, "_src")
+    per_key = merged.groupBy(key).agg(
+        *[F.sum(F.when(F.col("_src") == n, F.col(amount))).alias(f"{n}_{amount}") for n in sources],
+        *[F.count(F.when(F.col("_src") == n, F.lit(1))).alias(f"_n_{n}") for n in sources],
+    )
+    amounts = [F.col(f"{n}_{amount}") for n in sources]
+    spread = F.greatest(*amounts) - F.least(*amounts)
+    missing = F.concat_ws(",", *[F.when(F.col(f"_n_{n}") == 0, F.lit(n)) for n in sources])
+    known = reduce(lambda a, b: a & b, [a.isNotNull() for a in amounts])
+    status = (
+        F.when(missing != "", F.lit("INCOMPLETE"))
+        .when(known & (spread <= F.lit(Decimal(tolerance))), F.lit("MATCHED"))
+        .otherwise(F.lit("AMOUNT_MISMATCH"))
+    )
+    return per_key.select(key, *amounts, spread.alias("spread"), missing.alias("missing_in"), status.alias("status"))
+
+
 _BILLING_SCHEMAS = {
     "accounts": "ACCOUNTS", "invoices": "INVOICES", "payments": "PAYMENTS",
     "contracts": "CONTRACTS", "credit_memos": "CREDIT_MEMOS",

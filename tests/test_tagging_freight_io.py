@@ -167,6 +167,18 @@ def test_reconcile_statuses(spark):
     assert got == {1: "ONLY_IN_LEFT", 2: "MATCHED", 3: "AMOUNT_MISMATCH", 4: "ONLY_IN_RIGHT"}
 
 
+def test_reconcile_any_number_of_sources(spark):
+    make = lambda rows: spark.createDataFrame([(k, D(a) if a else None) for k, a in rows], "k long, amt decimal(18,2)")
+    got = {r["k"]: (r["status"], r["missing_in"], r["spread"]) for r in IO.reconcile_all({
+        "x": make([(1, "5.00"), (2, "3.00"), (2, "4.00"), (3, "1.00"), (4, "2.00"), (None, "1.00")]),
+        "y": make([(1, "5.01"), (2, "7.00"), (3, "1.00"), (4, None)]),
+        "z": make([(1, "5.00"), (2, "7.02"), (4, "2.00")])}, "k", "amt").collect()}
+    assert got == {1: ("MATCHED", "", D("0.01")), 2: ("AMOUNT_MISMATCH", "", D("0.02")), 3: ("INCOMPLETE", "z", D("0.00")),
+                   4: ("AMOUNT_MISMATCH", "", D("0.00")), None: ("INCOMPLETE", "y,z", D("0.00"))}
+    with pytest.raises(ValueError):
+        IO.reconcile_all({"x": make([(1, "5.00")])}, "k", "amt")
+
+
 def test_billing_tables_round_trip(spark, sf_small, tmp_path):
     from ledgerlens.plans import billing as B
     from ledgerlens.sources import adapters as A
