@@ -220,3 +220,22 @@ def decode_ids(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "de
         return lambda lists: [decoder.decode(lists)]
 
     return append_columns(df, ids, T.StructType().add(text, T.StringType()), start)
+
+
+def round_trip(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+               keep_text: bool = True) -> DataFrame:
+    """Add ``ids`` and ``decoded``, as ``encode_texts`` and then ``decode_ids``
+    do, in one pass: a task needs one Python worker, and ids travel once."""
+    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocab_path))  # bounded: the vocabulary file
+
+    def start():
+        encoder, decoder = once_per_worker(f"round trip {vocab_path}",
+                                           lambda: (BlockEncoder(shared.value), BlockDecoder(shared.value)))
+
+        def compute(texts: pa.Array) -> list:
+            found = encoder.encode(texts)
+            return [found, decoder.decode(found)]
+        return compute
+
+    fields = T.StructType().add(ids, T.ArrayType(T.IntegerType())).add(decoded, T.StringType())
+    return append_columns(df, text, fields, start, keep_source=keep_text)

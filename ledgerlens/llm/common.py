@@ -53,22 +53,24 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 
 
 def append_columns(df: DataFrame, source: str, fields: T.StructType, start: Callable[[], Callable],
-                   block_bytes: int = 4 << 20) -> DataFrame:
+                   block_bytes: int = 4 << 20, keep_source: bool = True) -> DataFrame:
     """Add ``fields``, computed in Python from column ``source``, to every row.
 
     Rows pass through Arrow without a shuffle. ``start()`` is called once per
     task; what it returns gets the source values of one block as an Arrow
     array and gives one Arrow array per field. A block holds about ``block_bytes`` of source data
     (one value at least), so a task's memory is bounded by a block and one
-    Arrow batch. Columns of ``df`` named like a new field are replaced.
+    Arrow batch. Columns of ``df`` named like a new field are replaced; without
+    ``keep_source`` the source column isn't sent back from Python.
     """
     new = {f.name.lower() for f in fields}
     kept = df.select(*[c for c in df.columns if c.lower() not in new or c == source])
     if source.lower() in new:
         hidden = fresh_name(df, "_source")
-        kept, source = kept.withColumnRenamed(source, hidden), hidden
-    schema = T.StructType([*kept.schema.fields, *fields.fields])
+        kept, source, keep_source = kept.withColumnRenamed(source, hidden), hidden, False
     at = kept.columns.index(source)
+    sent = [i for i in range(len(kept.columns)) if keep_source or i != at]
+    schema = T.StructType([*[kept.schema.fields[i] for i in sent], *fields.fields])
     names = schema.names
 
     def run(batches: Iterator) -> Iterator:
@@ -78,10 +80,9 @@ def append_columns(df: DataFrame, source: str, fields: T.StructType, start: Call
         for batch in batches:
             for part in byte_blocks(batch, at, block_bytes):
                 made = compute(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in sent], *made], names=names)
 
-    out = kept.mapInArrow(run, schema)
-    return out.drop(source) if source not in df.columns else out
+    return kept.mapInArrow(run, schema)
 
 
 def byte_blocks(batch, at: int, block_bytes: int) -> Iterator:

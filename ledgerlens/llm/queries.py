@@ -96,8 +96,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Ids and decoded text of each document, as the contract's digests."""
-    path = byte_bpe_path()
-    decoded = bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", "text"), path).drop("text"), path)
+    decoded = bpe.round_trip(docs.select("doc_id", "text"), byte_bpe_path(), keep_text=False)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),

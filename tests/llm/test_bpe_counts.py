@@ -59,6 +59,12 @@ def test_spark_round_trip(spark, library):
     for r in got.collect():
         assert r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
+    once = bpe.round_trip(df, PATH)
+    assert once.columns == got.columns and once.exceptAll(got).isEmpty() and got.exceptAll(once).isEmpty()
+    assert bpe.round_trip(df, PATH, keep_text=False).columns == [c for c in got.columns if c != "text"]
+    over = bpe.round_trip(df.select("doc_id", "text"), PATH, decoded="text")  # the source itself is replaced
+    assert over.columns == ["doc_id", "ids", "text"]
+    assert over.exceptAll(got.select("doc_id", "ids", F.col("decoded").alias("text"))).isEmpty()
     counted = token_counts.token_counts(df, PATH, limit=100).collect()
     assert len(counted) == len(texts)
     for r in counted:
