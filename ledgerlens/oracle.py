@@ -521,19 +521,19 @@ fi AS (
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 ),
 basis AS (
-  SELECT carrier, lane, mode, CAST(FLOOR((MIN(u) + MAX(u)) / 2) AS DECIMAL(18,2)) AS rate
+  SELECT carrier, lane, container, CAST(FLOOR((MIN(u) + MAX(u)) / 2) AS DECIMAL(18,2)) AS rate
   FROM (SELECT *, FLOOR(CAST(billed AS DOUBLE) / NULLIF(CAST(qty AS DOUBLE), 0)) AS u FROM fi) x
-  GROUP BY carrier, lane, mode
+  GROUP BY carrier, lane, container
 ),
 contract_rates AS (
-  SELECT carrier, lane, mode, rate, 1 AS ordinal FROM basis
+  SELECT carrier, lane, container, rate, 1 AS ordinal FROM basis
   WHERE (CAST(substr(carrier, 2) AS INTEGER) + length(lane)) % 4 <> 0
   UNION ALL
-  SELECT carrier, lane, mode, CAST(rate + 1 AS DECIMAL(18,2)), 2 FROM basis
+  SELECT carrier, lane, container, CAST(rate + 1 AS DECIMAL(18,2)), 2 FROM basis
   WHERE (CAST(substr(carrier, 2) AS INTEGER) + length(lane)) % 4 <> 0 AND carrier = 'C3'
 ),
 spot_quotes AS (
-  SELECT carrier, lane, mode, CAST(FLOOR(rate * 1.1) AS DECIMAL(18,2)) AS rate, 1 AS ordinal FROM basis
+  SELECT carrier, lane, container, CAST(FLOOR(rate * 1.1) AS DECIMAL(18,2)) AS rate, 1 AS ordinal FROM basis
   WHERE CAST(substr(carrier, 2) AS INTEGER) % 2 = 0
 ),
 rules AS (
@@ -546,11 +546,11 @@ rules AS (
          CAST(75 + 25 * (s_suppkey % 4) AS DECIMAL(18,2)) AS day_rate
   FROM supplier
 ),
-cr AS (SELECT carrier, lane, mode, rate AS contract_rate FROM (
-         SELECT *, ROW_NUMBER() OVER (PARTITION BY carrier, lane, mode ORDER BY ordinal, rate) AS rn
+cr AS (SELECT carrier, lane, container, rate AS contract_rate FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY carrier, lane, container ORDER BY ordinal, rate) AS rn
          FROM contract_rates) x WHERE rn = 1),
-sq AS (SELECT carrier, lane, mode, rate AS spot_rate FROM (
-         SELECT *, ROW_NUMBER() OVER (PARTITION BY carrier, lane, mode ORDER BY ordinal, rate) AS rn
+sq AS (SELECT carrier, lane, container, rate AS spot_rate FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY carrier, lane, container ORDER BY ordinal, rate) AS rn
          FROM spot_quotes) x WHERE rn = 1),
 f_lines AS (
   SELECT fi.*, COALESCE(cr.contract_rate, sq.spot_rate) AS rate,
@@ -558,8 +558,8 @@ f_lines AS (
               ELSE 'NONE' END AS rate_source,
          CAST(COALESCE(cr.contract_rate, sq.spot_rate) * fi.qty AS DECIMAL(18,2)) AS expected,
          r.kind, r.tolerance, r.free_days, r.day_rate
-  FROM fi LEFT JOIN cr ON fi.carrier = cr.carrier AND fi.lane = cr.lane AND fi.mode = cr.mode
-          LEFT JOIN sq ON fi.carrier = sq.carrier AND fi.lane = sq.lane AND fi.mode = sq.mode
+  FROM fi LEFT JOIN cr ON fi.carrier = cr.carrier AND fi.lane = cr.lane AND fi.container = cr.container
+          LEFT JOIN sq ON fi.carrier = sq.carrier AND fi.lane = sq.lane AND fi.container = sq.container
           LEFT JOIN rules r ON fi.account_id = r.account_id
 ),
 f_lab AS (

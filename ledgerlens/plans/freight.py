@@ -2,7 +2,7 @@
 short-pay detection, the exception report and the dashboard aggregates.
 
 The source describes these only in prose; the definitions below are ours:
-rate = contracted rate for (carrier, lane, mode), else the spot quote, else
+rate = contracted rate for (carrier, lane, container), else the spot quote, else
 "rate not on file"; expected = rate × qty; the account's tolerance is a flat
 dollar amount or a share of expected; demurrage = days beyond the free-day
 allowance × daily rate; approved = expected for an overcharge, else billed;
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import demurrage, shortpay_reason, tolerance_class
 from ..session import broadcast_if_bounded
 
-RATE_KEY = ("carrier", "lane", "mode")
+RATE_KEY = ("carrier", "lane", "container")
 # Lookup tables up to this many rows are broadcast (a few tens of MB).
 LOOKUP_BROADCAST_ROWS = 1_000_000
 
 
 def first_rate(rates: DataFrame, alias: str) -> DataFrame:
-    """One rate per (carrier, lane, mode): the row with the lowest ordinal
+    """One rate per (carrier, lane, container): the row with the lowest ordinal
     (a lookup returns the first match). Grouped ``min_by`` with partial
     aggregation, so a key listed many times is combined map-side."""
     return rates.groupBy(*RATE_KEY).agg(F.min_by("rate", F.struct("ordinal", "rate")).alias(alias))

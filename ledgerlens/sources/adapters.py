@@ -306,22 +306,22 @@ def freight_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_basis(fi: DataFrame) -> DataFrame:
-    """Floor of the mid unit price per (carrier, lane, mode) of the freight lines."""
+    """Floor of the mid unit price per (carrier, lane, container) of the freight lines."""
     unit = F.floor(F.col("billed").cast("double") / F.nullif(F.col("qty").cast("double"), F.lit(0.0)))
-    return fi.groupBy("carrier", "lane", "mode").agg(
+    return fi.groupBy("carrier", "lane", "container").agg(
         F.floor((F.min(unit) + F.max(unit)) / 2).cast(MONEY).alias("rate")
     )
 
 
 def contract_rates_from(basis: DataFrame) -> DataFrame:
-    """Contracted rate per (carrier, lane, mode); keys with
+    """Contracted rate per (carrier, lane, container); keys with
     (carrier digit + length(lane)) % 4 = 0 are left out, and carrier C3 has a
     second, later row that the lookup must ignore."""
     digit = F.substring("carrier", 2, 4).cast("int")
     kept = basis.filter((digit + F.length("lane")) % 4 != 0)
     first = kept.withColumn("ordinal", F.lit(1))
     later = kept.filter(F.col("carrier") == "C3").select(
-        "carrier", "lane", "mode", (F.col("rate") + 1).cast(MONEY).alias("rate"), F.lit(2).alias("ordinal"))
+        "carrier", "lane", "container", (F.col("rate") + 1).cast(MONEY).alias("rate"), F.lit(2).alias("ordinal"))
     return first.unionByName(later)
 
 
@@ -329,7 +329,7 @@ def spot_quotes_from(basis: DataFrame) -> DataFrame:
     """Spot quotes for even carriers, 10 % above the basis rate (floored)."""
     digit = F.substring("carrier", 2, 4).cast("int")
     return basis.filter(digit % 2 == 0).select(
-        "carrier", "lane", "mode", F.floor(F.col("rate") * F.lit(Decimal("1.1"))).cast(MONEY).alias("rate"),
+        "carrier", "lane", "container", F.floor(F.col("rate") * F.lit(Decimal("1.1"))).cast(MONEY).alias("rate"),
         F.lit(1).alias("ordinal"))
 
 

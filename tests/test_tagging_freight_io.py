@@ -88,10 +88,12 @@ def test_freight_labels_rates_demurrage_shortpay(spark):
         _fi(5, 1, "C9", "100.00", "1", "100.00"),      # no rate at all
         _fi(6, 3, "C1", "900.00", "10", "900.00"),     # no rule: any difference is a label
     ], SC.FREIGHT_INVOICES)
+    boxes = fi.where("invoice_id = 1").withColumn("container", F.explode(F.array(F.lit("FCL 20'"), F.lit("FCL 40'"))))
     contract = spark.createDataFrame([
-        ("C1", "L1", "OCEAN", D("100.00"), 1), ("C1", "L1", "OCEAN", D("999.00"), 2),
+        ("C1", "L1", "LCL", D("100.00"), 1), ("C1", "L1", "LCL", D("999.00"), 2),
+        ("C1", "L1", "FCL 40'", D("20.00"), 1),
     ], SC.RATES)
-    spot = spark.createDataFrame([("C2", "L1", "OCEAN", D("90.00"), 1), ("C1", "L1", "OCEAN", D("1.00"), 1)],
+    spot = spark.createDataFrame([("C2", "L1", "LCL", D("90.00"), 1), ("C1", "L1", "LCL", D("1.00"), 1)],
                                  SC.RATES)
     rules = spark.createDataFrame([
         (1, "flat", D("10"), 3, D("100.00")), (2, "pct", D("0.05"), 20, D("50.00")),
@@ -105,6 +107,8 @@ def test_freight_labels_rates_demurrage_shortpay(spark):
     assert out[4]["rate_source"] == "SPOT" and out[4]["audit_label"] == "OVERCHARGE"
     assert out[5]["audit_label"] == "RATE NOT ON FILE" and out[5]["rate_source"] == "NONE"
     assert out[6]["audit_label"] == "UNDERBILL"
+    by_box = {r["container"]: r["expected"] for r in FR.audit_lines(boxes, contract, spot, rules).collect()}
+    assert by_box == {"FCL 20'": None, "FCL 40'": D("200.00")}  # a rate is a container's own, not its mode's
     exc = {r["invoice_id"] for r in FR.exception_report(FR.audit_lines(fi, contract, spot, rules)).collect()}
     assert exc == {2, 3, 4, 5, 6}
     dash = FR.dashboard(FR.audit_lines(fi, contract, spot, rules))
