@@ -4,11 +4,12 @@ Texts become lower-case runs of letters and digits. A benchmark item of n words
 is compared with windows of n words by their five-word shingles (an item of
 fewer words is one shingle).
 
-1. A window at least ``similarity`` alike holds a shingle of the item, and its
-   start lies within a bounded shift of where that shingle puts the item's
-   start. So the shingles of all documents are joined with those of the
-   benchmark (broadcast only where a bounded count proves the benchmark small),
-   which gives every window that can pass, and no others.
+1. The shingles of all documents are joined with those of the benchmark
+   (broadcast only where a bounded count proves the benchmark small). Of a window
+   with v shingles and an item with m, at least s * (v + m) / (1 + s) must be
+   shared for a similarity of s, so a window goes on if it has so many places
+   whose shingle is one of the item's. That takes no order of the places: parts
+   of an item may be moved around in the document.
 2. Each such window gets a 64-bit SimHash, as each item has.
 3. Multi-index Hamming blocks: fingerprints are cut into ``radius`` + 1 blocks;
    two within the radius agree in one block at least. Windows and items are
@@ -95,6 +96,22 @@ def _blocks(fp: str, radius: int) -> Column:
                      for i, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
+def _starts(similarity: float) -> Column:
+    """The starts of all windows that hold enough of the sorted places ``at``,
+    in one pass over them: for each place, the starts after the place before it
+    up to itself, as far as the places from it on suffice. A window that the end
+    of the text cuts off has fewer shingles and holds all the places from its start on."""
+    m, few = f"(n - least(n, {SHINGLE}) + 1)", 1e-9  # `few` for the rounding of doubles
+    need = f"greatest(1, CAST(ceil({2 * similarity / (1 + similarity)}D * {m} - {few}D) AS INT))"
+    after = "CASE WHEN i = 0 THEN 0 ELSE get(at, i - 1) + 1 END"
+    ends = f"size - least(n, {SHINGLE}) + 1 + {m} - (size(at) - i) * {(1 + similarity) / max(similarity, few)}D - {few}D"
+    whole = (f"greatest({after}, get(at, i + {need} - 1) - {m} + 1)", "least(get(at, i), size - n)")
+    cut = (f"CAST(greatest({after}, size - n + 1, ceil({ends})) AS INT)", "get(at, i)")
+    runs = [f"CASE WHEN {have} AND {low} <= {high} THEN sequence({low}, {high}) ELSE array() END"
+            for have, (low, high) in ((f"i + {need} <= size(at)", whole), ("true", cut))]
+    return F.expr(f"flatten(transform(sequence(0, size(at) - 1), i -> concat({', '.join(runs)})))")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, text_md5, item_id, similarity, window_start, differing_bits)``:
@@ -103,27 +120,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).alias("id"), F.md5(text_or_empty(text).cast("binary")).alias("text_md5"),
                        words_of(F.col(text)).alias("words"))
 
-    # 1. Windows that share a shingle with an item, at most `shift` words off its place.
+    # 1. Windows with so many places of an item's shingles as the similarity takes.
     hits = None
     for width in sorted(r["width"] for r in items.select("width").distinct().collect()):  # at most SHINGLE widths
         seeds = items.where(F.col("width") == width).select(
-            "item_id", "n", F.posexplode(_shingle_hashes("item_words", width)).alias("at", "h"))
+            "item_id", "n", F.explode(F.array_distinct(_shingle_hashes("item_words", width))).alias("h"))
         if bounded_count(seeds, BROADCAST_SHINGLES) <= BROADCAST_SHINGLES:
             seeds = F.broadcast(seeds)
         found = rows.select("id", "text_md5", F.size("words").alias("size"),
                             F.posexplode(_shingle_hashes("words", width)).alias("p", "h")).join(seeds, "h").select(
-            "id", "text_md5", "size", "item_id", "n", (F.col("p") - F.col("at")).alias("start"))
+            "id", "text_md5", "size", "item_id", "n", "p")
         hits = found if hits is None else hits.union(found)
     if hits is None:  # no item has a word
         return rows.select(F.col("id").alias(doc_id), "text_md5", F.lit(None).cast("long").alias("item_id"),
                            F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("window_start"),
                            F.lit(None).cast("int").alias("differing_bits")).where("false")
-    # Of two sets of m shingles with this similarity, each misses at most m * (1 - s) / (1 + s) of the other's.
-    shift = F.floor((F.col("n") - 1) * F.lit((1 - similarity) / (1 + similarity))).cast("int")
-    starts = hits.distinct().select("id", "text_md5", "item_id", "n", F.explode(F.sequence(
-        F.greatest(F.col("start") - shift, F.lit(0)),
-        F.greatest(F.least(F.col("start") + shift, F.col("size") - 1), F.lit(0)))).alias("start"))
-    starts = materialize(starts.groupBy("id", "text_md5", "item_id", "n").agg(F.collect_set("start").alias("starts")))
+    places = hits.groupBy("id", "text_md5", "item_id", "n", "size").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    starts = places.select("id", "text_md5", "item_id", "n", _starts(similarity).alias("starts"))
+    starts = materialize(starts.where(F.size("starts") > 0))
 
     # 2. Their fingerprints.
     here = starts.select(F.col("id").alias("wid"), F.col("text_md5").alias("wmd5"), F.col("item_id").alias("witem"), "n", "starts")

@@ -98,6 +98,53 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_leaks(d, b).collect()), key=str) == want
 
 
+def moved_case():
+    """Items whose parts a document holds in another order, inside, at the
+    front or at the end (there cut off) of other words."""
+    rnd = random.Random(12)
+    say = lambda n, kind: [f"{kind}{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    items = [say(n, "i") for n in (60, 100, 200)] + [say(20, "r") * 4]
+    docs = []
+    for t in items:
+        half, third = len(t) // 2, len(t) // 3
+        swapped, rolled = t[half:] + t[:half], t[2 * third:] + t[third:2 * third] + t[:third]
+        for body in (swapped, rolled, t[half:] + ["new"] + t[:half]):
+            docs += [say(80, "o") + body + say(80, "o"), body + say(9, "o"), say(9, "o") + body, say(9, "o") + body[:-len(t) // 20]]
+    return [(i, " ".join(d)) for i, d in enumerate(docs)], [(i, " ".join(t)) for i, t in enumerate(items)]
+
+
+def test_leaks_with_moved_parts(spark):
+    docs, items = moved_case()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(d, b).collect()}
+    want = plain_leaks(docs, items)
+    assert len(want) > 30 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_starts_take_every_window_that_can_pass(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        n, size = rnd.randint(1, 40), rnd.randint(1, 120)
+        last = size - min(5, n)
+        at = sorted(p for p in range(last + 1) if rnd.random() < rnd.choice([0.5, 0.95, 1]))
+        if at:
+            rows.append((i, n, size, at))
+    frame = spark.createDataFrame(rows, "id int, n int, size int, at array<int>")
+    for s in (0.8, 0.5):
+        got = {r["id"]: r["starts"] for r in frame.select("id", decontaminate._starts(s).alias("starts")).collect()}
+        for i, n, size, at in rows:
+            k = min(5, n)
+            want = []
+            for start in range(size):
+                v, m = min(n, size - start) - k + 1, n - k + 1
+                held = sum(start <= p < start + v for p in at)
+                if held and held * (1 + s) >= s * (v + m) - 1e-9:
+                    want.append(start)
+            assert sorted(got[i]) == want, (i, n, size, at)
+
+
 def test_simhash_and_blocks(spark):
     rnd = random.Random(1)
     rows = [([f"s{rnd.randrange(9)}" for _ in range(rnd.randint(1, 60))],) for _ in range(50)]
