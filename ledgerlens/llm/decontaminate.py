@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows, native functions only.
+"""Benchmark decontamination by item-sized windows, native functions only.
 
 Texts become lower-case runs of letters and digits. A benchmark item of n words
 is compared with windows of n words by their five-word shingles (an item of
@@ -10,16 +10,12 @@ fewer words is one shingle).
    shared for a similarity of s, so a window goes on if it has so many places
    whose shingle is one of the item's. That takes no order of the places: parts
    of an item may be moved around in the document.
-2. Each such window gets a 64-bit SimHash, as each item has.
-3. Multi-index Hamming blocks: fingerprints are cut into ``radius`` + 1 blocks;
-   two within the radius agree in one block at least. Windows and items are
-   joined on the blocks, and all 64 bits are compared.
-4. The remaining pairs are verified exactly: weighted Jaccard similarity, a
-   shingle's weight being the number of times it occurs.
-
-At the similarity of 0.8 two fingerprints differ by 10 bits on average (standard
-deviation 3), so the default radius of 20 loses about one in 5,000 windows that
-are only just alike, and none that are much alike.
+2. Each such window is compared with its item exactly: weighted Jaccard
+   similarity, a shingle's weight being the number of times it occurs.
+3. The windows that are alike get a 64-bit SimHash, as each item has, and the
+   number of differing bits is given with them. It decides nothing: no radius is
+   safe, since where two shingles of an item occur about equally often, one more
+   or less of either turns up to half of the bits.
 
 Defined results: NULL and empty texts and items hold nothing. Repeated documents
 are found each; items with equal texts are found each. Rows are told apart by id
@@ -35,7 +31,7 @@ from ledgerlens.session import bounded_count, broadcast_if_bounded
 
 from .common import fresh_name, let, materialize, text_or_empty
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
+SHINGLE, SIMILARITY = 5, 0.8
 #: Benchmarks of at most so many shingles are broadcast to the documents' scan.
 BROADCAST_SHINGLES = 500_000
 #: So are at most so many (document, item) pairs that share a shingle, or documents that leak.
@@ -113,7 +109,7 @@ def _starts(similarity: float) -> Column:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-               item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+               item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, text_md5, item_id, similarity, window_start, differing_bits)``:
     the best window of each document for each item it holds."""
     items = benchmark_items(benchmark, item_id, item_text)
@@ -139,7 +135,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     starts = places.select("id", "text_md5", "item_id", "n", _starts(similarity).alias("starts"))
     starts = materialize(starts.where(F.size("starts") > 0))
 
-    # 2. Their fingerprints.
+    # 2. Exact weighted similarity: shared weight over the weight of either.
     here = starts.select(F.col("id").alias("wid"), F.col("text_md5").alias("wmd5"), F.col("item_id").alias("witem"), "n", "starts")
     here = broadcast_if_bounded(here, BROADCAST_HITS)  # the documents' texts stay where they are; beyond, they are shuffled
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.md5(text_or_empty(text).cast("binary")).alias("text_md5"))
@@ -150,30 +146,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                .withColumn("window", F.expr("slice(words, start + 1, n)"))
                .select("id", "text_md5", "witem", "start", "width", "window")
                .withColumn("shingles", _shingles("window", "width")).where(F.size("shingles") > 0))
-    windows = windows.drop("window", "width").withColumn("fp", simhash(F.col("shingles")))
-
-    # 3. Hamming blocks.
-    item_blocks = items.select("item_id", "item_shingles", "item_fp", F.explode(_blocks("item_fp", radius)).alias("b")).select(
-        "item_id", "item_shingles", "item_fp", F.col("b.block").alias("ib"), F.col("b.value").alias("iv"))
-    in_block = windows.withColumn("b", F.explode(_blocks("fp", radius))).select(
-        "id", "text_md5", "witem", "start", "shingles", "fp", F.col("b.block").alias("wb"), F.col("b.value").alias("wv"))
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # A pair agrees in several blocks; it goes on from the first of them.
-    first = F.expr("array_position(transform(" + "array(" + ", ".join(
-        f"(shiftrightunsigned(fp ^ item_fp, {64 * i // (radius + 1)}) & {(1 << (64 * (i + 1) // (radius + 1) - 64 * i // (radius + 1))) - 1}L)"
-        for i in range(radius + 1)) + "), x -> x = 0L), true) - 1")
-    pairs = in_block.join(item_blocks, F.col("witem").eqNullSafe(F.col("item_id")) & (F.col("wb") == F.col("ib"))
-                          & (F.col("wv") == F.col("iv"))).where((bits <= radius) & (first == F.col("wb")))
-
-    # 4. Exact weighted similarity: shared weight over the weight of either.
+    pairs = windows.select("id", "text_md5", "witem", "start", "shingles").join(
+        items.select("item_id", "item_shingles", "item_fp"), F.col("witem").eqNullSafe(F.col("item_id")))
     shared = F.expr("""CASE WHEN size(array_distinct(shingles)) = size(shingles) OR size(array_distinct(item_shingles)) = size(item_shingles)
         THEN size(array_intersect(shingles, item_shingles))
         ELSE aggregate(array_intersect(shingles, item_shingles), 0, (sum, s) -> sum
             + least(size(filter(shingles, x -> x = s)), size(filter(item_shingles, x -> x = s)))) END""")
     alike = pairs.withColumn("shared", shared).withColumn(
         "similarity", F.col("shared") / (F.size("shingles") + F.size("item_shingles") - F.col("shared")))
+
+    # 3. The fingerprints of the windows that are alike.
+    alike = alike.where(F.col("similarity") >= similarity).withColumn("fp", simhash(F.col("shingles")))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     best = F.struct(F.col("similarity"), (-F.col("start")).alias("before"), (-bits).alias("bits"))
-    return (alike.where(F.col("similarity") >= similarity).groupBy("id", "text_md5", "item_id").agg(F.max(best).alias("w"))
+    return (alike.groupBy("id", "text_md5", "item_id").agg(F.max(best).alias("w"))
             .select(F.col("id").alias(doc_id), "text_md5", "item_id", "w.similarity",
                     (-F.col("w.before")).alias("window_start"), (-F.col("w.bits")).alias("differing_bits")))
 

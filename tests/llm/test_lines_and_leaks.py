@@ -122,6 +122,17 @@ def test_leaks_with_moved_parts(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_leaks_that_simhash_would_lose(spark):
+    items, docs = [], []
+    for i in range(20):  # two shingles, of which the item has more of the one and the document of the other
+        a, b = f"a{i}", f"b{i}"
+        items.append((i, " ".join([a, b] * 9 + [a])))
+        docs.append((i, " ".join([b, a] * 9 + [b])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["differing_bits"] for r in decontaminate.find_leaks(d, b).collect()}
+    assert got.keys() == plain_leaks(docs, items).keys() == {(i, i) for i in range(20)} and max(got.values()) > 20
+
+
 def test_starts_take_every_window_that_can_pass(spark):
     rnd = random.Random(3)
     rows = []
