@@ -36,6 +36,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BROADCAST_SHINGLES = 500_000
 #: So are at most so many (document, item) pairs that share a shingle, or documents that leak.
 BROADCAST_HITS = 500_000
+#: And only if they have at most so many windows between them (4 bytes each).
+BROADCAST_STARTS = 2_000_000
+#: Windows are cut out of a text in pieces of so many starts, which can be spread.
+PIECE = 1_024
 
 
 def words_of(text: Column) -> Column:
@@ -137,13 +141,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     # 2. Exact weighted similarity: shared weight over the weight of either.
     here = starts.select(F.col("id").alias("wid"), F.col("text_md5").alias("wmd5"), F.col("item_id").alias("witem"), "n", "starts")
-    here = broadcast_if_bounded(here, BROADCAST_HITS)  # the documents' texts stay where they are; beyond, they are shuffled
+    few = (here.agg(F.sum(F.size("starts").cast("long"))).first()[0] or 0) <= BROADCAST_STARTS
+    if few:
+        here = broadcast_if_bounded(here, BROADCAST_HITS)  # the documents' texts stay where they are; beyond, they are shuffled
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.md5(text_or_empty(text).cast("binary")).alias("text_md5"))
-    windows = (texts.join(here, F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_md5") == F.col("wmd5")))
-               .select("id", "text_md5", "witem", "n", "starts", words_of(F.col("text")).alias("words"))
-               .withColumn("start", F.explode("starts"))
+    pieces = (texts.join(here, F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_md5") == F.col("wmd5")))
+              .select("id", "text_md5", "witem", "n", F.array_sort("starts").alias("starts"), words_of(F.col("text")).alias("words"))
+              .withColumn("piece", F.explode(F.expr(f"""transform(sequence(0, size(starts) - 1, {PIECE}), i -> struct(
+                  slice(starts, i + 1, {PIECE}) AS starts, get(starts, i) AS first,
+                  slice(words, get(starts, i) + 1, get(starts, least(i + {PIECE}, size(starts)) - 1) - get(starts, i) + n) AS words))""")))
+              .select("id", "text_md5", "witem", "n", "piece.*"))
+    if not few:  # a long text's windows are no longer one task's work
+        pieces = pieces.repartition("id", "text_md5", "witem", "first")
+    windows = (pieces.withColumn("start", F.explode("starts"))
                .withColumn("width", F.least(F.lit(SHINGLE), F.col("n")))
-               .withColumn("window", F.expr("slice(words, start + 1, n)"))
+               .withColumn("window", F.expr("slice(words, start - first + 1, n)"))
                .select("id", "text_md5", "witem", "start", "width", "window")
                .withColumn("shingles", _shingles("window", "width")).where(F.size("shingles") > 0))
     pairs = windows.select("id", "text_md5", "witem", "start", "shingles").join(

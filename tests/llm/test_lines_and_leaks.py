@@ -122,6 +122,18 @@ def test_leaks_with_moved_parts(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_many_windows_are_spread(spark, monkeypatch):
+    docs, items = moved_case()
+    docs, items = docs[::5] + [(90, "go on " * 300)], items[:2] + [(9, "go on " * 10)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.find_leaks(d, b).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BROADCAST_STARTS", 1)
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    spread = decontaminate.find_leaks(d, b)
+    assert "REPARTITION_BY_COL" in spread._jdf.queryExecution().executedPlan().toString()
+    assert len(want) > 3 and sorted(map(tuple, spread.collect()), key=str) == want
+
+
 def test_leaks_that_simhash_would_lose(spark):
     items, docs = [], []
     for i in range(20):  # two shingles, of which the item has more of the one and the document of the other
