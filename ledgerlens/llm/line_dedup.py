@@ -23,17 +23,23 @@ from .common import fresh_name
 
 #: A line on more than this share of a site's pages, and on so many at least, is boilerplate.
 RATIO, MIN_PAGES = 0.02, 5
+#: White space, as Unicode has it, the carriage return of CRLF texts included.
+WHITE = "".join(map(chr, [32, *range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(WHITE))
 
 
 def _key(line: Column) -> Column:
-    return F.unhex(F.md5(F.trim(line).cast("binary")))
+    return F.unhex(F.md5(_bare(line).cast("binary")))
 
 
 def boilerplate_lines(df: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(host, keys)``: per host, the MD5 keys of its boilerplate lines."""
     pages = df.select(F.col(host).alias("host"), F.split(F.col(text), "\n").alias("lines"))
     per_page = pages.select("host", F.explode(F.array_distinct(F.transform(
-        F.filter("lines", lambda x: F.trim(x) != ""), _key))).alias("key"))
+        F.filter("lines", lambda x: _bare(x) != ""), _key))).alias("key"))
     counts = per_page.groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     totals = df.groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("total"))
     return (counts.join(totals, F.col("host").eqNullSafe(F.col("of")))
@@ -50,8 +56,8 @@ def drop_boilerplate(df: DataFrame, host: str = "host", text: str = "text", rati
     joined = (df.join(found, F.col(host).eqNullSafe(F.col(site)), "left")
               .withColumn(lines, F.split(F.col(text), "\n"))
               .withColumn(kept, F.when(F.col(keys).isNull(), F.col(lines)).otherwise(F.filter(
-                  lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(keys), _key(x))))))
-    count = lambda c: F.coalesce(F.size(F.filter(c, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
+                  lines, lambda x: (_bare(x) == "") | ~F.array_contains(F.col(keys), _key(x))))))
+    count = lambda c: F.coalesce(F.size(F.filter(c, lambda x: _bare(x) != "")), F.lit(0)).cast("long")
     return (joined.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(count(lines)).cast("long"))
             .withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(
                 F.size(lines) - F.size(kept)).cast("long"))

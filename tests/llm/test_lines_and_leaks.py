@@ -33,6 +33,14 @@ def test_lines_match_brute_force(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_lines_compare_without_any_white_space(spark):
+    assert set(line_dedup.WHITE) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    rows = [(i, "a", f"page {i}\r\n\t\r\n\r\n" + ("menu" if i < 4 else "\tmenu\u00a0\r\nend")) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_boilerplate(df, ratio=0.6).collect()}
+    assert got == {i: (f"page {i}\r\n\t\r\n\r" + ("" if i < 4 else "\nend"), 2 if i < 4 else 3, 1) for i in range(8)}
+
+
 def words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
