@@ -25,13 +25,15 @@ def ordered_window(keys: Sequence[str], order: str) -> WindowSpec:
 
 
 def trailing_stats(value: str, keys: Sequence[str], order: str, window: int, min_periods: int) -> dict[str, Column]:
-    """Mean and sample std of the previous ``window`` rows (the current row
-    excluded), NULL unless at least ``min_periods`` of them are non-NULL."""
+    """Mean, sample std, least and largest value of the previous ``window`` rows
+    (the current row excluded), mean and std NULL unless at least ``min_periods`` of them are non-NULL."""
     frame = ordered_window(keys, order).rowsBetween(-window, -1)
     enough = F.count(F.col(value)).over(frame) >= min_periods
     return {
         "mean": F.when(enough, F.avg(value).over(frame)),
         "std": F.when(enough, F.stddev_samp(value).over(frame)),
+        "min": F.min(value).over(frame),
+        "max": F.max(value).over(frame),
     }
 
 

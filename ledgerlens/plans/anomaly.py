@@ -208,31 +208,34 @@ def chart_feed(enriched: DataFrame, n: int = 4, key: str = "account",
 def strict_baseline(df: DataFrame, metric: str, keys: Sequence[str], order: str, window: int = 6,
                     split_rows: int | None = None) -> DataFrame:
     """Adds ``baseline`` and ``spread``: mean and sample std of the previous
-    ``window`` rows, only when all ``window`` rows are present (W10).
+    ``window`` rows, only when all ``window`` rows are present (W10). Of equal
+    values they are that value and 0, without the rounding of a sum.
     ``split_rows`` spreads very long series over blocks (``split_series``)."""
     df = df.withColumn(metric, nan_as_null(df, metric))
     if split_rows:
         work = split_series(df, list(keys), order, halo=window, block_rows=split_rows)
         st = trailing_stats(metric, [*keys, "_block"], "_idx", window, window)
-        out = work.withColumn("baseline", st["mean"]).withColumn("spread", st["std"]).filter(~F.col("_halo"))
+        mean, std = _exact_if_flat(st)
+        out = work.withColumn("baseline", mean).withColumn("spread", std).filter(~F.col("_halo"))
         return out.drop("_idx", "_block", "_halo")
     st = trailing_stats(metric, keys, order, window, window)
-    return df.withColumn("baseline", st["mean"]).withColumn("spread", st["std"])
+    mean, std = _exact_if_flat(st)
+    return df.withColumn("baseline", mean).withColumn("spread", std)
 
 
-# Relative gap below which a value equals its flat baseline: a window mean
-# of identical values can differ from them in the last bits of the sum.
-FLAT_EPSILON = 1e-9
+def _exact_if_flat(st: dict) -> tuple:
+    flat = st["min"] == st["max"]
+    return (F.when(flat & st["mean"].isNotNull(), st["min"]).otherwise(st["mean"]),
+            F.when(flat & st["std"].isNotNull(), F.lit(0.0)).otherwise(st["std"]))
 
 
 def _abs_z_at_least(x, base, spread, z: float):
     # |x − base| / spread >= z with IEEE semantics: spread 0 and x ≠ base is an
-    # infinite z (flagged); spread 0 and x = base is NaN (not flagged). "Equal"
-    # allows the rounding of the window mean (FLAT_EPSILON, relative).
-    differs = F.abs(x - base) > F.lit(FLAT_EPSILON) * F.greatest(F.abs(x), F.abs(base))
+    # infinite z (flagged); spread 0 and x = base is NaN (not flagged). The
+    # baseline of a flat window is its value itself, so "equal" is exact.
     return (
         F.when(spread > 0, F.abs(x - base) / spread >= z)
-        .when(spread == 0, differs)
+        .when(spread == 0, x != base)
         .otherwise(F.lit(False))
     )
 

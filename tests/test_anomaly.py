@@ -192,6 +192,13 @@ def test_generic_flag_infinite_z(spark):
     assert math.isclose(df.count(), 8)
 
 
+def test_flat_baseline_is_exact(spark):
+    df = series_df(spark, {"same": [1e9 + 0.1] * 7, "tenth": [0.1] * 7, "near": [1e9] * 6 + [1e9 + 0.5]})
+    for split in (None, 6):
+        flagged = N.metric_flag(df, "revenue", ["account"], "month", split_rows=split).collect()
+        assert [(r["account"], r["revenue"]) for r in flagged] == [("near", 1e9 + 0.5)]
+
+
 def test_multi_metric_pulse_equals_per_metric_flags(spark, sf_small):
     wide = A.monthly_metrics_by_nation(spark, sf_small)
     metrics = ["revenue", "orders", "discount_given"]
