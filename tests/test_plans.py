@@ -57,11 +57,11 @@ def test_first_per_key_uses_group_limit(spark, sf_small):
 
 
 def test_freight_lines_are_not_shuffled(spark, sf_small):
-    """The rate and rule lookups are broadcast into the line scan (the only
-    exchange on (carrier, lane, mode) builds the small cached rate basis)."""
+    """The rate and rule lookups are broadcast into the line scan: the lines
+    meet both rate tables by (carrier, lane, container), the rules by account."""
     plan = QUERIES["freight_exception_report"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
-    assert len(re.findall(r"BroadcastHashJoin \[carrier#\d+, lane#\d+, mode#\d+\]", plan)) == 2
+    assert len(re.findall(r"BroadcastHashJoin \[carrier#\d+, lane#\d+, container#\d+\]", plan)) == 2
     assert re.search(r"BroadcastHashJoin \[account_id#\d+L?\]", plan)
 
 
