@@ -12,8 +12,9 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_counts, toxicity, warc
-from .common import once_per_worker, read_table, shared_folder
+from . import (bpe, decontaminate, exact_dedup, line_dedup, packing, periodic, quality, repeats, simhash, spelling, token_counts,
+               toxicity, warc)
+from .common import let, once_per_worker, read_table, shared_folder, utf8
 
 
 def byte_bpe_path() -> str:
@@ -108,7 +109,59 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_toxicity, op4_packing, op5_line_dedup, op6_decontaminate, op7_quality, op8_simhash, op9_exact_dedup, op10_bpe)}
+def misspelt(words: DataFrame) -> DataFrame:
+    """``words`` (doc_id, word) with a code point deleted from one in 199, as the contract has it."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (F.col("h") % F.length("word")).cast("int")
+    less = F.concat(F.substr("word", F.lit(1), at), F.substr("word", at + 2))
+    return words.withColumn("h", h).select("doc_id", F.when(F.col("h") % 199 == 0, less).otherwise(F.col("word")).alias("word"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of ``documents`` that occurs often enough, with the form it is a variant of."""
+    words = misspelt(spelling.letter_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=6))
+    return spelling.variant_groups(spelling.vocabulary(words, shortest=6, least=5), times=5)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ``documents`` without passages of 50 words that a smaller doc_id has too."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.drop_repeats(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2(utf8("text"), 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts of one in ten made periodic from some word on, as the contract has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda v: F.array_join(F.transform(words, lambda w, i: F.when(
+            i >= v["a"], F.get(words, v["a"] + (i - v["a"]) % v["p"])).otherwise(w)), " "))
+
+    changed = let(repeats.words_of("text"), lambda words: F.when(F.size(words) > 0, repeated(words)))
+    return docs.withColumn("text", F.when(h % 10 == 0, changed).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every text of ``documents``."""
+    docs = with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(docs)
+    # Runs come by start, then period: of equal exponents the first one stays.
+    most = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(
+        r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("top", most).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(utf8("collapsed"), 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_toxicity, op4_packing, op5_line_dedup, op6_decontaminate, op7_quality,
+                                   op8_simhash, op9_exact_dedup, op10_bpe, op11_spelling, op12_substring_dedup, op13_periodic_runs)}
 
 ORACLE_SQL = {
     "op2_warc": """
