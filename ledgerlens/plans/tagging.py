@@ -4,25 +4,29 @@ list, and category statistics.
 A text matches a pattern when the lowercased pattern occurs in the
 lowercased text; among matching patterns the lowest ordinal wins. A text
 with no match is ``(blocked = false, pattern = "")``.
+
+A short list becomes one CASE expression over the text. A longer one stays a
+DataFrame: it is indexed by one rare character gram of each pattern, joined to
+the grams of the texts, and only what is found there is searched for.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequence import number_rows
 from ..sources.patterns import DEFAULT_CATEGORY, DEFAULT_COMPANY, MISSING_CATEGORY
 
-# Lists up to this size become one CASE expression (no join, no shuffle,
-# evaluated inside whole-stage codegen with early exit in list order); larger
-# ones one array that every text is searched for. The answer is the same.
+# Lists up to this size, proven by a count, become one CASE expression (no
+# join, no shuffle, evaluated inside whole-stage codegen with early exit in
+# list order); longer ones are indexed by grams. The answer is the same.
 CASE_CHAIN_LIMIT = 512
-# The (ordinal → name, category) lookup is broadcast up to this many entries;
-# beyond it the join on the ordinal shuffles ids only, never the texts.
-INFO_BROADCAST_LIMIT = 100_000
+# Characters of a gram; a shorter pattern is its own gram.
+GRAM = 4
+# The gram index (one row for each pattern) is broadcast to the texts' grams
+# up to this many patterns; beyond it the grams are shuffled.
+INDEX_BROADCAST_LIMIT = 100_000
 
 
 def _first_match_ordinal(text: Column, patterns: list[tuple[int, str]]) -> Column:
@@ -35,48 +39,87 @@ def _first_match_ordinal(text: Column, patterns: list[tuple[int, str]]) -> Colum
     return expr if expr is not None else F.lit(None).cast("int")
 
 
-def _least_listed_ordinal(text: Column, patterns: list[tuple[int, str]]) -> Column:
-    """The same over a list of any length, held as one array constant; the
-    text is folded once."""
-    listed = F.from_json(F.lit(json.dumps([{"o": o, "n": n} for o, n in patterns])), "array<struct<o:int,n:string>>")
-    hits = F.transform(F.array(F.lower(text)), lambda low: F.filter(listed, lambda e: F.contains(low, e["n"])))
-    return F.get(F.get(hits, F.lit(0)), F.lit(0))["o"]
+def _grams(text: Column, width: int) -> Column:
+    """Every substring of ``width`` characters, in one pass over the text (a
+    lookahead, so that they overlap)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
 
 
-def _ordered_list(patterns: DataFrame) -> list[tuple[int, str]]:
-    """The list as (ordinal, folded name), for the plan. A list is a control
-    table; its names are folded by the function that folds the texts."""
-    rows = (patterns.select("ordinal", F.lower("name").alias("name")).filter(F.col("name").isNotNull())
-            .orderBy("ordinal").collect())
-    if len({r["ordinal"] for r in rows}) < len(rows):
-        raise ValueError("the pattern list repeats an ordinal")
-    return [(r["ordinal"], r["name"]) for r in rows]
+def _listed(patterns: DataFrame) -> DataFrame:
+    """The list with folded names; a NULL name matches nothing."""
+    return patterns.filter(F.col("name").isNotNull()).select(
+        "ordinal", "name", F.coalesce("category", F.lit(MISSING_CATEGORY)).alias("category"), F.lower("name").alias("folded"))
+
+
+def gram_index(patterns: DataFrame) -> DataFrame:
+    """``(gram, entry)``, one row for each pattern that isn't empty: of its
+    grams the one that the fewest patterns of the list share (ties by gram),
+    with ``entry`` = (ordinal, folded, name, category)."""
+    listed = _listed(patterns).filter(F.col("folded") != "")
+    entry = F.struct("ordinal", "folded", "name", "category").alias("entry")
+    # A pattern shorter than a gram is one itself.
+    grams = F.when(F.length("folded") < GRAM, F.array("folded")).otherwise(_grams(F.col("folded"), GRAM))
+    of = listed.select(entry, F.explode(F.array_distinct(grams)).alias("gram"))
+    shared = of.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return (of.join(shared, "gram").groupBy("entry").agg(F.min(F.struct("n", "gram")).alias("rarest"))
+            .select("rarest.gram", "entry"))
+
+
+def _indexed_match(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, widths: list[int],
+                   broadcast_index: bool) -> DataFrame:
+    """``(id_col, _hit)``: the entry of the least ordinal found in each text.
+
+    Two passes over the texts. The first takes their grams to the index and
+    keeps, per text that shares any, the entries to look for; only (id, MD5 of
+    the text, gram) leave the scan. The second looks for these in list order.
+    """
+    index = gram_index(patterns)
+    if broadcast_index:
+        index = F.broadcast(index)
+    key = F.md5(F.col(text_col).cast("binary"))
+    low = F.lower(F.col(text_col))
+    grams = F.array_distinct(F.concat(*[_grams(low, w) for w in widths])) if widths else F.array().cast("array<string>")
+    found = (texts.select(F.col(id_col).alias("_id"), key.alias("_key"), F.explode(grams).alias("gram"))
+             .join(index, "gram").groupBy("_id", "_key").agg(F.array_sort(F.collect_set("entry")).alias("_entries")))
+    keyed = texts.select(F.col(id_col), F.col(text_col).alias("_text"), key.alias("_own"))
+    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
+    hits = F.transform(F.array(F.lower("_text")), lambda t: F.filter("_entries", lambda e: F.contains(t, e["folded"])))
+    return joined.select(id_col, "_text", F.get(F.get(hits, F.lit(0)), F.lit(0)).alias("_hit"))
 
 
 def tag_patterns(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_col: str = "text",
                  case_chain_limit: int = CASE_CHAIN_LIMIT) -> DataFrame:
     """(id, blocked, pattern, category) for every input row.
 
-    The texts are read once, whole, by JVM expressions with no shuffle of the
-    text column; the matched ordinal is joined to the list for name and
-    category. Repeated ordinals raise ValueError: order would be undefined.
+    Up to ``case_chain_limit`` entries the texts are read once by JVM
+    expressions with no shuffle; the entries are in the plan. Beyond, the list
+    stays distributed (``gram_index``). Building the plan runs one aggregate
+    over the list. Repeated ordinals raise ValueError: order would be undefined.
     """
-    plist = _ordered_list(patterns)
-    size = len(plist)
-    match = _first_match_ordinal if size <= case_chain_limit else _least_listed_ordinal
-    matched = texts.select(id_col, match(F.col(text_col), plist).alias("_ord"))
-    info = patterns.select(F.col("ordinal").alias("_ord"), F.col("name").alias("_name"),
-                           F.col("category").alias("_cat"))
-    if size <= INFO_BROADCAST_LIMIT:   # the list was counted above
-        info = F.broadcast(info)
-    return (
-        matched.join(info, "_ord", "left")
-        .select(
-            id_col,
-            F.col("_ord").isNotNull().alias("blocked"),
-            F.coalesce(F.col("_name"), F.lit("")).alias("pattern"),
-            F.when(F.col("_ord").isNotNull(), F.coalesce(F.col("_cat"), F.lit(MISSING_CATEGORY))).alias("category"),
-        )
+    width = F.least(F.length("folded"), F.lit(GRAM))
+    empty = F.min(F.when(F.col("folded") == "", F.struct("ordinal", "name", "category")))
+    shape = _listed(patterns).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal").alias("ordinals"),
+                                  F.collect_set(F.when(width > 0, width)).alias("widths"), empty.alias("empty")).first()
+    if shape["ordinals"] < shape["n"]:
+        raise ValueError("the pattern list repeats an ordinal")
+    if shape["n"] <= case_chain_limit:
+        entries = _listed(patterns).orderBy("ordinal").collect()  # at most case_chain_limit
+        match = _first_match_ordinal(F.col(text_col), [(r["ordinal"], r["folded"]) for r in entries])
+        info = F.broadcast(_listed(patterns).select(F.col("ordinal").alias("_ord"), "name", "category"))
+        hit = F.when(F.col("_ord").isNotNull(), F.struct("name", "category")).alias("_hit")
+        tagged = texts.select(id_col, match.alias("_ord")).join(info, "_ord", "left").select(id_col, hit)
+    else:
+        tagged = _indexed_match(texts, patterns, id_col, text_col, sorted(shape["widths"]), shape["n"] <= INDEX_BROADCAST_LIMIT)
+        if shape["empty"] is not None:  # an empty pattern occurs in every text
+            everywhere = F.struct(*[F.lit(shape["empty"][c]).alias(c) for c in ("ordinal", "name", "category")])
+            own = F.struct("_hit.ordinal", "_hit.name", "_hit.category")
+            tagged = tagged.withColumn("_hit", F.when(F.col("_text").isNull(), F.lit(None)).when(
+                F.col("_hit").isNull() | (F.col("_hit.ordinal") > shape["empty"]["ordinal"]), everywhere).otherwise(own))
+    return tagged.select(
+        id_col,
+        F.col("_hit").isNotNull().alias("blocked"),
+        F.coalesce(F.col("_hit.name"), F.lit("")).alias("pattern"),
+        F.col("_hit.category").alias("category"),
     )
 
 

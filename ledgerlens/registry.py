@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from . import oracle as _O
 from . import primitives as P
 from .functions.scalars import round_half_up
+from .operators.sequence import number_rows
 from .plans import anomaly as N
 from .plans import billing as B
 from .plans import freight as FR
@@ -271,6 +272,26 @@ def pattern_tagging_extended(spark, sf_dir):
 QUERIES["pattern_tagging_extended"] = _q(pattern_tagging_extended)
 
 
+def benchmark_word_patterns(spark, sf_dir):
+    """Every distinct word of at least three letters of the benchmark's items
+    as a pattern, the longest words first: a list of thousands."""
+    words = A.read_table(spark, sf_dir, "benchmark", "item_id", "text").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("name")).distinct()
+    rank = F.struct((-F.length("name")).alias("shorter"), "name")
+    numbered = number_rows(words.select("name", rank.alias("o")), ["o"], out="ordinal")
+    return numbered.select("ordinal", "name", F.lit("unknown").alias("company"),
+                           F.concat(F.lit("len"), F.length("name").cast("string")).alias("category"))
+
+
+def pattern_tagging_index(spark, sf_dir):
+    """R12 / J9 with a list far beyond the CASE expression: whole documents
+    tagged with the first (longest) of the benchmark's words they hold."""
+    return G.tag_patterns(A.document_texts(spark, sf_dir), benchmark_word_patterns(spark, sf_dir))
+
+
+QUERIES["pattern_tagging_index"] = _q(pattern_tagging_index)
+
+
 # ---------------------------------------------------------------- freight and recovery
 
 

@@ -2,6 +2,8 @@
 recovery model and file sources/sinks."""
 
 import datetime as dt
+import random
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -34,7 +36,7 @@ def texts(spark):
     return spark.createDataFrame(UA, "id long, text string")
 
 
-@pytest.mark.parametrize("limit", [512, 0])   # CASE chain and Aho-Corasick paths
+@pytest.mark.parametrize("limit", [512, 0])   # CASE chain and gram index
 def test_first_match_semantics(spark, texts, limit):
     out = {r["id"]: r for r in G.tag_patterns(texts, PT.default_patterns(spark), case_chain_limit=limit).collect()}
     assert {k: v["pattern"] for k, v in out.items()} == EXPECTED
@@ -47,6 +49,35 @@ def test_tagging_plan_has_no_join_on_text(spark, texts):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_indexed_list_matches_the_case_chain(spark):
+    """Both plans agree on lists of any shape: short names, repeats, an empty
+    name, names that hold one another, texts repeated or without id."""
+    rnd = random.Random(5)
+    word = lambda a, b: "".join(rnd.choice("abAB/é") for _ in range(rnd.randint(a, b)))
+    names = [word(1, 9) for _ in range(700)] + [None, "A", "ab", "Ab", "\U0001F600x", "a\nb"]
+    texts = [(i if i % 7 else None, " ".join(word(1, 12) for _ in range(rnd.randint(0, 5)))) for i in range(300)]
+    texts += [(900, None), (901, ""), (902, "q\U0001F600X"), (903, "zA\nBz"), (904, "zzz " * 5000), texts[3], texts[3]]
+    frame = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    for some in (names, names[:40], [n for n in names if n and len(n) > 5], names + [""], []):
+        listed = spark.createDataFrame([(3_000_000_000 + i, n, "x", rnd.choice([None, "ai"])) for i, n in enumerate(some)],
+                                       "ordinal long, name string, company string, category string")
+        want = sorted(map(tuple, G.tag_patterns(frame, listed, case_chain_limit=10_000).collect()), key=str)
+        assert sorted(map(tuple, G.tag_patterns(frame, listed, case_chain_limit=-1).collect()), key=str) == want
+
+
+def test_indexed_list_stays_distributed(spark, texts, monkeypatch):
+    """One aggregate over the list when the plan is built, whatever its length; texts don't leave their scan with their grams."""
+    names = spark.range(2000).select(F.col("id").alias("ordinal"), F.concat(F.lit("agent"), F.col("id").cast("string")).alias("name"),
+                                     F.lit("c").alias("company"), F.lit("ai").alias("category"))
+    tagged = G.tag_patterns(texts, names)
+    assert [r["blocked"] for r in tagged.collect()] == [False] * len(UA)
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert "agent1999" not in plan and "NestedLoop" not in plan and "Python" not in plan
+    assert re.search(r"BroadcastHashJoin \[gram", plan)
+    monkeypatch.setattr(G, "INDEX_BROADCAST_LIMIT", 10)
+    assert G.tag_patterns(texts, names).count() == len(UA)
+
+
 def test_append_new_patterns(spark):
     existing = PT.default_patterns(spark)
     incoming = spark.createDataFrame(
