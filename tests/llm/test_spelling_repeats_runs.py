@@ -189,6 +189,9 @@ def test_repeats_query(spark, tmp_path):
     rows = repeats_case(50)
     got = queries.op12_substring_dedup(spark, documents(tmp_path, spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(((d, n, k, sha(t)) for d, n, k, t in plain_repeats(rows, 50)), key=str)
+    unique = [(i, t, "e", 5) for i, (_, t, *_) in enumerate(rows)]
+    got = repeats.drop_repeats(spark.createDataFrame(unique, "doc_id long, text string, word string, n_words long")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == sorted(plain_repeats(unique, 50))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.drop_repeats(empty).collect() == [] and repeats.removal_intervals(empty).collect() == []
 
@@ -198,15 +201,29 @@ def test_a_common_passage_is_sent_once_a_block(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{passage} own{i}") for i in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    sent = repeats.repeated_windows(frame, window=50)
-    found = {r["id"]: sorted(r["starts"]) for r in sent.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")).collect()}
-    assert found == {i: list(range(11)) for i in range(1, 400)}
+    found = {r["id"]: [tuple(x) for x in r["intervals"]] for r in repeats.removal_intervals(frame).collect()}
+    assert found == {i: [(0, 60)] for i in range(1, 400)}
     ids, keys = np.arange(100), np.arange(100)
     blocks = list(repeats._count_block(ids, keys, [t.encode() for _, t in rows[:100]], 50, 7))
-    counted = sum(len(v) for v in blocks[-1][6].to_pylist())
+    counted = sum(len(v) for v in blocks[-1].column(5).to_pylist())
     assert len(blocks) == 2 and counted == 11 + 100  # the passage once, and each document's last window
 
 
+def test_rows_go_through_packing():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 5, 4000):
+        bucket, ids = rnd.integers(0, 9, n), rnd.choice([-(1 << 63), -5, 0, 3, 1 << 40, (1 << 63) - 1], n)
+        keys, start = rnd.integers(-2, 2, n), rnd.choice([0, 1, 127, 128, 70_000, 1 << 30], n)
+        order = np.lexsort((start, keys, ids, bucket))
+        bucket, ids, keys, start = (c[order] for c in (bucket, ids, keys, start))
+        hashes, checks = rnd.integers(0, 1 << 60, n).astype(np.uint64), rnd.integers(-5, 5, n).astype(np.int16)
+        batch = repeats._packed(bucket, ids, keys, start, hashes, checks)
+        assert batch.num_rows == len(set(bucket.tolist()))
+        for a, b in zip(repeats._unpacked(batch), (ids, keys, start)):
+            assert (a == b).all() and len(a) == n
+        assert (repeats._flat(batch.column(5)) == hashes.view(np.int64)).all() and (repeats._flat(batch.column(6)) == checks).all()
+
+
 def test_rolling_hashes():
     rnd = np.random.default_rng(2)
     values = rnd.integers(0, 3, 300).astype(np.uint64)
