@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .relational import null_safe_join
 
 
 def number_rows(df: DataFrame, order: Sequence[str], start: int = 1, out: str = "seq",
@@ -38,3 +39,23 @@ def number_rows(df: DataFrame, order: Sequence[str], start: int = 1, out: str =
         .withColumn(out, (F.col("_off") + F.col("_local") + (start - 1)).cast("long"))
         .drop("_pid", "_local", "_off")
     )
+
+
+def numbered_within(df: DataFrame, keys: Sequence[str], order: str, partitions: int | None = None) -> DataFrame:
+    """Add ``_idx``, the position from 1 of each row within its key, in
+    ``order`` (unique within a key; NULL last).
+
+    The rows are range partitioned on (keys, order), which splits a hot key
+    over partitions; local positions are shifted by the sizes of the key's
+    partitions before, one row per (partition, key).
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k).asc() for k in keys], F.col(order).asc_nulls_last()]
+    ranged = materialize(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id()))
+    local = ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(F.col(order).asc_nulls_last())))
+    sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (null_safe_join(local, offsets, ["_pid", *keys])
+            .withColumn("_idx", (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off"))

@@ -49,14 +49,16 @@ PAYMENTS = """
 payments AS (
   SELECT l_orderkey * 100 + l_linenumber AS payment_id, l_orderkey AS invoice_id,
          CAST(l_shipdate AS DATE) AS payment_date,
-         CAST(l_extendedprice AS DECIMAL(18,2)) AS amount_paid
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS amount_paid,
+         CASE WHEN l_linestatus = 'F' THEN 'wire' ELSE 'card' END AS payment_method
   FROM lineitem WHERE l_returnflag <> 'R'
 )"""
 
 CREDIT_MEMOS = """
 credit_memos AS (
-  SELECT l_orderkey AS invoice_id, CAST(l_shipdate AS DATE) AS memo_date,
-         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS memo_amount
+  SELECT l_orderkey * 100 + l_linenumber AS memo_id, l_orderkey AS invoice_id, CAST(l_shipdate AS DATE) AS memo_date,
+         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS memo_amount,
+         'RETURN' AS reason_code
   FROM lineitem WHERE l_returnflag = 'R'
 )"""
 
@@ -492,6 +494,14 @@ SELECT t.page_id AS id, m.ord IS NOT NULL AS blocked, COALESCE(p.name, '') AS pa
        CASE WHEN m.ord IS NOT NULL THEN COALESCE(p.category, 'unknown') END AS category
 FROM pages t LEFT JOIN m ON t.page_id = m.id LEFT JOIN extended p ON p.ordinal = m.ord"""
 
+ORACLE["duplicate_charges_paged"] = with_ctes(["invoices"], """
+SELECT account_id, product_line, billing_period_start, billing_period_end, CAST((place - 1) // 2 AS BIGINT) AS page, COUNT(*) AS n_ids,
+       string_agg(CAST(invoice_id AS VARCHAR), ', ' ORDER BY invoice_id) AS invoice_ids
+FROM (SELECT *, COUNT(*) OVER grp AS members, ROW_NUMBER() OVER (grp ORDER BY invoice_id) AS place
+      FROM invoices WHERE status NOT IN ('void', 'written_off')
+      WINDOW grp AS (PARTITION BY account_id, product_line, billing_period_start, billing_period_end)) x
+WHERE members > 1 GROUP BY 1, 2, 3, 4, 5""")
+
 ORACLE["pattern_tagging_index"] = """
 WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS name FROM benchmark),
 list AS (SELECT ROW_NUMBER() OVER (ORDER BY length(name) DESC, name) AS ordinal, name FROM words),
@@ -625,11 +635,40 @@ dash AS (
 
 R15 = "WITH " + RECOVERY + "\nSELECT * FROM dash"
 
-A19 = "WITH " + RECOVERY + """
-SELECT month""" + "".join(
-    f",\n       CAST(SUM(CASE WHEN error_type = '{t}' THEN amount END) AS DOUBLE) AS {t}"
-    for t in ("rate_error", "duplicate_billing", "accessorial", "weight_class", "fuel_surcharge",
-              "address_correction")) + "\nFROM rl GROUP BY month"
+_TYPES = ("rate_error", "duplicate_billing", "accessorial", "weight_class", "fuel_surcharge", "address_correction")
+
+
+def _matrix(types) -> str:
+    named = "".join(f",\n       CAST(SUM(CASE WHEN error_type = '{t}' THEN amount END) AS DOUBLE) AS {t}" for t in types)
+    listed = ", ".join(f"'{t}'" for t in types)
+    return "WITH " + RECOVERY + f"""
+SELECT month{named},
+       CAST(SUM(CASE WHEN error_type IS NULL OR error_type NOT IN ({listed}) THEN amount END) AS DOUBLE) AS other
+FROM rl GROUP BY month"""
+
+
+A19 = _matrix(_TYPES)
+A19_FOUND = _matrix(sorted(_TYPES)[:4])
+
+_CUBE = "WITH " + RECOVERY + """,
+rate AS (SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS month, (4 + COUNT(*) % 3) / 100.0 AS pre, (25 + COUNT(*) % 7) / 100.0 AS post
+         FROM lineitem GROUP BY 1),
+cell AS (SELECT month, error_type, COUNT(*) AS errors, SUM(amount) AS pool, COALESCE(SUM(amount) FILTER (channel = 'PRE'), 0) AS avoided,
+                COALESCE(SUM(amount) FILTER (channel = 'POST'), 0) AS recovered FROM rl GROUP BY ALL),
+sums AS (SELECT 2 * GROUPING(c.month) + GROUPING(error_type) AS level, c.month, error_type, SUM(errors) AS errors, SUM(pool) AS pool,
+                SUM(avoided) AS avoided, SUM(recovered) AS recovered,
+                SUM(CAST(avoided AS DOUBLE) * CAST(pre AS DOUBLE)) AS pre_cost, SUM(CAST(recovered AS DOUBLE) * CAST(post AS DOUBLE)) AS post_cost
+         FROM cell c JOIN rate ON rate.month = c.month GROUP BY CUBE (c.month, error_type)),
+shown AS (SELECT CAST(level AS BIGINT) AS level, CASE WHEN level >= 2 THEN 'FY' ELSE strftime(month, '%Y-%m') END AS period,
+                 CASE WHEN level % 2 = 1 THEN 'ALL' ELSE error_type END AS error_type, CAST(errors AS BIGINT) AS errors,
+                 CAST(pool AS DOUBLE) AS pool, CAST(avoided AS DOUBLE) AS avoided, CAST(recovered AS DOUBLE) AS recovered,
+                 CAST(pool - avoided - recovered AS DOUBLE) AS leakage, CAST(avoided AS DOUBLE) / NULLIF(CAST(pool AS DOUBLE), 0) AS catch_rate,
+                 round(pre_cost, 4) AS pre_cost, round(post_cost, 4) AS post_cost,
+                 round((post_cost / NULLIF(CAST(recovered AS DOUBLE), 0)) / NULLIF(pre_cost / NULLIF(CAST(avoided AS DOUBLE), 0), 0), 9) AS cost_multiple
+          FROM sums)
+"""
+R15_TYPES = _CUBE + "SELECT * FROM shown"
+R15_CATCH = _CUBE + "SELECT error_type, catch_rate, leakage, cost_multiple FROM shown WHERE level = 2"
 
 R16 = "WITH " + RECOVERY + f"""
 SELECT period, catch_rate, pool
@@ -643,18 +682,37 @@ ORACLE.update({
     "lookup_rate_composite": J10,
     "recovery_dashboard": R15,
     "pivot_error_month": A19,
+    "pivot_error_month_found": A19_FOUND,
+    "recovery_by_type": R15_TYPES,
+    "recovery_catch_by_type": R15_CATCH,
     "catch_rate_flag": R16,
 })
 
 
 # ---------------------------------------------------------------- sources and sinks
 
-IO1 = with_ctes(["accounts", "invoices", "payments", "contracts", "credit_memos"], """
-SELECT 'accounts' AS table_name, COUNT(*) AS row_count FROM accounts
-UNION ALL SELECT 'invoices', COUNT(*) FROM invoices
-UNION ALL SELECT 'payments', COUNT(*) FROM payments
-UNION ALL SELECT 'contracts', COUNT(*) FROM contracts
-UNION ALL SELECT 'credit_memos', COUNT(*) FROM credit_memos""")
+# Columns of the billing tables by kind: n number, d date, s string, b boolean.
+_PROFILED = {
+    "accounts": "account_id:n account_name:s tier:s region:s csm_owner:s",
+    "invoices": "invoice_id:n account_id:n invoice_date:d due_date:d amount_due:n status:s billing_period_start:d "
+                "billing_period_end:d product_line:s",
+    "payments": "payment_id:n invoice_id:n payment_date:d amount_paid:n payment_method:s",
+    "contracts": "contract_id:n account_id:n contracted_arr:n billing_frequency:s contract_start:d contract_end:d auto_renew:b",
+    "credit_memos": "memo_id:n invoice_id:n memo_date:d memo_amount:n reason_code:s",
+}
+
+
+def _profile_sql(table: str, column: str, kind: str) -> str:
+    number = {"d": f"CAST({column} AS DATE) - DATE '1970-01-01'", "s": f"length({column})", "b": f"CAST({column} AS INTEGER)"}.get(kind, column)
+    text = column if kind == "s" else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({column}) AS null_count,
+       COUNT(DISTINCT {column}) AS distinct_count, CAST(SUM(CAST({number} AS DECIMAL(20,4))) AS DOUBLE) AS total,
+       CAST(MIN({number}) AS DOUBLE) AS least, CAST(MAX({number}) AS DOUBLE) AS greatest, MIN({text}) AS first_text, MAX({text}) AS last_text
+FROM {table}"""
+
+
+IO1 = with_ctes(["accounts", "invoices", "payments", "contracts", "credit_memos"], "\nUNION ALL ".join(
+    _profile_sql(t, *c.split(":")) for t, columns in _PROFILED.items() for c in columns.split()))
 
 IO2 = with_ctes(["series_nation"], "SELECT * FROM series")
 

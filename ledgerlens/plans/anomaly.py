@@ -102,6 +102,11 @@ def anomaly_report(enriched: DataFrame, key: str = "account", order: str = "mont
     """Non-NORMAL rows ranked by the unrounded severity, month as ``yyyy-MM``,
     values rounded like pandas (ties to even), and a priority tier taken from
     the rounded severity (R7)."""
+    return report_rows(enriched, key, order, value).orderBy(F.desc("_raw_severity"), "account", "month").drop("_raw_severity")
+
+
+def report_rows(enriched: DataFrame, key: str = "account", order: str = "month", value: str = "revenue") -> DataFrame:
+    """The rows of the report in no order, with the unrounded ``_raw_severity``."""
     flagged = enriched.filter(F.col("anomaly_type") != "NORMAL")
     rounded = flagged.select(
         F.col(key).alias("account"),
@@ -114,11 +119,7 @@ def anomaly_report(enriched: DataFrame, key: str = "account", order: str = "mont
         round_half_even(F.col("severity_score"), 2).alias("severity_score"),
         F.col("severity_score").alias("_raw_severity"),
     )
-    return (
-        rounded.withColumn("priority", priority_tier(F.col("severity_score"), F.col("anomaly_type")))
-        .orderBy(F.desc("_raw_severity"), "account", "month")
-        .drop("_raw_severity")
-    )
+    return rounded.withColumn("priority", priority_tier(F.col("severity_score"), F.col("anomaly_type")))
 
 
 def top_report_rows(report: DataFrame, n: int = 15) -> DataFrame:
@@ -332,18 +333,46 @@ def run_detector(series: DataFrame, cfg: DetectorConfig = DetectorConfig(), key:
     )
 
 
-def summary_table(series: DataFrame, report: DataFrame, key: str = "account", order: str = "month") -> DataFrame:
+ANOMALY_TYPES = ("SPIKE", "DROP", "EROSION")
+
+
+def summary_table(enriched: DataFrame, key: str = "account", order: str = "month") -> DataFrame:
     """All of R8 in one long table (section, label, metric, value): the
-    summary by type, the priority counts and the headline, stacked."""
-    by_type = summary_by_type(report).unpivot(
-        ["anomaly_type"], ["count", "avg_severity", "accounts_affected"], "metric", "value")
-    by_type = by_type.select(F.lit("by_type").alias("section"), F.col("anomaly_type").alias("label"),
-                             "metric", F.col("value").cast("double").alias("value"))
-    by_priority = priority_counts(report).select(
-        F.lit("by_priority").alias("section"), F.col("priority").alias("label"), F.lit("count").alias("metric"),
-        F.col("count").cast("double").alias("value"))
-    head = headline(series, report, key, order)
-    head = head.unpivot([], head.columns, "metric", "value").select(
-        F.lit("headline").alias("section"), F.lit(None).cast("string").alias("label"), "metric",
-        F.col("value").cast("double").alias("value"))
-    return by_type.unionByName(by_priority).unionByName(head)
+    summary by type, the priority counts and the headline, from one pass over
+    the enriched series (one detector run, nothing sorted, no distinct count).
+
+    One grouping-sets aggregate makes a row per account, with its counts by
+    type and priority, and a row per month; these add up to every figure. The
+    types and priorities are fixed, so they are columns until the end.
+    """
+    flagged = F.col("anomaly_type") != "NORMAL"
+    severity = round_half_even(F.col("severity_score"), 2)
+    rows = enriched.select(
+        F.col(key).alias("account"), F.col(order).alias("month"), F.when(flagged, F.col("anomaly_type")).alias("type"),
+        F.when(flagged, severity).alias("severity"), F.when(flagged, priority_tier(severity, F.col("anomaly_type"))).alias("priority"))
+    count_if = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    parts = rows.groupingSets([[F.col("account")], [F.col("month")]], "account", "month").agg(
+        F.grouping("account").alias("of_month"), count_if(F.col("type").isNotNull()).alias("flagged"),
+        *[count_if(F.col("type") == t).alias(f"n_{t}") for t in ANOMALY_TYPES],
+        *[F.sum(F.when(F.col("type") == t, F.col("severity"))).alias(f"s_{t}") for t in ANOMALY_TYPES],
+        *[count_if(F.col("priority") == p).alias(f"n_{p}") for p in PRIORITIES])
+    own, known = F.col("of_month") == 0, F.col("account").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(own, c)), F.lit(0))
+    how_many = lambda c: F.coalesce(count_if(c), F.lit(0)).cast("double")
+    wide = parts.agg(
+        *[F.struct(total(F.col(f"n_{t}")).alias("any"), total(F.when(known, F.col(f"n_{t}")).otherwise(0)).cast("double").alias("count"),
+                   round_half_even(F.sum(F.when(own, F.col(f"s_{t}"))) / F.nullif(total(F.col(f"n_{t}")), F.lit(0)), 2).alias("avg_severity"),
+                   how_many(own & known & (F.col(f"n_{t}") > 0)).alias("accounts_affected")).alias(t) for t in ANOMALY_TYPES],
+        *[total(F.col(f"n_{p}")).cast("double").alias(p) for p in PRIORITIES],
+        how_many(own & known).alias("accounts_analyzed"),
+        how_many(~own & F.col("month").isNotNull()).alias("months_analyzed"),
+        total(F.col("flagged")).cast("double").alias("anomalies_flagged"),
+        how_many(own & known & (F.col("n_HIGH") > 0)).alias("high_priority_accounts"))
+    figure = lambda section, label, metric, value: F.struct(
+        F.lit(section).alias("section"), F.lit(label).cast("string").alias("label"), F.lit(metric).alias("metric"), value.alias("value"))
+    by_type = [F.when(F.col(f"{t}.any") > 0, F.array(*[figure("by_type", t, m, F.col(f"{t}.{m}"))
+                                                       for m in ("count", "avg_severity", "accounts_affected")])) for t in ANOMALY_TYPES]
+    rest = F.array(*[figure("by_priority", p, "count", F.col(p)) for p in PRIORITIES],
+                   *[figure("headline", None, m, F.col(m)) for m in
+                     ("accounts_analyzed", "months_analyzed", "anomalies_flagged", "high_priority_accounts")])
+    return wide.select(F.inline(F.flatten(F.array_compact(F.array(*by_type, rest)))))

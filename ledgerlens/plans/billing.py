@@ -21,6 +21,8 @@ from ..operators.relational import (
     count_when, left_join_preaggregated, null_safe_join, per_key_totals, status_live, status_open, sum_when,
     union_all,
 )
+from ..operators.sequence import numbered_within
+from ..operators.skew import HOT_ROWS, hot_keys, salted_left_join
 
 ACCOUNT_ATTRS = ("account_name", "tier", "region", "csm_owner")
 FINGERPRINT = ("account_id", "product_line", "billing_period_start", "billing_period_end")
@@ -214,6 +216,26 @@ def duplicate_charges(invoices: DataFrame, accounts: DataFrame, id_chunk: int =
     )
 
 
+# Ids in one page of a list.
+PAGE_IDS = 1_000
+
+
+def duplicate_id_pages(invoices: DataFrame, page_ids: int = PAGE_IDS) -> DataFrame:
+    """The id lists of R3 in pages: per duplicated fingerprint and page number
+    (from 0), ``n_ids`` and the ids in order, at most ``page_ids`` of them.
+
+    The place of an id in its group comes from range partitioning (see
+    ``numbered_within``), so no task and no cell grows with a group.
+    """
+    lines = duplicate_invoice_lines(invoices).select(*FINGERPRINT, "invoice_id")
+    placed = numbered_within(lines, FINGERPRINT, "invoice_id")
+    return (
+        placed.groupBy(*FINGERPRINT, F.floor((F.col("_idx") - 1) / page_ids).cast("long").alias("page"))
+        .agg(F.count(F.lit(1)).alias("n_ids"),
+             F.expr("listagg(CAST(invoice_id AS STRING), ', ') WITHIN GROUP (ORDER BY invoice_id)").alias("invoice_ids"))
+    )
+
+
 # --------------------------------------------------------------------------
 # R4 contract vs billed
 # --------------------------------------------------------------------------
@@ -366,30 +388,25 @@ def leakage_summary(invoices: DataFrame, payments: DataFrame, contracts: DataFra
 # Snippet reports
 # --------------------------------------------------------------------------
 
-def invoice_payment_rows(invoices: DataFrame, payments: DataFrame) -> DataFrame:
+def invoice_payment_rows(invoices: DataFrame, payments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``invoices ⟕ payments USING (invoice_id)``: one row per payment, and
     one row with a NULL payment for an invoice without any.
 
-    Written as an inner join plus an anti join against the distinct paid
-    invoice ids: AQE can split a skewed partition on either side of an inner
-    join (a left outer join only on its left side), and the anti join sees
-    one row per invoice id after partial aggregation, so an invoice with a
-    huge number of payments does not land in one task.
+    One left join. An invoice with at least ``hot_rows`` payments (measured
+    by a sketch when the plan is built) is spread over salts, so it doesn't
+    land in one task; see ``operators/skew.py``.
     """
-    inv = invoices.select("invoice_id", "account_id", "amount_due")
     pay = payments.select("invoice_id", "amount_paid")
-    paid_ids = pay.select("invoice_id").distinct()
-    matched = inv.join(pay, "invoice_id")
-    unpaid = inv.join(paid_ids, "invoice_id", "left_anti").withColumn("amount_paid", F.lit(None).cast(MONEY))
-    return matched.unionByName(unpaid)
+    inv = invoices.select("invoice_id", "account_id", "amount_due")
+    return salted_left_join(inv, pay, "invoice_id", hot_keys(pay, "invoice_id", hot_rows))
 
 
-def monthly_exceptions(invoices: DataFrame, payments: DataFrame, accounts: DataFrame) -> DataFrame:
+def monthly_exceptions(invoices: DataFrame, payments: DataFrame, accounts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Invoice ⟕ payment rows (one per payment, not aggregated) with
     ``net_balance = amount_due − paid`` above 0.01, largest first."""
     net = F.col("amount_due") - F.coalesce(F.col("amount_paid"), F.lit(0))
     return (
-        invoice_payment_rows(invoices, payments)
+        invoice_payment_rows(invoices, payments, hot_rows)
         .withColumn("net_balance", net)
         .filter(F.col("net_balance") > 0.01)
         .join(accounts.select("account_id", "account_name"), "account_id")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from . import oracle as _O
 from . import primitives as P
 from .functions.scalars import round_half_up
+from .operators.relational import union_all
 from .operators.sequence import number_rows
 from .plans import anomaly as N
 from .plans import billing as B
@@ -111,6 +112,14 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def duplicate_charges_paged(spark, sf_dir):
+    """The ids of every duplicated fingerprint in pages of two."""
+    return B.duplicate_id_pages(A.billing(spark, sf_dir).invoices, page_ids=2)
+
+
+QUERIES["duplicate_charges_paged"] = _q(duplicate_charges_paged)
+
+
 # ---------------------------------------------------------------- anomaly detector
 
 
@@ -326,6 +335,24 @@ def pivot_error_month(spark, sf_dir):
     return RC.error_month_matrix(A.recovery_lines(spark, sf_dir), A.ERROR_TYPES)
 
 
+def pivot_error_month_found(spark, sf_dir):
+    """A19 with the columns found in the data, the first four types; the rest is ``other``."""
+    return RC.error_month_matrix(A.recovery_lines(spark, sf_dir), most=4)
+
+
+def recovery_by_type(spark, sf_dir):
+    """R15 as a cube of month × error type, with channel costs from a table
+    (doubles rounded, so that the order of a sum doesn't show)."""
+    cube = RC.recovery_by_type(A.recovery_lines(spark, sf_dir), A.recovery_costs(spark, sf_dir))
+    return cube.withColumns({c: round_half_up(F.col(c), d) for c, d in (("pre_cost", 4), ("post_cost", 4), ("cost_multiple", 9))})
+
+
+def recovery_catch_by_type(spark, sf_dir):
+    """Every error type's own pre-audit catch rate over the year, what leaked and its cost multiple."""
+    year = recovery_by_type(spark, sf_dir).filter("level = 2")
+    return year.select("error_type", "catch_rate", "leakage", "cost_multiple")
+
+
 def catch_rate_flag(spark, sf_dir):
     """Months whose catch rate breaks from the trailing six months."""
     return RC.catch_rate_flags(RC.recovery_dashboard(A.recovery_lines(spark, sf_dir)))
@@ -337,6 +364,9 @@ QUERIES.update({
     "lookup_rate_composite": _q(lookup_rate_composite),
     "recovery_dashboard": _q(recovery_dashboard),
     "pivot_error_month": _q(pivot_error_month),
+    "pivot_error_month_found": _q(pivot_error_month_found),
+    "recovery_by_type": _q(recovery_by_type),
+    "recovery_catch_by_type": _q(recovery_catch_by_type),
     "catch_rate_flag": _q(catch_rate_flag),
 })
 
@@ -345,13 +375,11 @@ QUERIES.update({
 
 
 def scan_billing(spark, sf_dir):
-    """IO1: the five adapted billing tables, row count per table."""
+    """IO1: profile of every column of the five adapted billing tables."""
     b = A.billing(spark, sf_dir)
     frames = {"accounts": b.accounts, "invoices": b.invoices, "payments": b.payments,
               "contracts": b.contracts, "credit_memos": b.credit_memos}
-    from .operators.relational import union_all
-    return union_all([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
-                      for n, df in frames.items()])
+    return union_all([IO.column_profile(df, n) for n, df in frames.items()])
 
 
 def scan_monthly_revenue(spark, sf_dir):
@@ -461,8 +489,7 @@ WHERE """ + _O._flag_pred("value", "baseline", "spread")
 
 def anomaly_summary(spark, sf_dir):
     """The by-type summary, priority counts and headline as one table."""
-    series = A.monthly_revenue_by_nation(spark, sf_dir)
-    return N.summary_table(series, N.anomaly_report(N.anomaly_series(series)))
+    return N.summary_table(_nation_enriched(spark, sf_dir))
 
 
 QUERIES["anomaly_summary"] = _q(anomaly_summary)

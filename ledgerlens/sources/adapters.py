@@ -414,6 +414,17 @@ def recovery_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recovery_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, channel, rate): per month of shipping, 4 to 6 % for the pre-audit
+    and 25 to 31 % for the post-audit, by the month's number of line items."""
+    li = read_table(spark, sf_dir, "lineitem", "l_shipdate")
+    months = li.groupBy(F.trunc(_date(F.col("l_shipdate")), "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    rate = lambda least, kinds: ((F.lit(least) + F.col("n") % kinds) / 100).cast("decimal(6,4)")
+    return months.select("month", F.explode(F.array(
+        F.struct(F.lit("PRE").alias("channel"), rate(4, 3).alias("rate")),
+        F.struct(F.lit("POST").alias("channel"), rate(25, 7).alias("rate")))).alias("c")).select("month", "c.channel", "c.rate")
+
+
 # --------------------------------------------------------------------------
 # Text columns for pattern tagging
 # --------------------------------------------------------------------------

@@ -148,3 +148,31 @@ def write_billing_tables(tables, base_path: str) -> None:
     """Write the five billing tables of ``tables`` as parquet under ``base_path``."""
     for name in _BILLING_SCHEMAS:
         getattr(tables, name).write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/{name}")
+
+
+def column_profile(df: DataFrame, table_name: str) -> DataFrame:
+    """One row per column: rows, NULLs, distinct values, and total, least and
+    greatest number (of a date its day number, of a string its length, of a
+    boolean 1 or 0), for strings also the first and last value (IO1).
+
+    One pass: rows are unpivoted to (column, value) and counted per value
+    with a map-side combine, then per column; no column is read twice and a
+    distinct count needs no expansion of its own.
+    """
+    day_zero = F.lit("1970-01-01").cast("date")
+
+    def cell(f: T.StructField):
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        number = {"date": F.datediff(c, day_zero), "string": F.length(c), "boolean": c.cast("int")}.get(kind, c)
+        return F.struct(F.lit(f.name).alias("column_name"), F.lit(kind == "string").alias("text"),
+                        c.cast("string").alias("value"), number.cast("decimal(20,4)").alias("number"))
+
+    cells = df.select(F.inline(F.array(*map(cell, df.schema.fields))))
+    values = cells.groupBy("column_name", "text", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    shown = F.when(F.col("text"), F.col("value"))
+    return values.groupBy("column_name").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+        F.count("value").alias("distinct_count"), F.sum(F.col("number") * F.col("n").cast("decimal(20,0)")).alias("total"),
+        F.min("number").alias("least"), F.max("number").alias("greatest"),
+        F.min(shown).alias("first_text"), F.max(shown).alias("last_text"),
+    ).select(F.lit(table_name).alias("table_name"), "*")
