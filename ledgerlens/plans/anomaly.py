@@ -53,16 +53,24 @@ def nan_as_null(df: DataFrame, column: str):
 
 def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
                    key: str = "account", order: str = "month", value: str = "revenue",
-                   split_rows: int | None = None) -> DataFrame:
+                   split_rows: int | None = None, carried: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Enriched series: one output row per input row with the baseline,
     z-score, flags, type and severity (R6).
 
+    ``carried`` names a column with filled values known from earlier rows
+    that aren't in ``series`` any more; ``keep`` lists columns to pass on
+    (``_filled``, the filled value, can be among them).
+
     ``split_rows`` (optional) evaluates the windows on blocks of that many
     rows per key with a halo of the rows they look back on (see
     ``split_series``), so a key with a very long series is spread over many
     tasks; the result is the same.
     """
-    series = series.select(key, order, nan_as_null(series, value).alias(value))
+    passed = [c for c in dict.fromkeys([*keep, *([carried] if carried else [])]) if c != "_filled"]
+    series = series.select(key, order, nan_as_null(series, value).alias(value), *passed)
+    if carried:
+        series = series.withColumn("_known", F.coalesce(F.col(value), F.col(carried)))
+    known = "_known" if carried else value
     if split_rows:
         work = split_series(series, [key], order,
                             halo=max(cfg.window, cfg.erosion_window), block_rows=split_rows)
@@ -71,8 +79,10 @@ def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
         work, keys, pos = series, [key], order
     stats = trailing_stats(value, keys, pos, cfg.window, cfg.min_periods)
     if cfg.fill == "pad":
-        work = forward_filled_split(work, value, [key]) if split_rows else work.withColumn(
-            "_filled", forward_filled(value, keys, pos))
+        work = forward_filled_split(work, known, [key]) if split_rows else work.withColumn(
+            "_filled", forward_filled(known, keys, pos))
+    else:
+        work = work.withColumn("_filled", F.col(value))
     base = work.withColumn("rolling_mean", stats["mean"]).withColumn("_std", stats["std"])
     change_of = "_filled" if cfg.fill == "pad" else value
     mean = F.col("rolling_mean")
@@ -94,7 +104,7 @@ def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
     if split_rows:
         out = out.filter(~F.col("_halo"))
     return out.select(key, order, value, "rolling_mean", "rolling_std", "z_score", "pct_vs_baseline",
-                      "point_anomaly", "erosion_pct", "erosion_flag", "anomaly_type", "severity_score")
+                      "point_anomaly", "erosion_pct", "erosion_flag", "anomaly_type", "severity_score", *keep)
 
 
 def anomaly_report(enriched: DataFrame, key: str = "account", order: str = "month",
