@@ -1,5 +1,5 @@
 """Window building blocks: trailing baselines over previous rows, lagged
-percentage change, first row per key, share of total.
+percentage change, first row per key, and the split of long series.
 
 A window partition holds one key's rows. The series fed to these operators
 are per (key, period) aggregates, so a partition is bounded by the number of
@@ -9,10 +9,12 @@ the series runs partial-then-final and absorbs hot keys.
 
 from __future__ import annotations
 
+from math import ceil
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .relational import null_safe_join
 
@@ -57,85 +59,102 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
-def share_of_total(value: str, digits: int = 1) -> Column:
-    """``value / SUM(value) OVER () × 100`` rounded; NULL share when the total
-    is zero. Only for small, already-aggregated inputs: the frame is global."""
-    total = F.sum(value).over(Window.partitionBy())
-    share = F.col(value).cast("double") / F.nullif(total.cast("double"), F.lit(0.0)) * 100
-    scale = float(10 ** digits)
-    return F.round(share * F.lit(scale), 0) / F.lit(scale)
-
-
 # --------------------------------------------------------------------------
 # Split mode for long series (a hot key)
 # --------------------------------------------------------------------------
 
-def split_series(df: DataFrame, keys: Sequence[str], order: str, halo: int, block_rows: int,
-                 partitions: int | None = None) -> DataFrame:
-    """Cut each key's series into blocks of ``block_rows`` consecutive rows,
-    each preceded by a copy of the previous block's last ``halo`` rows.
-
-    Adds ``_idx`` (1-based position within the key, in ``order``), ``_block``
-    and ``_halo`` (True on the copies). A rows frame reaching at most
-    ``halo`` rows back, evaluated over ``partitionBy(*keys, "_block")
-    .orderBy("_idx")`` and kept on ``~_halo`` rows, equals the same frame over
-    the whole key; a window partition then holds at most
-    ``block_rows + halo`` rows however long the key's series is.
-
-    Positions come from range partitioning on (keys, order), which splits a
-    hot key across partitions, plus per-(partition, key) offsets; no window
-    spans a whole key. ``order`` must be unique within a key.
+# Keys long enough to be split are broadcast with their cuts up to this many.
+CUT_KEYS = 100_000
+
+
+def _lead(df: DataFrame, order: str) -> Column:
+    """A column that ``percentile_approx`` takes and that never falls while
+    ``order`` rises: of a struct its first field, of a string its first bytes."""
+    kind, c = df.schema[order].dataType, F.col(order)
+    while isinstance(kind, T.StructType):
+        c, kind = c[kind.fields[0].name], kind.fields[0].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return c
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> DataFrame:
+    """Add ``_block``: of a key with more than ``block_rows`` rows, which of
+    its ranges of ``order`` (cut at quantiles, about ``block_rows`` rows each) a
+    row lies in, from 0; of any other key NULL. NULL order values are in the
+    last range, rows that share a leading value in the same one.
+
+    The cuts come from quantile sketches per key, combined map-side; no row
+    moves. Building the plan runs one grouped count.
+    """
+    lead = _lead(df, order)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
+    shape = sizes.agg(F.count(F.lit(1)).alias("long_keys"), F.max("_n").alias("most")).first()
+    if not shape["long_keys"]:
+        return df.withColumn("_block", F.lit(None).cast("int"))
+    ranges = ceil(shape["most"] / block_rows)
+    quantiles = F.percentile_approx(lead, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))
+    cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), quantiles.alias("_cuts")).filter(F.col("_n") > block_rows).drop("_n")
+    block = F.when(lead.isNull(), F.size("_cuts")).otherwise(F.size(F.filter("_cuts", lambda c: c < lead)))
+    if keys:
+        cuts = F.broadcast(cuts) if shape["long_keys"] <= CUT_KEYS else cuts
+        return null_safe_join(df, cuts, keys, "left").withColumn("_block", F.when(F.col("_cuts").isNotNull(), block)).drop("_cuts")
+    listed = cuts.first()["_cuts"]  # one series: as many cuts as ranges
+    return df.withColumn("_cuts", F.array(*[F.lit(c) for c in listed])).withColumn("_block", block).drop("_cuts")
+
+
+def split_series(df: DataFrame, keys: Sequence[str], order: str, halo: int, block_rows: int) -> DataFrame:
+    """Cut each long key's series into blocks of about ``block_rows``
+    consecutive rows (``with_blocks``), each preceded by a copy of the last
+    ``halo`` rows before it.
+
+    Adds ``_block`` and ``_halo`` (True on the copies). A rows frame reaching
+    at most ``halo`` rows back, evaluated over ``partitionBy(*keys, "_block")
+    .orderBy(order)`` and kept on ``~_halo`` rows, equals the same frame over
+    the whole key, and a window partition holds one block.
+
+    Only that window exchanges all rows. The copies come from the last ``halo``
+    rows of each block, of which a scan task sends on no more than so many per
+    block (a group limit before the exchange); where a block has fewer, the
+    copies reach back over several. ``order`` must be unique within a key.
     """
     if block_rows < halo:
         raise ValueError("block_rows must be at least the halo")
-    from ..session import materialize
-
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # NULL order values last, as in the unsplit window (ordered_window).
-    by = [*[F.col(k).asc() for k in keys], F.col(order).asc_nulls_last()]
-    ranged = materialize(
-        df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id())
-    )
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(F.col(order).asc_nulls_last())))
-    sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per (partition, key): a key spans at most all partitions.
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    placed = (
-        null_safe_join(local, offsets, ["_pid", *keys])
-        .withColumn("_idx", (F.col("_off") + F.col("_local")).cast("long"))
-        .drop("_pid", "_local", "_off")
-        .withColumn("_block", F.floor((F.col("_idx") - 1) / block_rows).cast("long"))
-    )
-    own = placed.withColumn("_halo", F.lit(False))
-    copies = (
-        placed.filter((F.col("_idx") - 1) % block_rows >= block_rows - halo)
-        .withColumn("_block", F.col("_block") + 1)
-        .withColumn("_halo", F.lit(True))
-    )
+    placed = with_blocks(df, keys, order, block_rows)
+    own = placed.withColumn("_block", F.coalesce("_block", F.lit(0))).withColumn("_halo", F.lit(False))
+    last = Window.partitionBy(*keys, "_block").orderBy(F.col(order).desc_nulls_first())
+    tails = (placed.filter(F.col("_block").isNotNull())
+             .withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= halo).drop("_back"))
+    # From here on a key has `halo` rows for each block at most.
+    whole = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
+    tails = tails.withColumn("_place", F.row_number().over(whole))
+    ends = tails.groupBy(*keys, "_block").agg(F.max("_place").alias("_upto"))
+    ends = ends.withColumn("_next", F.lead("_block").over(Window.partitionBy(*keys).orderBy("_block"))).filter(F.col("_next").isNotNull())
+    # The rows before block `next` are the places up to `upto`; a row is among the last `halo` of these for few blocks.
+    wanted = ends.groupBy(*keys).agg(F.collect_list(F.struct("_upto", "_next")).alias("_ends"))
+    near = F.filter("_ends", lambda e: (F.col("_place") <= e["_upto"]) & (F.col("_place") > e["_upto"] - halo))
+    copies = (null_safe_join(tails, wanted, keys) if keys else tails.withColumn("_ends", wanted.scalar()))
+    copies = (copies.withColumn("_block", F.explode(F.transform(near, lambda e: e["_next"])))
+              .drop("_place", "_ends").withColumn("_halo", F.lit(True)))
     return own.unionByName(copies)
 
 
-def forward_filled_split(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+def forward_filled_split(df: DataFrame, value: str, keys: Sequence[str], order: str) -> DataFrame:
     """Forward fill (last non-NULL value up to the row) on a split series:
     within the block (its halo included) by a running ``last``, and from
     earlier blocks through a per-block carry (one row per block)."""
     bkeys = [*keys, "_block"]
     inside = F.last(value, ignorenulls=True).over(
-        Window.partitionBy(*bkeys).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0))
-    last_in_block = (
-        df.filter(~F.col("_halo") & F.col(value).isNotNull())
-        .groupBy(*bkeys).agg(F.max_by(value, "_idx").alias("_last"))
-    )
-    carry = last_in_block.select(
-        *keys, (F.col("_block") + 1).alias("_block"), "_last")
-    # carry into block b = last non-NULL of all blocks < b (a window over one row per block)
-    blocks = null_safe_join(df.select(*bkeys).distinct(), carry, bkeys, "left")
+        ordered_window(bkeys, order).rowsBetween(Window.unboundedPreceding, 0))
+    # The last value of a block is that of its greatest order, NULL order being the greatest.
+    rank = F.struct(F.col(order).isNull(), F.col(order))
+    blocks = df.filter(~F.col("_halo")).groupBy(*bkeys).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("_last"))
+    # carry into a block = last non-NULL of all blocks before (a window over one row per block)
     carried = blocks.select(
         *bkeys,
         F.last("_last", ignorenulls=True).over(
-            Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias("_carry"),
+            Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
     )
     return (null_safe_join(df.withColumn("_in", inside), carried, bkeys, "left")
             .withColumn("_filled", F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry"))

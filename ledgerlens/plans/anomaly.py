@@ -74,12 +74,12 @@ def anomaly_series(series: DataFrame, cfg: DetectorConfig = DetectorConfig(),
     if split_rows:
         work = split_series(series, [key], order,
                             halo=max(cfg.window, cfg.erosion_window), block_rows=split_rows)
-        keys, pos = [key, "_block"], "_idx"
+        keys, pos = [key, "_block"], order
     else:
         work, keys, pos = series, [key], order
     stats = trailing_stats(value, keys, pos, cfg.window, cfg.min_periods)
     if cfg.fill == "pad":
-        work = forward_filled_split(work, known, [key]) if split_rows else work.withColumn(
+        work = forward_filled_split(work, known, [key], order) if split_rows else work.withColumn(
             "_filled", forward_filled(known, keys, pos))
     else:
         work = work.withColumn("_filled", F.col(value))
@@ -216,19 +216,25 @@ def chart_feed(enriched: DataFrame, n: int = 4, key: str = "account",
 
 # ---------------------------------------------------------------- generic flag
 
+# Rows of a block of a series without a key.
+KEYLESS_ROWS = 100_000
+
+
 def strict_baseline(df: DataFrame, metric: str, keys: Sequence[str], order: str, window: int = 6,
                     split_rows: int | None = None) -> DataFrame:
     """Adds ``baseline`` and ``spread``: mean and sample std of the previous
     ``window`` rows, only when all ``window`` rows are present (W10). Of equal
     values they are that value and 0, without the rounding of a sum.
-    ``split_rows`` spreads very long series over blocks (``split_series``)."""
+    ``split_rows`` spreads longer series over blocks (``split_series``); a
+    single series without a key is split by default, 0 turns that off."""
     df = df.withColumn(metric, nan_as_null(df, metric))
+    split_rows = KEYLESS_ROWS if split_rows is None and not keys else split_rows
     if split_rows:
         work = split_series(df, list(keys), order, halo=window, block_rows=split_rows)
-        st = trailing_stats(metric, [*keys, "_block"], "_idx", window, window)
+        st = trailing_stats(metric, [*keys, "_block"], order, window, window)
         mean, std = _exact_if_flat(st)
         out = work.withColumn("baseline", mean).withColumn("spread", std).filter(~F.col("_halo"))
-        return out.drop("_idx", "_block", "_halo")
+        return out.drop("_block", "_halo")
     st = trailing_stats(metric, keys, order, window, window)
     mean, std = _exact_if_flat(st)
     return df.withColumn("baseline", mean).withColumn("spread", std)

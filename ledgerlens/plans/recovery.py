@@ -144,4 +144,4 @@ def catch_rate_flags(dashboard: DataFrame, window: int = 6, z: float = 2.5) -> D
     months (R16). One series ordered by month: the window has no key, which
     is fine because the input is already one row per month."""
     months = dashboard.filter(F.col("period") != "FY").select("period", "catch_rate", "pool")
-    return metric_flag(months, "catch_rate", [], "period", window, z)
+    return metric_flag(months, "catch_rate", [], "period", window, z, split_rows=0)

@@ -89,6 +89,61 @@ def test_positions_within_keys(spark):
         assert sorted(found) == list(enumerate(order, 1))
 
 
+# ---------------------------------------------------------------- blocks with a halo
+
+def series_rows(seed, n=700):
+    """Long and short keys, values missing, some months far more crowded than others."""
+    rnd = random.Random(seed)
+    out = []
+    for k, size in (("a", n), ("b", n // 7), (None, n // 3), ("c", 3)):
+        at = sorted(rnd.sample(range(10 * n), size)) if k != "b" else [x // 3 for x in range(3 * size, 6 * size, 3)]
+        out += [(k, o, rnd.choice([None, rnd.random() * 9, 5.0, 5.0])) for o in at]
+    return out + [("a", None, 1.5)]
+
+
+@pytest.mark.parametrize("block_rows, seed", [(6, 1), (9, 2), (64, 3), (5000, 4)])
+def test_blocks_give_the_plain_windows(spark, block_rows, seed):
+    frame = spark.createDataFrame(series_rows(seed), "k string, o long, v double").repartition(5)
+    for keys in (["k"], []):
+        part = frame if keys else frame.filter("k = 'a'")
+        plain = N.strict_baseline(part, "v", keys, "o", 6, split_rows=0)
+        split = N.strict_baseline(part, "v", keys, "o", 6, split_rows=block_rows)
+        assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+@pytest.mark.parametrize("order", ["ts", "day", "name", "both"])
+def test_blocks_by_any_order(spark, order):
+    rows = [(dt.datetime(2001, 1, 1) + dt.timedelta(minutes=7 * i), dt.date(2001, 1, 1) + dt.timedelta(days=i), f"row{i:05d}", i, float(i % 13)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "ts timestamp_ntz, day date, name string, i long, v double").withColumn("both", F.struct("ts", "i"))
+    plain = N.strict_baseline(frame, "v", [], order, 6, split_rows=0).select("i", "baseline", "spread")
+    split = N.strict_baseline(frame, "v", [], order, 6, split_rows=40)
+    assert sorted(map(tuple, split.select("i", "baseline", "spread").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_one_exchange_of_all_rows(spark):
+    """All rows are exchanged once, by the window; what the copies take is limited before it is exchanged."""
+    frame = spark.createDataFrame(series_rows(5), "k string, o long, v double")
+    plan = plan_of(N.metric_flag(frame, "v", ["k"], "o", split_rows=50))
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+    lines = plan.split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-*"))
+    moved = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            under = [x for x in lines[i + 1:]]
+            under = under[:next((j for j, x in enumerate(under) if depth(x) <= depth(line)), len(under))]
+            moved.append(any(re.search("WindowGroupLimit|Aggregate", x) for x in under[:4]) or "WindowGroupLimit" in "".join(under) and "Union" not in "".join(under))
+    assert moved.count(False) == 1
+
+
+def test_a_series_without_a_key_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(N, "KEYLESS_ROWS", 50)
+    frame = spark.range(1000).select("id", (F.col("id") % 17).cast("double").alias("v"))
+    flagged = N.metric_flag(frame, "v", order="id")
+    assert "SinglePartition" not in plan_of(flagged).split("Window [")[1].split("Exchange")[1][:60]
+    assert flagged.count() == N.metric_flag(frame, "v", order="id", split_rows=0).count() > 0
+
+
 # ---------------------------------------------------------------- detector summary
 
 def test_summary_is_one_detector_run(spark, sf_small):
