@@ -13,16 +13,19 @@ band's threshold, two bits: its home, and where it isn't an anchor itself the
 it at their own home, so comparing, per anchor, the fingerprints at home there
 with all that were copied there misses no link. All 64 bits are compared.
 
-Equal fingerprints are merged before they are copied. An anchor that is home
-to many fingerprints is split into blocks of them, each compared with every
-copy; a task emits only the links that join what was apart, so a dense group
-gives fewer links than it has members. Components come from a distributed
-star algorithm.
+Equal fingerprints are merged before they are copied. A crowded anchor is split
+into cells, a block of its homes against a block of its copies, so no task holds
+more than ``HOME_BLOCK`` homes and ``COPY_BLOCK`` copies of it at once; a cell
+emits only the links that join what was apart, so a dense group gives fewer
+links than it has members. Components come from a distributed star algorithm.
 
 Defined results: NULL and empty texts, and texts of white space, have
 fingerprint zero and link like any other; texts of fewer words than a shingle
 count as one shingle. Rows with NULL ids take part but never name a component
-unless it has no other ids. Repeated rows each get their row.
+unless it has no other ids. Repeated rows each get their row. Very long texts
+are hashed piece by piece, whole. An empty table gives no rows.
+``near_duplicates`` reads the id and the text only; ``drop_near_duplicates``
+keeps all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ from .components import connected_components
 SEED = 42
 _BAND_BITS = 31
 _BAND = (1 << _BAND_BITS) - 1
-#: Home fingerprints that one task compares with an anchor's copies.
-HOME_BLOCK = 4096
+#: Home fingerprints and copies that one cell of a crowded anchor compares.
+HOME_BLOCK, COPY_BLOCK = 4096, 1 << 16
 _PER_STEP = 1 << 16
 
 
@@ -142,20 +145,29 @@ def _group_links(fp: np.ndarray, homes: np.ndarray, max_bits: int) -> list[tuple
     return links
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3, home_block: int = HOME_BLOCK) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = 3, home_block: int = HOME_BLOCK, copy_block: int = COPY_BLOCK) -> DataFrame:
     """``(a, b)`` links that connect all distinct fingerprints ``fp`` within
     ``max_bits`` (at most 3) of one another, as far as paths go."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two bands with a threshold of one bit each cover at most 3 differing bits")
-    copies = anchor_copies(fps)
-    crowded = (copies.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-               .where(F.col("n") > home_block)
-               .select("anchor", F.ceil(F.col("n") / home_block).cast("int").alias("blocks")))
-    blocks = F.coalesce("blocks", F.lit(1))
-    placed = (copies.join(crowded, "anchor", "left")
-              .withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-              .select("anchor", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "fp", "home", "own")
-              .select("anchor", "block", "fp", (F.col("home") & (F.col("own") == F.col("block"))).alias("home")))
+    # Each fingerprint makes up to 32 copies, so few small partitions of them would be few long tasks.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = anchor_copies(fps.repartition(parts, "fp"))
+    homes = F.sum(F.col("home").cast("int"))
+    crowded = (copies.groupBy("anchor").agg(homes.alias("homes"), F.count(F.lit(1)).alias("n"))
+               .where((F.col("homes") > home_block) | (F.col("n") > copy_block))
+               .select("anchor", F.ceil(F.greatest("homes", F.lit(1)) / home_block).cast("int").alias("down"),
+                       F.ceil(F.col("n") / copy_block).cast("int").alias("across")))
+    down, across = F.coalesce("down", F.lit(1)), F.coalesce("across", F.lit(1))
+    row = F.pmod(F.xxhash64("fp"), F.col("down")).cast("int")
+    column = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("across")).cast("int")
+    # As a copy it is in every cell of its column, as a home in every cell of its row.
+    placed = (copies.join(crowded, "anchor", "left").withColumn("down", down).withColumn("across", across)
+              .select("anchor", "fp", "home", row.alias("row"), column.alias("column"), "across",
+                      F.explode(F.sequence(F.lit(0), F.col("down") * F.col("across") - 1)).alias("block"))
+              .withColumn("home", F.col("home") & (F.floor(F.col("block") / F.col("across")) == F.col("row")))
+              .where(F.col("home") | (F.col("block") % F.col("across") == F.col("column")))
+              .select("anchor", "block", "fp", "home"))
     return (placed.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
             .mapInArrow(lambda batches: _compare(batches, max_bits), "a long, b long"))
 

@@ -58,8 +58,8 @@ def test_query_matches_brute_force(spark, sf_small):
         assert (int(r["fingerprint"], 16), r["component_id"]) == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize("home_block", [4096, 3])
-def test_links_lose_no_component(spark, home_block):
+@pytest.mark.parametrize("home_block, copy_block", [(4096, 1 << 16), (3, 1 << 16), (4096, 5), (2, 7)])
+def test_links_lose_no_component(spark, home_block, copy_block):
     rnd = random.Random(3)
     fps = {rnd.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1, 1, 7, 1 << 63}
     for f in list(fps)[:50]:
@@ -72,7 +72,7 @@ def test_links_lose_no_component(spark, home_block):
     fps |= {centre ^ (1 << b) for b in range(64)}  # a dense group
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 3, home_block)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 3, home_block, copy_block)
     assert links.where("bit_count(a ^ b) > 3").count() == 0
     labels = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
     want = plain_components(fps, list(range(len(fps))))
@@ -98,6 +98,25 @@ def test_near_duplicates_odd_rows(spark):
         simhash.fingerprint_links(df, max_bits=4)
 
 
+def test_large_groups_are_joined_by_broadcast(spark, monkeypatch):
+    """A third of all rows alike, and a bound that groups of later rounds pass too."""
+    rnd = random.Random(9)
+    long = "x" * 700
+    texts = ["same"] * 300 + [long] * 120 + [long + "y"] * 90 + [f"text {rnd.randrange(60)}" for _ in range(400)] + [None, ""]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    want = defaultdict(list)
+    for i, t in rows:
+        want[t or ""].append(i)
+    monkeypatch.setattr(exact_dedup, "LARGE_GROUP", 20)
+    for size in (8 << 20, 1):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", size)
+        got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert len(got) == len(rows)
+        seen = sorted(((r["text_sha256"], r["group_size"], r["keep_id"]) for r in got))
+        assert seen == sorted((hashlib.sha256(t.encode()).hexdigest(), len(ids), max(i for i in ids if i is not None))
+                              for t, ids in want.items() for _ in ids if any(i is not None for i in ids))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (None, 4), (-5, 200)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
