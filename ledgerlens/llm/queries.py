@@ -173,17 +173,17 @@ ORACLE_SQL = {
                CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM decided""",
     "op5_line_dedup": """
         WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-        once AS (SELECT source, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x) <> ''), lambda x: trim(x)))) AS line
+        once AS (SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: BARE), lambda x: x <> ''))) AS line
                  FROM pages),
-        counted AS (SELECT source, line, count(*) AS pages FROM once GROUP BY ALL HAVING count(*) >= 5),
+        counted AS (SELECT source, line, count(*) AS pages FROM once GROUP BY ALL HAVING count(*) > 1),
         totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
         found AS (SELECT c.source, list(line) AS gone FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
                   WHERE pages > 0.02 * total GROUP BY c.source)
         SELECT doc_id,
-               CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(gone, trim(x)), false)), chr(10)) END AS text,
-               CAST(coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines,
-               CAST(coalesce(len(list_filter(lines, lambda x: coalesce(list_contains(gone, trim(x)), false))), 0) AS BIGINT) AS n_dropped
-        FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source""",
+               CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(gone, BARE), false)), chr(10)) END AS text,
+               CAST(coalesce(len(list_filter(lines, lambda x: BARE <> '')), 0) AS BIGINT) AS n_lines,
+               CAST(coalesce(len(list_filter(lines, lambda x: coalesce(list_contains(gone, BARE), false))), 0) AS BIGINT) AS n_dropped
+        FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source""".replace("BARE", f"trim(x, '{line_dedup.WHITE}')"),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -22,7 +22,7 @@ def test_lines_match_brute_force(spark):
     totals, pages = Counter(h for _, h, _, _ in rows), Counter()
     for _, h, t, _ in rows:
         pages.update({(h, x.strip(" ")) for x in (t or "").split("\n") if x.strip(" ")})
-    gone = {k for k, n in pages.items() if n >= 5 and n > 0.1 * totals[k[0]]}
+    gone = {k for k, n in pages.items() if n > 1 and n > 0.1 * totals[k[0]]}
     want = []
     for d, h, t, _ in rows:
         lines = [] if t is None else t.split("\n")
@@ -33,6 +33,29 @@ def test_lines_match_brute_force(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_lines_of_small_sites_and_long_pages(spark, monkeypatch):
+    """Sites of a few pages go by the ratio alone; a line of one page stays; a page of many boilerplate lines is looked up by slot."""
+    rows = [(1, "one", "menu\nmenu\ntext"), (2, "two", "menu\na"), (3, "two", "menu\nb"), (4, "three", "menu\nc"), (5, "three", "d"),
+            (6, "three", "e"), (7, None, "menu"), (8, None, "menu\nf"), (9, "two", None), (10, "three", "")]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    want = {1: ("menu\nmenu\ntext", 0), 2: ("a", 1), 3: ("b", 1), 4: ("menu\nc", 0), 7: ("", 1), 8: ("f", 1), 9: (None, 0), 10: ("", 0)}
+    common = [f"line {i}" for i in range(3000)]
+    long = spark.createDataFrame([(i, "h", "\n".join([*common, f"own {i}"])) for i in range(40)], "doc_id long, host string, text string")
+    for most in (500_000, 1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.drop_boilerplate(df).collect()}
+        assert {k: got[k] for k in want} == want
+        got = line_dedup.drop_boilerplate(long).collect()
+        assert {(r["text"], r["n_lines"], r["n_dropped"]) for r in got} == {(f"own {i}", 3001, 3000) for i in range(40)}
+
+
+def test_texts_stay_in_their_scan(spark, sf_small):
+    """No exchange of texts by source: the hosts' lists and posteriors are broadcast."""
+    for query in (queries.op5_line_dedup, queries.op7_quality):
+        plan = query(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search("SortMergeJoin|ShuffledHashJoin", plan)
+
+
 def test_lines_compare_without_any_white_space(spark):
     assert set(line_dedup.WHITE) == {c for c in map(chr, range(0x110000)) if c.isspace()}
     rows = [(i, "a", f"page {i}\r\n\t\r\n\r\n" + ("menu" if i < 4 else "\tmenu\u00a0\r\nend")) for i in range(8)]
