@@ -1,7 +1,9 @@
 """WARC, packing, toxicity and quality against brute force, round trips and held-out labels."""
 
 import hashlib
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -162,6 +164,73 @@ def test_toxicity_on_held_out_rows(spark):
     assert r["ok"] / r["n"] >= 0.97 and r["hit"] / r["t"] >= 0.8
 
 
+def plain_lexicon(rows):
+    """Terms with weights, and exception phrases, of (text, toxic) rows, worked out term by term."""
+    n_toxic = sum(t for _, t in rows)
+    n_clean = len(rows) - n_toxic
+    texts = [(toxicity.fold(x).split(), t) for x, t in rows]
+
+    def weight(having):
+        bad = sum(t for h, (_, t) in zip(having, texts) if h)
+        return bad, sum(having), math.log((bad + 0.5) / (n_toxic + 1)) - math.log((sum(having) - bad + 0.5) / (n_clean + 1))
+
+    every = {w for words, _ in texts for w in words}
+    terms = {}
+    for w in every:
+        bad, _, x = weight([w in words for words, _ in texts])
+        if bad >= 4 and x >= 3.0:
+            terms[w + " "] = x
+    for p in {w[:k] for w in every for k in (4, 5, 6) if len(w) > k}:
+        bad, _, x = weight([any(w.startswith(p) and len(w) > len(p) for w in words) for words, _ in texts])
+        several = {w for words, t in texts if t for w in words if w.startswith(p) and len(w) > len(p)}
+        if bad >= 4 and x >= 3.0 and len(several) > 1:
+            terms[p] = x
+    holds = lambda w: any((w + " ").startswith(t) for t in terms)
+    phrases = lambda words: {" ".join(words[a:b]) for i, w in enumerate(words) if holds(w)
+                             for a, b in ((i, i + 1), (i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words)}
+    found = [phrases(words) for words, _ in texts]
+    benign = set()
+    for p in set().union(*found):
+        _, n, x = weight([p in f for f in found])
+        if n >= 3 and x <= 0:
+            benign.add(p)
+    return terms, benign
+
+
+def test_lexicon_matches_brute_force(spark):
+    """More than 2,000 terms, words that only begin like one, and pairs in which a term is harmless."""
+    rnd = random.Random(14)
+    bad = [f"vile{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}" for i in range(2300)] + ["skunk"]
+    rows = []
+    for i in range(900):
+        toxic = int(i % 3 == 0)
+        words = rnd.choices(["day", "sun", "walk", "skunkworks", "vilely"], k=12) if not toxic else rnd.choices(["day", "sun", "walk"], k=6)
+        if toxic:
+            words += rnd.sample(bad, 45) + ["skunk"]
+        elif i % 5 == 0:
+            words += ["striped", "skunk"]
+        rnd.shuffle(words) if toxic else None
+        rows.append((" ".join(words), toxic))
+    held = spark.createDataFrame([(i,) for i in range(3000)], "doc_id long").where(toxicity.held_out(F.col("doc_id"))).collect()
+    skipped = {r["doc_id"] for r in held}
+    ids = [i for i in range(3000) if i not in skipped][:900]
+    docs = spark.createDataFrame([(d, t) for d, (t, _) in zip(ids, rows)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, y) for d, (_, y) in zip(ids, rows)], "doc_id long, toxic int")
+    got = toxicity.learn_lexicon(docs, labels)
+    terms, benign = plain_lexicon(rows)
+    assert len(terms) > 2000 and got.terms.keys() == terms.keys() and set(got.exceptions) == benign
+    assert all(abs(got.terms[k] - terms[k]) < 1e-9 for k in terms)
+    scored = toxicity.score_toxicity(docs, got).join(labels, "doc_id")
+    assert scored.where("predicted != toxic").count() < 20
+
+
+def test_a_very_long_toxic_text():
+    lexicon = toxicity.Lexicon({"scum ": 4.0}, ["nice scum"], 1.0)
+    began = time.time()
+    found = toxicity.Scorer(lexicon).found("scum nice scum " * 333_333)
+    assert found == (4.0 * 333_333, 999_999) and time.time() - began < 20
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(i, "you idiot here" if i % 3 == 0 else "a nice day", 1) for i in range(90)] + [(None, None, 1), (91, "", 1)],
                                  "doc_id long, text string, score int")
