@@ -79,7 +79,7 @@ def recovery_by_type(lines: DataFrame, costs: DataFrame, default_pre: float | No
 
     ``costs`` (month, channel, rate) says what a unit recovered through a
     channel (``PRE``, ``POST``) cost in a month; rows for one month and channel
-    add up. A month without a rate takes the default; without one its cost, and
+    add up. Costs are exact decimals (rates of six digits). A month without a rate takes the default; without one its cost, and
     that of every total it is part of, is NULL. ``level`` tells the rows apart
     (GROUPING_ID: 0 month and type, 1 month, 2 type, 3 total). NULL months and
     types are groups of their own, shown as NULL.
@@ -94,12 +94,13 @@ def recovery_by_type(lines: DataFrame, costs: DataFrame, default_pre: float | No
         F.sum(F.when(ch == "POST", amt).otherwise(F.lit(0))).alias("_recovered"),
         F.count(F.lit(1)).alias("_errors"),
     )
-    rate = lambda c: F.sum(F.when(F.col("channel") == c, F.col("rate").cast("double")))
+    rate = lambda c: F.sum(F.when(F.col("channel") == c, F.col("rate"))).cast("decimal(8,6)")
+    cost = lambda of, at, default: F.col(of).cast("decimal(28,4)") * F.coalesce(at, F.lit(default).cast("decimal(8,6)"))
     rates = costs.groupBy(F.col("month").alias("_cm")).agg(rate("PRE").alias("_pre_rate"), rate("POST").alias("_post_rate"))
     priced = (
         cells.join(rates, F.col("month").eqNullSafe(F.col("_cm")), "left")
-        .withColumn("_pre", F.col("_avoided").cast("double") * F.coalesce("_pre_rate", F.lit(default_pre).cast("double")))
-        .withColumn("_post", F.col("_recovered").cast("double") * F.coalesce("_post_rate", F.lit(default_post).cast("double")))
+        .withColumn("_pre", cost("_avoided", "_pre_rate", default_pre))
+        .withColumn("_post", cost("_recovered", "_post_rate", default_post))
     )
     whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
     cube = priced.cube("month", "error_type").agg(

@@ -341,10 +341,8 @@ def pivot_error_month_found(spark, sf_dir):
 
 
 def recovery_by_type(spark, sf_dir):
-    """R15 as a cube of month × error type, with channel costs from a table
-    (doubles rounded, so that the order of a sum doesn't show)."""
-    cube = RC.recovery_by_type(A.recovery_lines(spark, sf_dir), A.recovery_costs(spark, sf_dir))
-    return cube.withColumns({c: round_half_up(F.col(c), d) for c, d in (("pre_cost", 4), ("post_cost", 4), ("cost_multiple", 9))})
+    """R15 as a cube of month × error type, with channel costs from a table."""
+    return RC.recovery_by_type(A.recovery_lines(spark, sf_dir), A.recovery_costs(spark, sf_dir))
 
 
 def recovery_catch_by_type(spark, sf_dir):
@@ -478,10 +476,9 @@ def metric_flag_events(spark, sf_dir):
 
 
 QUERIES["metric_flag_events"] = _q(metric_flag_events)
-ORACLE_SQL["metric_flag_events"] = """
+ORACLE_SQL["metric_flag_events"] = f"""
 SELECT event_id, event_type, ts, value
-FROM (SELECT *, CASE WHEN COUNT(value) OVER w >= 6 THEN AVG(value) OVER w END AS baseline,
-                CASE WHEN COUNT(value) OVER w >= 6 THEN STDDEV_SAMP(value) OVER w END AS spread
+FROM (SELECT *, {_O.baseline_sql("value")}
       FROM events
       WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) b
 WHERE """ + _O._flag_pred("value", "baseline", "spread")

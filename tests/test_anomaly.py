@@ -30,27 +30,23 @@ def series_df(spark, data):
 
 
 def pandas_detector(pdf):
-    """Rolling baseline per account in pandas (rows in month order)."""
-    pdf = pdf.sort_values(["account", "month"]).reset_index(drop=True)
-    parts = []
-    for _, g in pdf.groupby("account", sort=False):
-        g = g.copy()
-        r = g["revenue"].rolling(6, min_periods=5)
-        g["rolling_mean"] = r.mean().shift(1)
-        std = r.std().shift(1)
-        g["rolling_std"] = std.clip(lower=g["rolling_mean"] * 0.03)
-        z = (g["revenue"] - g["rolling_mean"]) / g["rolling_std"]
-        g["z_score"] = z.replace([np.inf, -np.inf], np.nan)
-        g["erosion_pct"] = g["revenue"] / g["revenue"].shift(6) - 1
-        point = g["z_score"].abs() >= 2.5
-        ero = g["erosion_pct"] <= -0.30
-        g["anomaly_type"] = np.where(point & (g["z_score"] > 0), "SPIKE",
-                                     np.where(point & (g["z_score"] < 0), "DROP",
-                                              np.where(ero, "EROSION", "NORMAL")))
-        g["severity_score"] = np.where(g["anomaly_type"] == "EROSION", g["erosion_pct"].abs() * 100,
-                                       g["z_score"].abs().fillna(0))
-        parts.append(g)
-    return pd.concat(parts)
+    """The detector by its formulas, value by value over each account's months."""
+    out = pdf.sort_values(["account", "month"]).reset_index(drop=True)
+    found = []
+    for _, values in out.groupby("account", sort=False)["revenue"]:
+        values = values.to_numpy(float)
+        for i, x in enumerate(values):
+            past = values[max(0, i - 6):i]
+            past = past[np.isfinite(past)]
+            mean = past.mean() if len(past) >= 5 else np.nan
+            spread = max(past.std(ddof=1), 0.03 * mean) if len(past) >= 5 else np.nan
+            z = (x - mean) / spread if spread else np.nan
+            change = x / values[i - 6] - 1 if i >= 6 else np.nan
+            kind = ("SPIKE" if z > 0 else "DROP") if abs(z) >= 2.5 else "EROSION" if change <= -0.30 else "NORMAL"
+            severity = abs(change) * 100 if kind == "EROSION" else 0.0 if np.isnan(z) else abs(z)
+            found.append((mean, spread, z, change, kind, severity))
+    columns = ["rolling_mean", "rolling_std", "z_score", "erosion_pct", "anomaly_type", "severity_score"]
+    return out.join(pd.DataFrame(found, columns=columns))
 
 
 def test_matches_pandas_on_gappy_customer_series(spark, sf_small):
