@@ -12,11 +12,15 @@ path without labels has the prior above it.
 
 All counts are grouped aggregates of whole tables, pre-aggregated map-side. The
 driver receives the bins' counts and a few sums, whose number is fixed. Posteriors
-per host and path stay distributed and are joined to the documents.
+per host and path are broadcast to the documents' scan where a bounded count
+proves them few, so texts aren't shuffled; beyond, they are joined.
 
 Defined results: NULL text counts as empty, NULL hosts and sections as groups of
 their own; labels with NULL id or label are left out, and repeated labels count
-each. Without labels every document has the global share 1/2.
+each. Without labels every document has the global share 1/2. Repeated rows are
+scored each; a score of exactly the threshold is kept. Features take one pass
+over a text, however long. An empty table gives no rows. ``keep_good`` keeps all
+columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import bounded_count
+
 from .common import fresh_name, let, materialize, text_or_empty
 
 #: Upper cuts of the bins of each feature.
@@ -39,6 +45,8 @@ CUTS = {
 }
 #: Documents with at least this probability of being good are kept.
 THRESHOLD = 0.5
+#: Posteriors of at most so many paths (and hosts) are broadcast.
+BROADCAST_PATHS = 500_000
 _STRENGTH = (1.0, 1e6)
 _MADE = ("host_posterior", "path_posterior", "evidence", "score", "kept")
 
@@ -136,15 +144,18 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     likelihood ratio), ``score`` (probability of being good) and ``kept``.
     Columns of these names are replaced."""
     model, paths = fit(docs, labels, doc_id, text, host, section, label)
+    paths = materialize(paths)
+    few = bounded_count(paths, BROADCAST_PATHS) <= BROADCAST_PATHS
+    small = F.broadcast if few else lambda side: side
     hosts = paths.groupBy("host").agg(F.first("host_posterior").alias("host_posterior"))
     rest = docs.drop(*[c for c in docs.columns if c.lower() in _MADE])
     h, hp, ph, ps, pp = (fresh_name(rest, x) for x in ("_h", "_hp", "_ph", "_ps", "_pp"))
     bins = _bins(text_or_empty(text))
     evidence = reduce(lambda a, b: a + b, [
         F.get(F.array(*[F.lit(v) for v in model.evidence[name]]), bins[name]) for name in CUTS])
-    out = (rest.join(paths.select(F.col("host").alias(ph), F.col("section").alias(ps), F.col("path_posterior").alias(pp)),
+    out = (rest.join(small(paths.select(F.col("host").alias(ph), F.col("section").alias(ps), F.col("path_posterior").alias(pp))),
                      F.col(host).eqNullSafe(F.col(ph)) & F.col(section).eqNullSafe(F.col(ps)), "left")
-           .join(hosts.select(F.col("host").alias(h), F.col("host_posterior").alias(hp)), F.col(host).eqNullSafe(F.col(h)), "left")
+           .join(small(hosts.select(F.col("host").alias(h), F.col("host_posterior").alias(hp))), F.col(host).eqNullSafe(F.col(h)), "left")
            .withColumn("host_posterior", F.coalesce(F.col(hp), F.lit(model.share)))
            .withColumn("path_posterior", F.coalesce(F.col(pp), F.col("host_posterior")))
            .drop(h, hp, ph, ps, pp)
