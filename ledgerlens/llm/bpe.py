@@ -12,7 +12,8 @@ one block of texts, the index of that block and a memo of bounded size.
 
 Defined results: NULL and empty texts give no ids; ids outside the vocabulary
 and NULL ids decode to nothing; bytes that aren't UTF-8 decode to U+FFFD.
-Columns named like the output are replaced; all others pass through.
+Repeated rows are encoded each; pairs of equal rank merge from left to right; very
+long texts are a block of their own; an empty table gives no rows. Columns named like the output are replaced; all others pass through.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ lists the ones of the attempts that succeeded.
 
 Defined results: a document without tokens (NULL or empty) is placed nowhere
 and listed with 0 segments. Equal lengths are placed in their order of input.
+Repeated rows are packed each. A very long document is split into as many rows as
+it takes, in one block. An empty table writes nothing and gives no rows. Only the
+id and the source column are read, so other columns' names don't clash.
 """
 
 from __future__ import annotations
@@ -179,12 +182,13 @@ def read_packed(folder: str, path: str) -> dict[str, np.ndarray]:
 
 def verify_packed(segments: DataFrame, folder: str) -> DataFrame:
     """``segments`` read back: the file's own ids hashed again, and whether the
-    cumulative lengths and the resets agree, as ``verified``.
+    cumulative lengths and the resets agree, as ``verified``; ``file_sha256`` is
+    that of the file's id matrix, the same whatever name the file was given.
 
     Files are of bounded size and read by one task each; their segments come
     together by path.
     """
-    schema = segments.schema.add("verified", "boolean")
+    schema = segments.schema.add("verified", "boolean").add("file_sha256", "string")
 
     def check(pdf):
         path = pdf["path"].iloc[0]
@@ -199,8 +203,9 @@ def verify_packed(segments: DataFrame, folder: str) -> DataFrame:
             ok.append(bool(ends[at] == start and ends[at + 1] == start + n and found["resets"][row, start]
                            and not found["resets"][row, start + 1:start + n].any()
                            and hashlib.sha256(ids.tobytes()).hexdigest() == sha))
-        pdf["verified"] = ok
+        pdf["verified"], pdf["file_sha256"] = ok, hashlib.sha256(found["matrix"].astype("<u4").tobytes()).hexdigest()
         return pdf
 
     placed = segments.where("path IS NOT NULL").groupBy("path").applyInPandas(check, schema)
-    return placed.unionByName(segments.where("path IS NULL").withColumn("verified", F.lit(True)))
+    return placed.unionByName(segments.where("path IS NULL").withColumn("verified", F.lit(True))
+                            .withColumn("file_sha256", F.lit(None).cast("string")))

@@ -45,7 +45,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text of ``documents`` packed into rows of 2,048 and
-    written; where each segment lies, verified against the files."""
+    written; where each segment lies (the file by the digest of its matrix, the
+    row in it, the start), verified against the files."""
     folder = shared_folder(spark, "packed")
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}

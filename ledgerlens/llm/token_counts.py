@@ -7,8 +7,9 @@ among the proven strings as one token without merging; only the rest is merged
 a map: no rows move between tasks, and a text is read whole.
 
 Defined results: NULL counts as the empty text, with 0 bytes and 0 tokens;
-special strings inside a text count as one token each. Columns named like the
-output are replaced; all others pass through.
+special strings inside a text count as one token each. Repeated rows are counted
+each; very long texts are a block of their own; an empty table gives no rows.
+Columns named like the output are replaced; all others pass through.
 """
 
 from __future__ import annotations

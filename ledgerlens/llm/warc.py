@@ -14,7 +14,9 @@ and then one record at a time. Reading is a map over the manifest.
 Defined results: NULL html is an empty payload, NULL urls leave the target out.
 Payloads below ``MIN_REVISIT_BYTES`` are always responses. Rows that repeat the
 least page id of a payload are responses each; a NULL page id is never the
-least, and revisits one if the payload has any.
+least, and revisits one if the payload has any. Very long payloads are records
+like others; an empty table writes no archive and gives no rows. Only the id, url
+and html are read, other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

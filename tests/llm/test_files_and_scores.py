@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -132,7 +133,7 @@ def test_packing_query(spark, sf_small):
     for r in rows:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
     assert total == counts
-    full = sum(counts.values()) / (2048 * len({(r["row"]) for r in rows if r["row"] is not None}))
+    full = sum(counts.values()) / (2048 * len({(r["file_sha256"], r["row"]) for r in rows if r["row"] is not None}))
     assert full > 0.9
 
 
@@ -265,6 +266,44 @@ def test_quality_follows_formulas(spark, sf_small):
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-odds))) and r["kept"] == (r["score"] >= 0.5)
 
 
+def plain_bins(text):
+    """Bin numbers of a text's features, counted character by character."""
+    text = text or ""
+    n = max(1, len(text))
+    words = [w for w in text.split(" ") if w]
+    plain = lambda c: c.isalpha() or unicodedata.category(c)[0] == "N" or c in " \t\n\x0b\f\r.,;:'()-"
+    shares = {"symbols": sum(not plain(c) for c in text) / n, "capitals": sum(unicodedata.category(c) == "Lu" for c in text) / n,
+              "repeats": sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)), "word_length": n / max(1, len(words))}
+    return {f: sum(shares[f] > c for c in quality.CUTS[f]) for f in quality.CUTS}
+
+
+def test_quality_evidence_matches_brute_force(spark, sf_small):
+    """Features, bin counts and evidence, and the sums over them, from the rows themselves."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "source", "lang")
+    odd = [(-1, None, "h", "x"), (-2, "", "h", "x"), (-3, "a " * 100_000, "h", None), (-4, "É! É! É! ###", None, "x"), (-4, "É! É! É! ###", None, "x")]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet").select("doc_id", "quality").union(
+        spark.createDataFrame([(-1, 0), (-3, 0), (-4, 1), (-4, 1)], "doc_id long, quality int"))
+    given = {}
+    for r in labels.collect():
+        given.setdefault(r["doc_id"], []).append(r["quality"])
+    rows = [(r["doc_id"], plain_bins(r["text"])) for r in docs.collect()]
+    train = [(bins, y) for d, bins in rows for y in given.get(d, [])]
+    good = sum(y for _, y in train)
+    evidence = {}
+    for f, cuts in quality.CUTS.items():
+        for b in range(len(cuts) + 1):
+            held = [y for bins, y in train if bins[f] == b]
+            evidence[f, b] = (math.log((sum(held) + 1) / (good + len(cuts) + 1))
+                              - math.log((len(held) - sum(held) + 1) / (len(train) - good + len(cuts) + 1)))
+    model, _ = quality.fit(docs, labels)
+    for f, values in model.evidence.items():
+        assert values == pytest.approx([evidence[f, b] for b in range(len(values))])
+    want = sorted((d, sum(evidence[f, b] for f, b in bins.items())) for d, bins in rows)
+    got = sorted((r["doc_id"], r["evidence"]) for r in quality.score(docs, labels).collect())
+    assert [d for d, _ in got] == [d for d, _ in want] and [e for _, e in got] == pytest.approx([e for _, e in want])
+
+
 def test_strength_by_moments():
     assert quality._strength(0.25, 0.0, 10, 100) == 1e6  # no spread: the prior rules
     assert quality._strength(0.25, 0.25, 2, 10**6) == pytest.approx(1.0)  # all spread: labels rule

@@ -41,7 +41,8 @@ def test_pipeline_matches_its_parts(spark, sf_small):
 def test_stages_keep_columns_and_take_odd_rows(spark, sf_small):
     rows = [(None, None, None, None, None, "e"), (1, "", "en", "s", 0, "e"), (1, "", "en", "s", 0, "e"), (2, "A text here.", "en", "s", 12, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
-    for frame in (docs, docs.limit(0)):
+    long = docs.union(spark.createDataFrame([(3, "many words in one long text " * 40_000, "en", "s", 1, "e")], docs.schema))
+    for frame in (docs, docs.limit(0), long):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame, sf_small)
             assert out.columns == docs.columns and out.count() <= frame.count()
