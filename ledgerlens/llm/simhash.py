@@ -150,9 +150,10 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, home_block: int = HOME_
     ``max_bits`` (at most 3) of one another, as far as paths go."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two bands with a threshold of one bit each cover at most 3 differing bits")
-    # Each fingerprint makes up to 32 copies, so few small partitions of them would be few long tasks.
+    # Each fingerprint makes up to 32 copies, so few small partitions of them would be few long tasks. (By a
+    # hash, as they come partitioned by themselves, which Spark would take for the same and coalesce.)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = anchor_copies(fps.repartition(parts, "fp"))
+    copies = anchor_copies(fps.repartition(parts, F.xxhash64("fp")))
     homes = F.sum(F.col("home").cast("int"))
     crowded = (copies.groupBy("anchor").agg(homes.alias("homes"), F.count(F.lit(1)).alias("n"))
                .where((F.col("homes") > home_block) | (F.col("n") > copy_block))
