@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from typing import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.session import ensure_checkpoint_dir, materialize
+from ledgerlens.session import materialize, scratch_folder
 
 __all__ = ["append_columns", "fresh_name", "keep_winners", "let", "materialize", "once_per_worker", "read_table",
            "shared_folder", "text_or_empty", "utf8"]
@@ -48,8 +47,9 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder name under the cluster's shared checkpoint folder; the
+    folder is removed when the driver ends."""
+    return scratch_folder(spark, kind)
 
 
 def append_columns(df: DataFrame, source: str, fields: T.StructType, start: Callable[[], Callable],
