@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import demurrage, shortpay_reason, tolerance_class
-from ..session import broadcast_if_bounded
+from ..session import broadcast_lookup
 
 RATE_KEY = ("carrier", "lane", "container")
 # Lookup tables up to this many rows are broadcast (a few tens of MB).
@@ -35,16 +35,16 @@ def audit_lines(invoices: DataFrame, contract_rates: DataFrame, spot_quotes: Dat
     demurrage, approved amount, balance and pay status.
 
     Rate tables (one row per key after ``first_rate``) and rules are keyed
-    lookups. Each is broadcast only when a bounded count proves it has at most
-    ``LOOKUP_BROADCAST_ROWS`` rows; a larger one is left to AQE (runtime size
-    check, shuffle join beyond it).
+    lookups. Each is broadcast where its files are small or a bounded count
+    proves it has at most ``LOOKUP_BROADCAST_ROWS`` rows; a larger one is left to
+    AQE (runtime size check, shuffle join beyond it).
     """
-    contract = broadcast_if_bounded(first_rate(contract_rates, "contract_rate"), LOOKUP_BROADCAST_ROWS)
-    spot = broadcast_if_bounded(first_rate(spot_quotes, "spot_rate"), LOOKUP_BROADCAST_ROWS)
+    contract = broadcast_lookup(first_rate(contract_rates, "contract_rate"), LOOKUP_BROADCAST_ROWS)
+    spot = broadcast_lookup(first_rate(spot_quotes, "spot_rate"), LOOKUP_BROADCAST_ROWS)
     joined = (
         invoices.join(contract, list(RATE_KEY), "left")
         .join(spot, list(RATE_KEY), "left")
-        .join(broadcast_if_bounded(rules, LOOKUP_BROADCAST_ROWS), "account_id", "left")
+        .join(broadcast_lookup(rules, LOOKUP_BROADCAST_ROWS), "account_id", "left")
     )
     rate = F.coalesce(F.col("contract_rate"), F.col("spot_rate"))
     expected = (rate * F.col("qty")).cast("decimal(18,2)")

@@ -149,11 +149,10 @@ def append_new_patterns(existing: DataFrame, incoming: DataFrame, order_col: str
         F.coalesce(F.col("s.company"), F.lit(DEFAULT_COMPANY)).alias("company"),
         F.coalesce(F.col("s.category"), F.lit(DEFAULT_CATEGORY)).alias("category"),
     )
-    # One scalar (the current maximum ordinal) reaches the driver.
-    top = existing.agg(F.max("ordinal")).first()[0] or 0
-    appended = number_rows(fresh, ["_o", "name"], start=top + 1, out="_seq").select(
-        F.col("_seq").cast("int").alias("ordinal"), "name", "company", "category")
-    return existing.select("ordinal", "name", "company", "category").unionByName(appended)
+    top = F.coalesce(existing.agg(F.max("ordinal")).scalar(), F.lit(0))
+    appended = number_rows(fresh, ["_o", "name"], out="_seq").select(
+        (F.col("_seq") + top).alias("ordinal"), "name", "company", "category")
+    return existing.select(F.col("ordinal").cast("long").alias("ordinal"), "name", "company", "category").unionByName(appended)
 
 
 def category_stats(df: DataFrame, category_col: str = "category") -> DataFrame:

@@ -7,7 +7,6 @@ decimals → DOUBLE, small integers → BIGINT.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from .plans import billing as B
 from .plans import freight as FR
 from .plans import recovery as RC
 from .plans import tagging as G
-from .session import ensure_checkpoint_dir
+from .session import scratch_folder
 from .sources import adapters as A
 from .sources import files as IO
 from .sources.patterns import default_patterns
@@ -321,7 +320,7 @@ def freight_dashboard(spark, sf_dir):
 
 def lookup_rate_composite(spark, sf_dir):
     """Composite-key rate lookup (contract, else spot, else none)."""
-    return _audit_lines(spark, sf_dir).select("invoice_id", "line_no", "carrier", "lane", "mode", "rate",
+    return _audit_lines(spark, sf_dir).select("invoice_id", "line_no", "carrier", "lane", "mode", "container", "rate",
                                               "rate_source", "expected")
 
 
@@ -384,7 +383,7 @@ def scan_monthly_revenue(spark, sf_dir):
     """IO2: the per-nation monthly revenue series as a CSV export (header,
     ISO months) in the shared folder, read back with the explicit schema and
     the month parsed to a date."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/monthly_revenue-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "monthly_revenue")
     series = A.monthly_revenue_by_nation(spark, sf_dir)
     series.select("account", F.date_format("month", "yyyy-MM-dd").alias("month"), "revenue") \
         .write.mode("overwrite").option("header", True).csv(path)
@@ -395,7 +394,7 @@ def sink_report_csv(spark, sf_dir):
     """IO3: the ranked anomaly report written as CSV to the shared folder
     and read back with its schema."""
     report = N.anomaly_report(_nation_enriched(spark, sf_dir))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports/anomaly_report-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "anomaly_report")
     IO.write_report_csv(report, path)
     return IO.read_report_csv(spark, path, report.schema)
 
@@ -450,7 +449,7 @@ def monitor_new_findings(spark, sf_dir):
     """The monitor as two scheduled streaming runs: month files before
     2001-06 arrive first, the rest later; each run publishes only new
     findings, so together they publish the whole report."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "monitor")
     src, out = f"{base}/source", f"{base}/out"
     series = A.monthly_revenue_by_nation(spark, sf_dir)
     cut = F.lit("2001-06-01").cast("date")

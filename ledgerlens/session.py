@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder under the shared checkpoint folder, for files
+    that are read back in this session; it is removed when the driver ends."""
+    parent = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{parent}/{kind}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared checkpoint folder.
 
@@ -81,6 +93,18 @@ def bounded_count(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
+# File bytes up to which a lookup table read from files counts as small.
+SMALL_FILE_BYTES = 4 << 20
+
+
+def broadcast_lookup(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast_if_bounded`` for filters and aggregates of a lookup table:
+    where the files it is read from are small, which Spark knows from their
+    listing, no count is run. (Not for frames that make rows of a row.)"""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= SMALL_FILE_BYTES else broadcast_if_bounded(df, max_rows)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only when the row count is proven to be at most
     ``max_rows``; otherwise return ``df`` unchanged and let AQE choose the join

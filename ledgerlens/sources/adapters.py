@@ -13,10 +13,10 @@ import datetime as dt
 from functools import cached_property
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
 from .schemas import MONEY
 from .tables import read_table, session_plan
 
@@ -343,9 +343,8 @@ def spot_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class Freight:
     """Freight lines, rate tables and tolerance rules of one source, each
-    built once on first use; the rate tables share one basis over the same
-    lines DataFrame, so the plan holds one line-item ⋈ part subtree that
-    Spark can reuse."""
+    built once on first use; the rate tables share one basis, a small table
+    written when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
@@ -356,10 +355,12 @@ class Freight:
 
     @cached_property
     def basis(self) -> DataFrame:
-        # One row per rate key (a few hundred here; bounded by the rate
-        # table's keys in general). Persisted so both rate tables read it once
-        # and the planner sees its real size when it chooses the join.
-        return rate_basis(self.invoices).persist(StorageLevel.MEMORY_AND_DISK)
+        # One row per rate key. Written as the table that both rate tables
+        # read, so the lines are scanned for it once and Spark knows its size.
+        path = scratch_folder(self._spark, "rate_basis")
+        basis = rate_basis(self.invoices)
+        basis.coalesce(1).write.parquet(path)
+        return self._spark.read.schema(basis.schema).parquet(path)
 
     @cached_property
     def contract_rates(self) -> DataFrame:

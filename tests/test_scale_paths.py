@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.sequence import numbered_within
 from ledgerlens.operators.skew import hot_keys, salted_left_join
+from ledgerlens import session
 from ledgerlens.plans import anomaly as N
 from ledgerlens.plans import billing as B
+from ledgerlens.plans import freight as FR
 from ledgerlens.plans import recovery as RC
 from ledgerlens.registry import QUERIES
+from ledgerlens.session import scratch_folder
+from ledgerlens.sources import adapters as A
 from ledgerlens.sources import files as IO
 from ledgerlens.sources import schemas as SC
 
@@ -238,3 +242,49 @@ def test_scan_reads_every_column(spark, sf_small):
     plan = plan_of(QUERIES["scan_billing"](spark, sf_small))
     read = set(re.findall(r"\b([ocln]_\w+)", " ".join(re.findall(r"FileScan parquet \[([^\]]*)\]", plan))))
     assert {"o_totalprice", "o_orderstatus", "o_orderpriority", "c_acctbal", "c_mktsegment", "l_extendedprice", "l_linestatus"} <= read
+
+
+# ---------------------------------------------------------------- folders, jobs, order
+
+def test_scratch_folders_are_new_and_shared(spark):
+    a, b = (scratch_folder(spark, "x") for _ in range(2))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert a != b and a.startswith(shared) and a.endswith("/x")
+    spark.range(3).write.parquet(a)
+    assert spark.read.parquet(a).count() == 3
+    hooks = spark._jvm.org.apache.hadoop.fs.Path(a).getParent()
+    assert hooks.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(hooks)
+
+
+def test_small_lookup_files_need_no_count(spark, sf_small, monkeypatch):
+    """The rate tables are one small file, so no job counts them while the plan is built."""
+    f = A.Freight(spark, sf_small)
+    f.basis
+    counted = []
+    monkeypatch.setattr(session, "bounded_count", lambda df, limit: counted.append(limit) or 1)
+    plan = plan_of(FR.audit_lines(f.invoices, f.contract_rates, f.spot_quotes, f.rules))
+    assert not counted and plan.count("BroadcastHashJoin [carrier") == 2
+    assert plan.count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name, order", [
+    ("aging_receivables", lambda r: (-r["total_outstanding"], r["account_name"], r["tier"], r["region"], r["csm_owner"])),
+    ("payment_shortfall", lambda r: (-r["net_balance_due"], r["invoice_id"])),
+    ("leakage_summary", lambda r: (-r["amount_at_risk"], r["leakage_type"])),
+    ("monthly_exceptions", lambda r: (-r["net_balance"], r["invoice_id"])),
+])
+def test_reports_come_in_order(spark, sf_small, name, order):
+    rows = QUERIES[name](spark, sf_small).collect()
+    assert rows == sorted(rows, key=order) and len(rows) > 1
+
+
+def test_variance_and_anomalies_come_in_order(spark, sf_small):
+    """R4 by the unrounded gap (no billing counts as 0 against the rate), R7 by the unrounded severity."""
+    rows = QUERIES["contract_variance"](spark, sf_small).collect()
+    gap = [abs((r["actual_arr_billed"] if r["actual_arr_billed"] is not None else r["contracted_arr"]) - r["contracted_arr"])
+           if r["actual_arr_billed"] is not None else None for r in rows]
+    known = [g for g in gap if g is not None]
+    assert known == sorted(known, reverse=True) and all(g is None for g in gap[len(known):]) and len(rows) > 20
+    report = QUERIES["anomaly_report"](spark, sf_small).collect()
+    severity = [r["severity_score"] for r in report]
+    assert severity == sorted(severity, reverse=True) and len(report) > 15
