@@ -14,7 +14,7 @@ Columns named like the output are replaced; all others pass through.
 
 from __future__ import annotations
 
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
