@@ -4,8 +4,8 @@ Each query runs once to warm up, then ``BENCH_REPEAT`` times (default 3);
 the median is reported. A run executes the whole plan into Spark's no-op
 sink, so nothing is gathered on the driver. Prints one JSON line.
 
-Also times a one-thread pandas run of the anomaly detector (R6) on the
-same per-customer series, as a single-node reference point.
+Also times a one-thread run of the anomaly detector's formulas (R6) on the
+same per-customer series, a group at a time, as a control of the machine.
 
 ``BENCH_PROFILE=1`` also writes Spark's event log to a fresh scratch folder
 and adds, per report, the stage count and shuffle bytes written of the last
@@ -123,7 +123,7 @@ def main() -> None:
             runs.append(time.perf_counter() - t0)
             sc.setJobDescription(None)
         timings[name] = round(statistics.median(runs), 3)
-    pandas_r6 = _one_thread_detector_seconds(spark, sf_dir)
+    control = _one_thread_detector_seconds(spark, sf_dir)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     spark.stop()
     extra = {}
@@ -138,7 +138,7 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "repeat": repeat,
-        "pandas_one_thread_r6_customer_sec": None if pandas_r6 is None else round(pandas_r6, 3),
+        "control_one_thread_r6_customer_sec": None if control is None else round(control, 3),
         **extra,
     }))
 

@@ -45,10 +45,6 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0))
 
 
-def as_double(c: Column) -> Column:
-    return c.cast("double")
-
-
 def share_exceeds(part: Column, whole: Column, cut: str) -> Column:
     """``part / whole > cut`` for decimals, by multiplying, so a share of just
     ``cut`` doesn't exceed it. NULL for a zero ``whole``."""
@@ -95,13 +91,11 @@ def lower_contains(text: Column, needle: str) -> Column:
     return F.contains(F.lower(text), F.lit(needle.lower()))
 
 
-def between_inclusive(c: Column, lo: int, hi: int) -> Column:
-    return c.between(lo, hi)
-
-
 # --------------------------------------------------------------------------
 # Billing labels
 # --------------------------------------------------------------------------
+# The labels and cuts of this and the next section (10,000 and
+# 5,000; 5 %; 90 days; 40 / 20 and 10 / 4) are the reports' own.
 
 def collection_priority(over_90: Column, over_60: Column) -> Column:
     """ESCALATE above 10 000 past 90 days; else PRIORITY FOLLOW-UP above 5 000
@@ -165,15 +159,24 @@ def priority_tier(score: Column, atype: Column) -> Column:
 # Freight labels (definitions are ours; the source describes them in prose)
 # --------------------------------------------------------------------------
 
-def tolerance_class(rate: Column, billed: Column, expected: Column, kind: Column, tolerance: Column) -> Column:
-    """RATE NOT ON FILE / WITHIN TOLERANCE / OVERCHARGE / UNDERBILL.
-    The allowance is a flat dollar amount or a share of the expected charge."""
-    diff = billed - expected
+def within_tolerance(billed: Column, expected: Column, kind: Column, tolerance: Column) -> Column:
+    """Whether a charge is off by at most the allowance, a flat dollar amount
+    or a share of the expected charge (a NULL allowance is not within)."""
     allowance = F.when(kind == "flat", tolerance).otherwise(expected * tolerance)
+    return F.coalesce(F.abs(billed - expected) <= allowance, F.lit(False))
+
+
+def is_overcharge(rate: Column, billed: Column, expected: Column, kind: Column, tolerance: Column) -> Column:
+    """A rate, a charge above it, and not within tolerance."""
+    return rate.isNotNull() & (billed > expected) & ~within_tolerance(billed, expected, kind, tolerance)
+
+
+def tolerance_class(rate: Column, billed: Column, expected: Column, kind: Column, tolerance: Column) -> Column:
+    """RATE NOT ON FILE / WITHIN TOLERANCE / OVERCHARGE / UNDERBILL."""
     return (
         F.when(rate.isNull(), "RATE NOT ON FILE")
-        .when(F.abs(diff) <= allowance, "WITHIN TOLERANCE")
-        .when(diff > 0, "OVERCHARGE")
+        .when(within_tolerance(billed, expected, kind, tolerance), "WITHIN TOLERANCE")
+        .when(is_overcharge(rate, billed, expected, kind, tolerance), "OVERCHARGE")
         .otherwise("UNDERBILL")
     )
 

@@ -342,6 +342,7 @@ def variance_ratio_exceeds(per_contract: DataFrame, threshold: str = "0.02") ->
 
 def leakage_vectors(invoices: DataFrame, payments: DataFrame, contracts: DataFrame, as_of: dt.date) -> DataFrame:
     """The four one-row leakage vectors (before share of total)."""
+    # The names and descriptions of the vectors are the report's own.
     amt = F.col("amount_due")
     aging = _vector(
         invoices.filter(status_open() & (as_of_col(as_of) > F.col("due_date"))),

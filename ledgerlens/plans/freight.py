@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import demurrage, shortpay_reason, tolerance_class
+from ..functions.scalars import demurrage, is_overcharge, shortpay_reason, tolerance_class
 from ..session import broadcast_lookup
 
 RATE_KEY = ("carrier", "lane", "container")
@@ -62,11 +62,7 @@ def audit_lines(invoices: DataFrame, contract_rates: DataFrame, spot_quotes: Dat
         F.coalesce(demurrage(F.col("arrived"), F.col("delivered"), F.col("free_days"), F.col("day_rate")),
                    F.lit(0)).cast("decimal(18,2)"),
     )
-    # OVERCHARGE without comparing label strings: a rate, a positive
-    # difference, and not within the allowance (a NULL allowance is not within).
-    diff = F.col("billed") - F.col("expected")
-    allowance = F.when(F.col("kind") == "flat", F.col("tolerance")).otherwise(F.col("expected") * F.col("tolerance"))
-    over = F.col("rate").isNotNull() & (diff > 0) & ~F.coalesce(F.abs(diff) <= allowance, F.lit(False))
+    over = is_overcharge(F.col("rate"), F.col("billed"), F.col("expected"), F.col("kind"), F.col("tolerance"))
     approved = F.when(over, F.col("expected")).otherwise(F.col("billed"))
     return (
         labelled.withColumn("approved", approved)

@@ -92,9 +92,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
     df = session_plan(spark, ("table", path), build)
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> None:
-    """Register the raw tables as temp views (for ad hoc SQL)."""
-    for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
