@@ -78,6 +78,15 @@ def test_indexed_list_stays_distributed(spark, texts, monkeypatch):
     assert G.tag_patterns(texts, names).count() == len(UA)
 
 
+def test_the_registered_index_query_has_a_long_list(spark, sf_small):
+    """Its list is beyond the CASE chain, so the query (held against its SQL) runs by the index."""
+    from ledgerlens.registry import QUERIES, benchmark_word_patterns
+
+    assert benchmark_word_patterns(spark, sf_small).count() > G.CASE_CHAIN_LIMIT
+    plan = QUERIES["pattern_tagging_index"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan and "CASE WHEN Contains" not in plan
+
+
 def test_append_new_patterns(spark):
     existing = PT.default_patterns(spark)
     incoming = spark.createDataFrame(
