@@ -397,9 +397,9 @@ def invoice_payment_rows(invoices: DataFrame, payments: DataFrame, hot_rows: int
     by a sketch when the plan is built) is spread over salts, so it doesn't
     land in one task; see ``operators/skew.py``.
     """
-    pay = payments.select("invoice_id", "amount_paid")
+    pay = payments.select("payment_id", "invoice_id", "amount_paid")
     inv = invoices.select("invoice_id", "account_id", "amount_due")
-    return salted_left_join(inv, pay, "invoice_id", hot_keys(pay, "invoice_id", hot_rows))
+    return salted_left_join(inv, pay, "invoice_id", hot_keys(pay, "invoice_id", hot_rows), ["payment_id"])
 
 
 def monthly_exceptions(invoices: DataFrame, payments: DataFrame, accounts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

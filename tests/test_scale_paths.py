@@ -35,16 +35,17 @@ def test_salted_join_equals_the_plain_one(spark):
     left = spark.createDataFrame([(k, f"l{i}") for i, k in enumerate([1, 1, 2, 3, None, 5, 7])], "k long, name string")
     # A third of all rows, and alike, belong to one key.
     rows = [(1, 10)] * 400 + [(rnd.choice([2, 2, 3, 4, None]), rnd.randrange(9)) for _ in range(800)] + [(5, 1)]
-    right = spark.createDataFrame(rows, "k long, amount long").repartition(5)
-    want = sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+    right = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, k long, amount long").repartition(5)
+    want = sorted(map(tuple, left.join(right.drop("id"), "k", "left").collect()), key=str)
     hot = hot_keys(right, "k", hot_rows=50)
     assert hot.keys() == {1, 2, 3, 4} and hot[1] == 9
-    salted = salted_left_join(left, right, "k", hot)
+    salted = salted_left_join(left, right, "k", hot, ["id"])
     assert salted.columns == ["k", "name", "amount"]
     assert sorted(map(tuple, salted.collect()), key=str) == want
-    # The hot key's rows are dealt evenly over its salts.
-    salts = [r["n"] for r in right.filter("k = 1").groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(9))).agg(F.count("*").alias("n")).collect()]
-    assert len(salts) == 9 and max(salts) < 60
+    assert sorted(map(tuple, salted_left_join(left, right, "k", {}, ["id"]).collect()), key=str) == want
+    # The hot key's rows are dealt about evenly over its salts.
+    salts = [r["n"] for r in right.filter("k = 1").groupBy(F.pmod(F.xxhash64("id"), F.lit(9))).agg(F.count("*").alias("n")).collect()]
+    assert len(salts) == 9 and max(salts) < 80
     assert hot_keys(right.limit(0), "k") == {} and hot_keys(right, "k") == {}
 
 
