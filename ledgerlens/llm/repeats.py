@@ -191,12 +191,13 @@ def _count_block(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], window:
     groups = _bounds(hashes[by_hash], checks[by_hash])
     decided = np.zeros(len(ids), bool)
     decided[by_hash] = ids[by_hash] > np.repeat(ids[by_hash[groups[:-1]]], np.diff(groups))
-    gone = np.flatnonzero(decided)
-    if len(gone):  # as rows of any one bucket, which passes them on
-        yield _packed(np.full(len(gone), int(hashes[0] % np.uint64(buckets))), ids[gone], keys[gone], start[gone])
+    # Both go to the window's bucket: whatever the order of rows, and so the blocks, of a task that runs
+    # again, what it has of one window comes from one run.
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    left = np.flatnonzero(~decided)
-    left = left[np.argsort(bucket[left], kind="stable")]
+    by_bucket = np.argsort(bucket, kind="stable")
+    gone, left = by_bucket[decided[by_bucket]], by_bucket[~decided[by_bucket]]
+    if len(gone):
+        yield _packed(bucket[gone], ids[gone], keys[gone], start[gone])
     yield _packed(bucket[left], ids[left], keys[left], start[left], hashes[left], checks[left])
 
 
