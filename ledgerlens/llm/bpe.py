@@ -32,6 +32,8 @@ from .common import append_columns, once_per_worker
 
 #: A worker keeps the ids of at most so many units, besides those of the current block.
 MEMO_UNITS = 150_000
+#: Bytes of text that are encoded and decoded at once; ids, decoded text and index of a block are held together.
+ROUND_TRIP_BLOCK = 2 << 20
 
 _GAP, _DEAD = -1, -2
 _SHIFT = 32
@@ -239,4 +241,4 @@ def round_trip(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "i
         return compute
 
     fields = T.StructType().add(ids, T.ArrayType(T.IntegerType())).add(decoded, T.StringType())
-    return append_columns(df, text, fields, start, keep_source=keep_text)
+    return append_columns(df, text, fields, start, block_bytes=ROUND_TRIP_BLOCK, keep_source=keep_text)
