@@ -10,6 +10,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import windows as W
 from ledgerlens.operators.sequence import numbered_within
 from ledgerlens.operators.skew import hot_keys, salted_left_join
 from ledgerlens import session
@@ -141,6 +142,26 @@ def test_one_exchange_of_all_rows(spark):
     assert moved.count(False) == 1
 
 
+def test_blocks_grow_with_a_long_series(spark):
+    """However long a series, its rows are placed among no more cuts than the shuffle has use for; the windows stay the plain ones."""
+    frame = spark.range(4000).select(F.lit("a").alias("k"), F.col("id").alias("o"), (F.col("id") % 17 % 5).cast("double").alias("v"))
+    most = W.BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in W.with_blocks(frame, ["k"], "o", 10).groupBy("_block").count().collect()]
+    assert len(sizes) == most < 4000 / 10 and max(sizes) < 2 * 4000 / most
+    plain = N.strict_baseline(frame, "v", ["k"], "o", 6, split_rows=0)
+    split = N.strict_baseline(frame, "v", ["k"], "o", 6, split_rows=10)
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_cuts_below_a_value(spark):
+    rnd = random.Random(7)
+    for n in (1, 2, 3, 7, 8, 30):
+        rows = [(sorted(rnd.choices(range(n), k=n)), x) for x in range(-1, n + 1)]
+        frame = spark.createDataFrame(rows, "cuts array<int>, lead int")
+        got = {r["lead"]: r["n"] for r in frame.select("lead", W._cuts_below(F.col("cuts"), F.col("lead"), n + 1).alias("n")).collect()}
+        assert got == {x: sum(c < x for c in cuts) for cuts, x in rows}
+
+
 def test_a_series_without_a_key_is_spread(spark, monkeypatch):
     monkeypatch.setattr(N, "KEYLESS_ROWS", 50)
     frame = spark.range(1000).select("id", (F.col("id") % 17).cast("double").alias("v"))
