@@ -7,7 +7,8 @@ with no match is ``(blocked = false, pattern = "")``.
 
 A short list becomes one CASE expression over the text. A longer one stays a
 DataFrame: it is indexed by one rare character gram of each pattern, joined to
-the grams of the texts, and only what is found there is searched for.
+the grams of the words of the texts (of whole texts for patterns with white
+space), and only what is found there is searched for.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import union_all
 from ..operators.sequence import number_rows
 from ..sources.patterns import DEFAULT_CATEGORY, DEFAULT_COMPANY, MISSING_CATEGORY
 
@@ -24,6 +26,10 @@ from ..sources.patterns import DEFAULT_CATEGORY, DEFAULT_COMPANY, MISSING_CATEGO
 CASE_CHAIN_LIMIT = 512
 # Characters of a gram; a shorter pattern is its own gram.
 GRAM = 4
+# What parts words; a pattern without it lies within one word.
+SPACE = r"\s+"
+# A longer word's grams are taken in one pass of a regular expression.
+LONG_WORD = 64
 # The gram index (one row for each pattern) is broadcast to the texts' grams
 # up to this many patterns; beyond it the grams are shuffled.
 INDEX_BROADCAST_LIMIT = 100_000
@@ -65,26 +71,67 @@ def gram_index(patterns: DataFrame) -> DataFrame:
             .select("rarest.gram", "entry"))
 
 
-def _indexed_match(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, widths: list[int],
+def _with_word_grams(words: DataFrame, widths: list[int]) -> DataFrame:
+    """Adds ``gram``, a row for each substring of ``widths`` characters of
+    ``word`` (and its shorter ends): cut at each place, in a long word, where
+    that would be quadratic, by the single pass of ``_grams``."""
+    word, at = F.col("word"), F.col("_at")
+    places = F.sequence(F.lit(1), F.greatest(F.length(word) - (min(widths) - 1), F.lit(1)))
+    cut = F.array(*[F.substring(word, at, F.lit(w)) for w in widths])
+    return (words.withColumn("_at", F.explode(F.when(F.length(word) <= LONG_WORD, places).otherwise(F.array(F.lit(0)))))
+            .withColumn("gram", F.explode(F.when(at > 0, cut).otherwise(F.concat(*[_grams(word, w) for w in widths])))).drop("_at"))
+
+
+def _found_in_words(keyed: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
+    """``(_id, _key, _ord)`` of the patterns without white space: each lies in a
+    word. Every distinct word of all texts is searched once, where one of its
+    grams leads to a pattern, and the words of a text are joined to what was
+    found in them."""
+    words = F.split(F.lower("_text"), SPACE)
+    hits = (_with_word_grams(keyed.select(F.explode(words).alias("word")).distinct(), widths).join(index, "gram")
+            .filter(F.contains(F.col("word"), F.col("entry.folded"))).groupBy("word").agg(F.min("entry.ordinal").alias("_ord")))
+    return keyed.select("_id", "_key", F.explode(F.array_distinct(words)).alias("word")).join(hits, "word").select("_id", "_key", "_ord")
+
+
+def _found_across_words(keyed: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
+    """``(_id, _key, _ord)`` of the patterns with white space, in two passes over
+    the texts: the first keeps, per text that shares a gram with any, the
+    patterns to look for (only id, key and gram leave the scan); the second
+    looks for them."""
+    low = F.lower("_text")
+    grams = F.array_distinct(F.concat(*[_grams(low, w) for w in widths]))
+    near = (keyed.select(F.col("_id").alias("_of"), F.col("_key").alias("_own"), F.explode(grams).alias("gram"))
+            .join(index, "gram").groupBy("_of", "_own").agg(F.collect_set(F.struct("entry.ordinal", "entry.folded")).alias("_near")))
+    joined = keyed.join(near, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_own")))
+    hits = F.transform(F.array(low), lambda t: F.filter("_near", lambda e: F.contains(t, e["folded"])))
+    return joined.select("_id", "_key", F.explode(F.get(hits, F.lit(0))).alias("hit")).select("_id", "_key", F.col("hit.ordinal").alias("_ord"))
+
+
+def _indexed_match(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, widths: dict[bool, list[int]],
                    broadcast_index: bool) -> DataFrame:
-    """``(id_col, _hit)``: the entry of the least ordinal found in each text.
+    """``(id_col, _text, _hit)``: the entry of the least ordinal found in each
+    text; ``_text`` is NULL where the text is.
 
-    Two passes over the texts. The first takes their grams to the index and
-    keeps, per text that shares any, the entries to look for; only (id, MD5 of
-    the text, gram) leave the scan. The second looks for these in list order.
+    ``widths`` has the gram widths of the patterns with (True) and without
+    (False) white space. A text is known by its id and MD5 where its words or
+    grams are joined; only the search across words shuffles texts.
     """
-    index = gram_index(patterns)
-    if broadcast_index:
-        index = F.broadcast(index)
-    key = F.md5(F.col(text_col).cast("binary"))
-    low = F.lower(F.col(text_col))
-    grams = F.array_distinct(F.concat(*[_grams(low, w) for w in widths])) if widths else F.array().cast("array<string>")
-    found = (texts.select(F.col(id_col).alias("_id"), key.alias("_key"), F.explode(grams).alias("gram"))
-             .join(index, "gram").groupBy("_id", "_key").agg(F.array_sort(F.collect_set("entry")).alias("_entries")))
-    keyed = texts.select(F.col(id_col), F.col(text_col).alias("_text"), key.alias("_own"))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    hits = F.transform(F.array(F.lower("_text")), lambda t: F.filter("_entries", lambda e: F.contains(t, e["folded"])))
-    return joined.select(id_col, "_text", F.get(F.get(hits, F.lit(0)), F.lit(0)).alias("_hit"))
+    index = gram_index(patterns).withColumn("_spaced", F.col("entry.folded").rlike(SPACE))
+    key = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    keyed = texts.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
+    found = []
+    for spaced, search in ((False, _found_in_words), (True, _found_across_words)):
+        if widths[spaced]:
+            part = index.filter(F.col("_spaced") == spaced).drop("_spaced")
+            found.append(search(keyed, F.broadcast(part) if broadcast_index else part, widths[spaced]))
+    own = texts.select(F.col(id_col), key.alias("_text"))
+    if not found:  # only an empty pattern
+        return own.withColumn("_hit", F.lit(None).cast("struct<ordinal:bigint,name:string,category:string>"))
+    first = union_all(found).groupBy("_id", "_key").agg(F.min("_ord").alias("_ord"))
+    entries = _listed(patterns).select(F.col("ordinal").alias("_ord"), F.struct("ordinal", "name", "category").alias("_hit"))
+    hit = first.join(F.broadcast(entries) if broadcast_index else entries, "_ord").drop("_ord")
+    joined = own.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
+    return joined.select(id_col, "_text", "_hit")
 
 
 def tag_patterns(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -97,9 +144,11 @@ def tag_patterns(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text
     over the list. Repeated ordinals raise ValueError: order would be undefined.
     """
     width = F.least(F.length("folded"), F.lit(GRAM))
+    spaced = F.col("folded").rlike(SPACE)
     empty = F.min(F.when(F.col("folded") == "", F.struct("ordinal", "name", "category")))
     shape = _listed(patterns).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal").alias("ordinals"),
-                                  F.collect_set(F.when(width > 0, width)).alias("widths"), empty.alias("empty")).first()
+                                  F.collect_set(F.when((width > 0) & ~spaced, width)).alias("widths"),
+                                  F.collect_set(F.when(spaced, width)).alias("spaced_widths"), empty.alias("empty")).first()
     if shape["ordinals"] < shape["n"]:
         raise ValueError("the pattern list repeats an ordinal")
     if shape["n"] <= case_chain_limit:
@@ -109,7 +158,8 @@ def tag_patterns(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text
         hit = F.when(F.col("_ord").isNotNull(), F.struct("name", "category")).alias("_hit")
         tagged = texts.select(id_col, match.alias("_ord")).join(info, "_ord", "left").select(id_col, hit)
     else:
-        tagged = _indexed_match(texts, patterns, id_col, text_col, sorted(shape["widths"]), shape["n"] <= INDEX_BROADCAST_LIMIT)
+        widths = {False: sorted(shape["widths"]), True: sorted(shape["spaced_widths"])}
+        tagged = _indexed_match(texts, patterns, id_col, text_col, widths, shape["n"] <= INDEX_BROADCAST_LIMIT)
         if shape["empty"] is not None:  # an empty pattern occurs in every text
             everywhere = F.struct(*[F.lit(shape["empty"][c]).alias(c) for c in ("ordinal", "name", "category")])
             own = F.struct("_hit.ordinal", "_hit.name", "_hit.category")

@@ -78,6 +78,23 @@ def test_indexed_list_stays_distributed(spark, texts, monkeypatch):
     assert G.tag_patterns(texts, names).count() == len(UA)
 
 
+def test_words_are_searched_once(spark):
+    """Patterns without white space are looked for in distinct words: no grams of whole texts, no lists of patterns per text.
+    With white space, in long words, at the ends of words and in repeated ids, the answer is that of the CASE expression."""
+    names = ["abc", "bcde", "z", "de f", "f\t", "longer word", "tail9", "\u00e9t\u00e9", " "]
+    texts = spark.createDataFrame([
+        (1, "xxbcdexx ABC"), (1, "nothing"), (1, "nothing"), (None, "abcde f"), (2, None), (3, ""), (4, "a longer\nword"), (5, "A LONGER word"),
+        (6, "x" * 200 + "Tail9"), (7, "q" * 70 + " tail" + " 9"), (8, "\u00c9T\u00c9!"), (9, "f\tg"), (10, "z"), (11, " lead")], "id long, text string")
+    for some in (names, names[:3], names[3:6], names[5:8]):
+        listed = spark.createDataFrame([(len(some) - i, n, "x", "ai") for i, n in enumerate(some)],
+                                       "ordinal long, name string, company string, category string")
+        want = sorted(map(tuple, G.tag_patterns(texts, listed, case_chain_limit=10_000).collect()), key=str)
+        assert sorted(map(tuple, G.tag_patterns(texts, listed, case_chain_limit=-1).collect()), key=str) == want
+    listed = spark.createDataFrame([(1, "abc", "x", "ai")], "ordinal long, name string, company string, category string")
+    plan = G.tag_patterns(texts, listed, case_chain_limit=-1)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "regexp_extract_all(lower(text" not in plan
+
+
 def test_the_registered_index_query_has_a_long_list(spark, sf_small):
     """Its list is beyond the CASE chain, so the query (held against its SQL) runs by the index."""
     from ledgerlens.registry import QUERIES, benchmark_word_patterns
